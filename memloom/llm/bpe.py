@@ -24,7 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEEP = 250_000
+KEEP = 150_000
 NORMAL, BYTE = 1, 6
 
 
