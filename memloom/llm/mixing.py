@@ -25,6 +25,8 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 BINS = 2048
+#: More sources than these are not broadcast; each is a row of about 60 bytes.
+BROADCAST_SOURCES = 100_000
 #: Quality weight of a document by its label; without a label the middle one.
 QUALITY_WEIGHT = {1: 1.0, 0: 0.25, None: 0.5}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -88,13 +90,17 @@ def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
         size = dict(sizes)[source]
         epochs = min(int(CAP), math.floor(target / size)) if size else 0
         plan.append((source, size, float(target), epochs, float(target - epochs * size)))
-    plan = docs.sparkSession.createDataFrame(plan, "source string, source_size long, target double, epochs int, budget double")
+    spark = docs.sparkSession
+    plan = spark.createDataFrame(plan, "source string, source_size long, target double, epochs int, budget double")
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
     ends = (
         sums.withColumn("upto", upto).withColumnRenamed("source", "__s").join(plan, F.col("__s").eqNullSafe(F.col("source")))
         .filter("upto > budget").groupBy("source").agg(F.min("bin").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("before"))
     )
     plan = plan.withColumnRenamed("source", "__p").join(ends, F.col("__p").eqNullSafe(F.col("source")), "left").drop("source")
+    plan = spark.createDataFrame(plan.collect(), plan.schema)  # one row for each source
+    if len(sizes) <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)  # else a shuffle join, where the hot source is left to the adaptive skew join
     joined = rows.join(plan, F.col("source").eqNullSafe(F.col("__p"))).withColumn("cut", F.coalesce("cut", F.lit(BINS)))
     whole = joined.filter("bin <> cut").withColumn("chosen", (F.col("bin") < F.col("cut")).cast("int"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
