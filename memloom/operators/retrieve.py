@@ -43,6 +43,12 @@ def recall(memories: DataFrame, queries: DataFrame, k: int = 5, n: int = 1) -> D
     return scored.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "memory_id", "score")
 
 
+def pinned(found: DataFrame, limit: int = 10_000) -> DataFrame:
+    """``found`` as a local table, so that what follows is planned with its true, small size; larger tables stay as they are."""
+    rows = found.limit(limit + 1).collect()
+    return found if len(rows) > limit else found.sparkSession.createDataFrame(rows, found.schema)
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -74,7 +80,7 @@ def search_files(found: DataFrame, chunks: DataFrame, files: DataFrame, source_t
     ``found(rank, memory_id, score)`` is already limited. Memories without a file, and those
     whose file does not fit a filter, stay as rows of their own, before the groups.
     """
-    rows = located(found, chunks, files)
+    rows = pinned(located(pinned(found), chunks, files))
     fits = F.col("path").isNotNull()
     if source_type is not None:
         fits = fits & (F.col("source_type") == source_type)
@@ -125,7 +131,7 @@ def summary_chain(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 def enrich(found: DataFrame, tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
     """``found(memory_id, ...)`` with its file's block, relation count, at most ``k`` relations and summary chain."""
-    rows = located(found, tables["file_chunks"], tables["files"])
+    rows = pinned(located(pinned(found), tables["file_chunks"], tables["files"]))
     own = rows.filter("file_id is not null").select("file_id").distinct()
     top = related(own, tables["file_relations"], k).groupBy("file_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("n", "other_id", "relation_type", "strength"))), lambda x: F.struct(x.other_id.alias("file_id"), x.relation_type.alias("relation_type"), x.strength.alias("strength"))).alias("relations")
