@@ -59,7 +59,7 @@ def grams() -> Column:
     codes = f"transform(filter(split({folded}, ''), c -> c <> ''), c -> if(c = '0', {DIGIT}, if(instr('{ALPHABET}', c) > 0, instr('{ALPHABET}', c), {OTHER})))"
     s = SYMBOLS
     return F.expr(
-        f"transform(array({codes}), a -> transform(sequence(1, size(a)), i -> if(i > 2, a[i - 3], {START}) * {s * s} + if(i > 1, a[i - 2], {START}) * {s} + a[i - 1]))[0]"
+        f"transform(array({codes}), a -> transform(a, (c, i) -> if(i > 1, get(a, i - 2), {START}) * {s * s} + if(i > 0, get(a, i - 1), {START}) * {s} + c))[0]"
     )
 
 
