@@ -7,11 +7,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memloom.functions import text
 from memloom.operators import project
 
 TABLES = ("memories", "files", "file_chunks", "file_relations")
 
 
+def merged_files(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``new`` files with what only ``old`` knows: nulls filled, a known source type kept, tags and metadata united."""
+    was = old.select("id", *[F.col(c).alias(f"__{c}") for c in old.columns if c != "id"])
+    both = new.join(was, "id", "left")
+    kept = [F.coalesce(c, f"__{c}").alias(c) for c in ("file_role", "file_hash", "language", "summary")]
+    kind = F.when(F.col("source_type") != "unknown", F.col("source_type")).otherwise(F.coalesce("__source_type", "source_type")).alias("source_type")
+    none = F.from_json(F.lit("{}"), "map<string,string>")
+    now = F.coalesce("metadata", none)
+    stays = F.map_filter(F.coalesce("__metadata", none), lambda k, _: ~F.map_contains_key(now, k))
+    both_maps = F.map_concat(stays, now)
+    metadata = F.when(F.col("metadata").isNotNull() | F.col("__metadata").isNotNull(), both_maps).alias("metadata")
+    out = both.select("id", "bank", "path", kind, *kept, text.merged_tags(F.col("__tags"), F.col("tags")).alias("tags"), metadata, "total_chunks", "status")
+    return out.select(new.columns)
+
+
 class Store:
     """Tables below one folder. Every commit writes a new version and then moves the pointer to it.
 
@@ -56,19 +72,20 @@ class Store:
             self.commit(new)
             return
         keys = project.KEYS | {"memories": ["bank", "memory_id"]}
-        out = {}
-        for table in TABLES:
-            old = self.read(table)
-            if table == "file_chunks":
-                changed = project.changes(self.read("files"), new["files"], ["id"]).filter("change = 'update'").select(F.col("id").alias("file_id"))
-                rebuilt = self.read("files").join(new["files"].select("id", F.col("file_hash").alias("__h")), "id").filter("file_hash is not null and not file_hash <=> __h").select(F.col("id").alias("file_id"))
-                old = old.join(changed.join(rebuilt, "file_id", "left_semi"), "file_id", "left_anti").select(old.columns)
-            if table == "files":
-                pending = new["files"].filter("status = 'pending'").join(old.select("id"), "id", "left_anti").select(new["files"].columns)
-                out[table] = project.upsert(old, new["files"].filter("status <> 'pending'").unionByName(pending), keys[table])
-                continue
-            out[table] = project.upsert(old, new[table], keys[table])
-        self.commit(out)
+        old = {t: self.read(t) for t in TABLES}
+        told = new["files"].filter("status <> 'pending'")
+        changed = old["files"].select("id", F.col("file_hash").alias("__h")).join(told, "id").filter("__h is not null and not __h <=> file_hash").select(F.col("id").alias("file_id"))
+        chunks = old["file_chunks"].join(changed, "file_id", "left_anti").select(old["file_chunks"].columns)
+        relations = project.without(old["file_relations"], project.touching(old["file_relations"], changed), keys["file_relations"]).select(old["file_relations"].columns)
+        out = {
+            "memories": project.upsert(old["memories"], new["memories"], keys["memories"]),
+            "file_chunks": project.upsert(chunks, new["file_chunks"], keys["file_chunks"]),
+            "file_relations": project.upsert(relations, new["file_relations"], keys["file_relations"]),
+        }
+        stubs = new["files"].filter("status = 'pending'").join(old["files"].select("id"), "id", "left_anti").select(new["files"].columns)
+        counts = out["file_chunks"].groupBy(F.col("file_id").alias("id")).agg(F.count("*").cast("int").alias("__n"))
+        files = project.upsert(old["files"], merged_files(old["files"], told), ["id"]).unionByName(stubs).join(counts, "id", "left")
+        self.commit(out | {"files": files.withColumn("total_chunks", F.coalesce("__n", F.lit(0))).drop("__n")})
 
     def delete(self, file_ids: DataFrame) -> None:
         """Tombstones for ``file_ids(file_id)``: their chunks and relations go."""
