@@ -24,7 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-KEEP = 150_000
+KEEP = 100_000
 NORMAL, BYTE = 1, 6
 
 
@@ -87,7 +87,7 @@ class Model:
 
     def agree(self, left: int, right: int) -> bool:
         """Whether merging both pieces' text gives the two back; ``right`` -1: whether ``left`` alone does."""
-        if len(self.pairs) > 4 * KEEP:
+        if len(self.pairs) > 2 * KEEP:
             self.pairs.clear()
         parts = [self.pieces[i] for i in (left, right) if i >= 0]
         got = self.pairs[left << 20 | right + 1] = self.merged("".join(parts)) == parts

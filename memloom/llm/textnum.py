@@ -6,17 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 
-BLOCK = 1 << 19
+BLOCK, ROWS = 1 << 18, 256
 _P = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
 
 
-def blocks(texts: list[str | None], size: int = BLOCK) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of whole texts of about ``size`` bytes: (index of the first, texts as bytes). A longer text is a run of its own."""
+def blocks(texts: list[str | None], size: int = BLOCK, rows: int = ROWS) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of at most ``rows`` whole texts of about ``size`` bytes: (index of the first, texts as bytes). A longer text is a run of its own."""
     first, held, total = 0, [], 0
     for i, t in enumerate(texts):
         raw = (t or "").encode("utf-8", "surrogatepass") if isinstance(t, str) or t is None else b""
-        if held and total + len(raw) > size:
+        if held and (total + len(raw) > size or len(held) == rows):
             yield first, held
             first, held, total = i, [], 0
         held.append(raw)
