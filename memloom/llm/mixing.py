@@ -6,9 +6,10 @@ anew by weight. Selection: a source takes every document once for each whole epo
 ``floor(target / size)``; the rest of the budget goes to documents in the order of their keys
 ``-ln(u) / weight`` (smallest first), u from a hash of the row and weight from its quality.
 
-No source is sorted in one task. Keys fall into BINS of equal probability for weight one; sizes are
-summed by (source, bin) before the shuffle and prefix-summed over bins; only the one bin a budget
-ends in is ordered row by row.
+No source is sorted in one task. Keys fall into BINS of equal probability for the smallest weight,
+so that of no weight more than ``largest weight / smallest weight / BINS`` of the documents share a bin;
+sizes are summed by (source, bin) before the shuffle and prefix-summed over bins; only the one bin a
+budget ends in is ordered row by row.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def keyed(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), digest.alias("tie"), uniform(F.col("doc_id"), digest).alias("u"))
     out = out.join(quality_weights(labels), F.col("doc_id") == F.col("__id"), "left")
     key = -F.log("u") / F.coalesce("weight", F.lit(QUALITY_WEIGHT[None]))
-    place = F.least(F.floor((1 - F.exp(-F.col("key"))) * BINS), F.lit(BINS - 1)).cast("int")
+    place = F.least(F.floor((1 - F.exp(-F.col("key") * min(QUALITY_WEIGHT.values()))) * BINS), F.lit(BINS - 1)).cast("int")
     return out.withColumn("key", key).select("doc_id", "source", "size", "key", place.alias("bin"), "tie")
 
 
