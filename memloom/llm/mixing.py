@@ -28,6 +28,8 @@ CAP = 2.0
 BINS = 2048
 #: More sources than these are not broadcast; each is a row of about 60 bytes.
 BROADCAST_SOURCES = 100_000
+#: More labelled documents than these are not broadcast; each is a row of about 40 bytes.
+BROADCAST_LABELS = 500_000
 #: Quality weight of a document by its label; without a label the middle one.
 QUALITY_WEIGHT = {1: 1.0, 0: 0.25, None: 0.5}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,21 +57,59 @@ def uniform(*cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
 
 
-def quality_weights(labels: DataFrame) -> DataFrame:
-    """``(doc_id, weight)``, one row for each labelled id; of several labels the largest counts."""
+def quality_weights(labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(__id, __weight)``, one row for each labelled id; of several labels the largest counts. Broadcast below a checked size."""
     by = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("q"))
-    return by.select("__id", F.when(F.col("q") == 1, QUALITY_WEIGHT[1]).when(F.col("q") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None]).alias("weight"))
+    out = scratch.save(by.select("__id", F.when(F.col("q") == 1, QUALITY_WEIGHT[1]).when(F.col("q") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None]).alias("__weight")))
+    return F.broadcast(out) if out.count() <= BROADCAST_LABELS else out
 
 
-def keyed(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, source, size, key, bin, tie)``; reads the texts once."""
+def digest() -> Column:
+    """The MD5 of the text, empty for null."""
+    return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+
+
+def keyed(rows: DataFrame, weights: DataFrame, tie: str) -> DataFrame:
+    """``rows`` with ``__key`` and ``__bin``: the sampling key, from doc_id, the column ``tie`` and the weight, and its bin."""
+    key = -F.log(uniform(F.col("doc_id"), F.col(tie))) / F.coalesce("__weight", F.lit(QUALITY_WEIGHT[None]))
+    place = F.least(F.floor((1 - F.exp(-F.col("__key") * min(QUALITY_WEIGHT.values()))) * BINS), F.lit(BINS - 1)).cast("int")
+    return rows.join(weights, rows["doc_id"] == weights["__id"], "left").withColumn("__key", key).withColumn("__bin", place).drop("__id", "__weight")
+
+
+def planned(docs: DataFrame, weights: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[tuple]]:
+    """Rows ``(doc_id, source, size, tie, key, bin)``, and for each source ``(source, source_size, target, epochs, budget, cut, before)``.
+
+    ``budget``: words beyond the whole epochs; ``cut``: the bin in which it ends; ``before``: the words of the bins before that.
+    """
     text = F.coalesce("text", F.lit(""))
-    digest = F.md5(text.cast("binary"))
-    out = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), digest.alias("tie"), uniform(F.col("doc_id"), digest).alias("u"))
-    out = out.join(quality_weights(labels), F.col("doc_id") == F.col("__id"), "left")
-    key = -F.log("u") / F.coalesce("weight", F.lit(QUALITY_WEIGHT[None]))
-    place = F.least(F.floor((1 - F.exp(-F.col("key") * min(QUALITY_WEIGHT.values()))) * BINS), F.lit(BINS - 1)).cast("int")
-    return out.withColumn("key", key).select("doc_id", "source", "size", "key", place.alias("bin"), "tie")
+    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), digest().alias("tie"))
+    rows = scratch.save(keyed(rows, weights, "tie").withColumnsRenamed({"__key": "key", "__bin": "bin"}))
+    sums = scratch.save(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")))
+    sizes = {r[0]: r[1] for r in sums.groupBy("source").agg(F.sum("words")).collect()}
+    budgets = []
+    for source, target in targets(list(sizes.items())).items():
+        epochs = min(int(CAP), math.floor(target / sizes[source])) if sizes[source] else 0
+        budgets.append((source, sizes[source], float(target), epochs, float(target - epochs * sizes[source])))
+    plan = docs.sparkSession.createDataFrame(budgets, "__p string, source_size long, target double, epochs int, budget double")
+    upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
+    ends = upto.join(plan, F.col("__p").eqNullSafe(F.col("source"))).filter("upto > budget").groupBy("source").agg(F.min("bin").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("before"))
+    ends = {r["source"]: (r["cut"], r["before"]) for r in ends.collect()}
+    return rows, [b + ends.get(b[0], (BINS, None)) for b in budgets]
+
+
+def with_plan(rows: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
+    """``rows`` with their source's plan: broadcast, or a shuffle join where the hot source is left to the adaptive skew join."""
+    return rows.join(F.broadcast(plan) if sources <= BROADCAST_SOURCES else plan, F.col("source").eqNullSafe(F.col("__p")))
+
+
+def decided(rows: DataFrame) -> DataFrame:
+    """Rows of the bin a budget ends in, with ``chosen`` 0 or 1."""
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rest = F.col("budget") - F.col("before") - (F.sum("size").over(order) - F.col("size"))
+    return rows.filter("bin = cut").withColumn("chosen", (2 * rest >= F.col("size")).cast("int"))
+
+
+PLAN = "__p string, source_size long, target double, epochs int, budget double, cut int, before long"
 
 
 def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -83,38 +123,31 @@ def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
     driver is one row for each source.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = scratch.save(keyed(docs, labels))
-    sums = scratch.save(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")))
-    sizes = [(r[0], r[1]) for r in sums.groupBy("source").agg(F.sum("words")).collect()]
-    plan = []
-    for source, target in targets(sizes).items():
-        size = dict(sizes)[source]
-        epochs = min(int(CAP), math.floor(target / size)) if size else 0
-        plan.append((source, size, float(target), epochs, float(target - epochs * size)))
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(plan, "source string, source_size long, target double, epochs int, budget double")
-    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
-    ends = (
-        sums.withColumn("upto", upto).withColumnRenamed("source", "__s").join(plan, F.col("__s").eqNullSafe(F.col("source")))
-        .filter("upto > budget").groupBy("source").agg(F.min("bin").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("before"))
-    )
-    plan = plan.withColumnRenamed("source", "__p").join(ends, F.col("__p").eqNullSafe(F.col("source")), "left").drop("source")
-    plan = spark.createDataFrame(plan.collect(), plan.schema)  # one row for each source
-    if len(sizes) <= BROADCAST_SOURCES:
-        plan = F.broadcast(plan)  # else a shuffle join, where the hot source is left to the adaptive skew join
-    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("__p"))).withColumn("cut", F.coalesce("cut", F.lit(BINS)))
-    whole = joined.filter("bin <> cut").withColumn("chosen", (F.col("bin") < F.col("cut")).cast("int"))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = F.col("budget") - F.col("before") - (F.sum("size").over(order) - F.col("size"))
-    split = joined.filter("bin = cut").withColumn("chosen", (2 * rest >= F.col("size")).cast("int"))
-    out = whole.unionByName(split)
+    rows, plan = planned(docs, quality_weights(labels, scratch), scratch)
+    joined = with_plan(rows, docs.sparkSession.createDataFrame(plan, PLAN), len(plan))
+    out = joined.filter("bin <> cut").withColumn("chosen", (F.col("bin") < F.col("cut")).cast("int")).unionByName(decided(joined))
     copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("chosen")).otherwise(0)
     return out.select("doc_id", "size", "source", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), "tie")
 
 
 def take(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` the mix takes, each as often as it is taken; columns as in ``docs``."""
-    mixed = mix(docs, labels).groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(F.max("copies").alias("__n"))
-    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
-    out = docs.withColumn("__md5", digest).join(mixed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__md5") == F.col("__tie")))
-    return out.filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
+    """The rows of ``docs`` the mix takes, each as often as it is taken; columns as in ``docs``.
+
+    A source's choice within its last bin ends at one document, so a row tells its copies from its
+    own key and its source's plan: texts are not shuffled unless the labels are too many to broadcast.
+    Rows that repeat in every column are taken alike.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "take")
+    weights = quality_weights(labels, scratch)
+    rows, plan = planned(docs, weights, scratch)
+    split = decided(with_plan(rows, spark.createDataFrame(plan, PLAN), len(plan)))
+    last = split.filter("chosen = 1 and size > 0").groupBy("source").agg(F.max(F.struct("key", "doc_id", "tie")).alias("last"))
+    last = {r["source"]: tuple(r["last"]) for r in last.collect()}  # at most one row for each source
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    ends = spark.createDataFrame([(p[0], p[3], p[5], last.get(p[0])) for p in plan], f"__p string, __epochs int, __cut int, __last struct<key:double,doc_id:{id_type},tie:string>")
+    placed = with_plan(keyed(docs.withColumn("__tie", digest()), weights, "__tie"), ends, len(plan))
+    upto = F.struct(F.col("__key").alias("key"), F.col("doc_id"), F.col("__tie").alias("tie")) <= F.col("__last")
+    chosen = F.when(F.col("__bin") < F.col("__cut"), 1).when((F.col("__bin") == F.col("__cut")) & upto, 1).otherwise(0)
+    copies = F.when(F.col("text").rlike(WORD), F.col("__epochs") + chosen).otherwise(0)
+    return placed.withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
