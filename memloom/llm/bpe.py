@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from memloom.llm.batches import bounded
+
 SPACE = "▁"
 KEEP = 100_000
 NORMAL, BYTE = 1, 6
@@ -225,6 +227,7 @@ def spaced(text: str) -> list[str]:
 
 def encode_digest_column(text: Column, path: str) -> Column:
     """``struct(n_tokens, ids_sha256, decoded_sha256)``; ``path`` is the model's, on each executor."""
+    bounded()
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def udf(texts: pd.Series) -> pd.DataFrame:
@@ -236,6 +239,7 @@ def encode_digest_column(text: Column, path: str) -> Column:
 
 def encode_column(text: Column, path: str) -> Column:
     """The ids as ``array<int>``; null text counts as empty."""
+    bounded()
 
     @F.pandas_udf("array<int>")
     def udf(texts: pd.Series) -> pd.Series:
@@ -247,6 +251,7 @@ def encode_column(text: Column, path: str) -> Column:
 
 def decode_column(ids: Column, path: str) -> Column:
     """The text of an ``array<int>``; null counts as empty."""
+    bounded()
 
     @F.pandas_udf("string")
     def udf(rows: pd.Series) -> pd.Series:

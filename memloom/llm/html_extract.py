@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.batches import bounded
+
 START, END = "\x02", "\x03"
 
 #: Labelled pages: the content stands between START and END.
@@ -178,6 +180,7 @@ def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
 
 def extract_column(page: Column) -> Column:
     """Main text of a page; null pages give the empty text."""
+    bounded()
 
     @F.pandas_udf("string")
     def udf(pages: pd.Series) -> pd.Series:

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.batches import bounded
 from memloom.llm.samples import fold_of, labelled
 from memloom.llm.textnum import Hasher, blocks, spans
 
@@ -121,6 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Voter:
 
 def score_column(voter: Voter, spark, text: Column) -> Column:
     """Quality between 0 and 1; null text counts as empty."""
+    bounded()
     model = spark.sparkContext.broadcast(voter)
 
     @F.pandas_udf("double")

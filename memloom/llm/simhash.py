@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from memloom.llm.batches import bounded
 from memloom.llm.components import components
 from memloom.llm.scratch import Scratch
 
@@ -46,6 +47,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 def fingerprint_column(text: Column, shingle: int = 3) -> Column:
     """The fingerprint as a signed long column."""
+    bounded()
 
     @F.pandas_udf("long")
     def udf(texts: pd.Series) -> pd.Series:

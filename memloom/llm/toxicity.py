@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.llm.batches import bounded
 from memloom.llm.samples import fold_of, labelled
 from memloom.llm.textnum import Hasher, blocks, spans
 
@@ -241,6 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Net:
 
 def score_column(net: Net, spark, text: Column) -> Column:
     """Toxicity between 0 and 1; null text counts as empty."""
+    bounded()
     model = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
