@@ -216,6 +216,13 @@ def test_mixing(spark):
     assert by.target.sum() == pytest.approx(1.5 * by["size"].sum()) or (by.target <= 2 * by["size"]).all()
 
 
+@needs_tables
+def test_taken_rows_agree_with_the_mix(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, labels).collect() if r["copies"]}
+    assert Counter(r["doc_id"] for r in mixing.take(docs, labels).select("doc_id").collect()) == want
+
+
 def test_targets():
     got = mixing.targets([("b", 100), ("a", 10), (None, 100), ("c", 0)])
     # a 3, b 1, c 2, null 3; total 210, budget 315; a stops at 20 and c at 0, null at 200, b takes what is left
