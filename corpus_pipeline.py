@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, mixing, quality, simhash, toxicity
+from memloom.llm import bpe, mixing, quality, shingles, toxicity
 from memloom.llm.scratch import Scratch
 
 
@@ -30,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of near copies (five-word shingles, Jaccard 0.8 or more), the one with the smallest id."""
+    return shingles.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
