@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 from memloom.llm.batches import bounded
 from memloom.llm.components import components
 from memloom.llm.scratch import Scratch
-from memloom.llm.simhash import LOWER
+from memloom.llm.simhash import LOWER, one_of_each, whole_row
 
 WORDS = 5
 #: The least similarity, as a fraction; the classes and segments below hold for 4 / 5 alone.
@@ -151,7 +151,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, scratch: Scra
 def rooted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """One row per row of ``docs``: ``(id, row, root)``, its id, a hash of the whole row, and its component."""
     bounded()
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    row = whole_row(docs)
 
     @F.pandas_udf("key long, n int, sketch binary")
     def small(texts: pd.Series) -> pd.DataFrame:
@@ -198,14 +198,6 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
     return rows.join(label, "key", "left").select("id", "row", F.coalesce("label", "key").alias("root"))
 
 
-def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The rows of ``docs`` left when each root of ``rows(id, row, root)`` keeps one: the smallest id, nulls last."""
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
-    stay = rows.groupBy("root").agg(first).select(F.col("first.row").alias("__row")).distinct()
-    marked = docs.withColumn("__row", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return marked.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` left when one document of each component of similar texts stays: the smallest id.
 

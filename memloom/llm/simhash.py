@@ -69,16 +69,18 @@ def links(fingerprints: DataFrame) -> DataFrame:
     return found.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("fp"))) <= 2 * one).select("a", F.col("fp").alias("b"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, row: Column | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, fingerprint, and the smallest id reachable over links.
 
     ``(doc_id, fingerprint, component_id, fp, root)``; ``fp`` and ``root`` are the
     fingerprints as longs. Null text counts as empty; texts without words share the
     fingerprint zero and so one component. Rows with a null id take part; a component of
-    null ids alone has a null ``component_id``. Repeated rows come back repeated.
+    null ids alone has a null ``component_id``. Repeated rows come back repeated. ``row``: a
+    long that is carried along as the column ``row``.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    prints = scratch.save(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp")))
+    more = [] if row is None else [row.alias("row")]
+    prints = scratch.save(docs.select(F.col(id_col).alias("doc_id"), fingerprint_column(F.col(text_col), shingle).alias("fp"), *more))
     least = scratch.save(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     edges = scratch.save(links(least.select("fp")).distinct())
     label = components(edges, scratch).select(F.col("node").alias("fp"), F.col("label").alias("root"))
@@ -86,20 +88,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = scratch.save(rooted.select("fp", "root").join(ids, "root"))
     return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "root", *["row" for _ in more]
     )
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """A hash of all columns, none of them a map."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of ``docs`` left when each root of ``rows(id, row, root)`` keeps one: the smallest id, nulls last."""
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    stay = rows.groupBy("root").agg(first).select(F.col("first.row").alias("__row")).distinct()
+    marked = docs.withColumn("__row", whole_row(docs))
+    return marked.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """The rows of ``docs`` left when one document of each component stays: the smallest id.
 
-    Columns as in ``docs``. Of rows that repeat an id one stays. In a component of null
-    ids alone one row stays.
+    Columns as in ``docs``. Each component keeps exactly one row, also where ids repeat or are null.
     """
-    classes = near_duplicates(docs, id_col, text_col, shingle)
-    stay = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs[id_col] == stay["__stay"], "left_semi").dropDuplicates([id_col])
-    lone = classes.filter("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
-    nulls = docs.filter(F.col(id_col).isNull()).withColumn("__fp", fingerprint_column(F.col(text_col), shingle))
-    nulls = nulls.join(lone, "__fp").dropDuplicates(["__root"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-    return kept.unionByName(nulls)
+    classes = near_duplicates(docs, id_col, text_col, shingle, whole_row(docs))
+    return one_of_each(docs, classes.select(F.col("doc_id").alias("id"), "row", "root"))

@@ -61,6 +61,12 @@ def test_keep_one(spark):
     assert sorted(((r["doc_id"] or 0) for r in simhash.keep_one(df).collect())) == [0, 1, 2]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    df = documents(spark, [(1, GOOD, "a"), (2, GOOD, "a"), (2, RUDE, "a")])
+    for rows in (df, df.repartition(3, "text")):
+        assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(rows).collect()) == [(1, GOOD), (2, RUDE)]
+
+
 def test_empty_tables(spark, none, labels):
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     pages = spark.createDataFrame([], "page_id long, url string, html string")
