@@ -70,9 +70,11 @@ def short_items(memories: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def golden(relevant: DataFrame, retrieved: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, relevant, retrieved)`` from pairs and ranked results; queries without either have empty lists."""
-    none = F.array().cast("array<bigint>")
-    a = relevant.groupBy(F.col("item_id").alias("query_id")).agg(F.array_sort(F.collect_list("memory_id")).alias("relevant"))
-    b = retrieved.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "memory_id"))), lambda x: x.memory_id).alias("retrieved"))
-    out = queries.select("query_id").join(a, "query_id", "left").join(b, "query_id", "left")
-    return out.select("query_id", F.coalesce("relevant", none).alias("relevant"), F.coalesce("retrieved", none).alias("retrieved"))
+    """``(query_id, recall, precision, mrr)`` from relevant pairs and results ranked up to CUTOFF; relevant ids are counted, never gathered."""
+    n = relevant.groupBy(F.col("item_id").alias("query_id")).agg(F.count("*").alias("n"))
+    got = retrieved.groupBy("query_id").agg(F.count("*").alias("got"))
+    right = relevant.select(F.col("item_id").alias("query_id"), "memory_id")
+    right = retrieved.join(right, ["query_id", "memory_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
+    out = queries.select("query_id").join(n, "query_id", "left").join(got, "query_id", "left").join(right, "query_id", "left")
+    share = lambda whole: F.coalesce(F.col("hits") / whole, F.lit(0.0))
+    return out.select("query_id", share(F.col("n")).alias("recall"), share(F.lit(CUTOFF)).alias("precision"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("mrr"))

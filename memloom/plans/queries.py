@@ -530,7 +530,7 @@ def _golden(c: Corpus) -> DataFrame:
     items = c.table("benchmark").select("item_id", "text")
     docs = c.documents().select(F.col("doc_id").alias("memory_id"), "content")
     asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return evaluate.scored(evaluate.golden(evaluate.containing(docs, items), retrieve.recall(docs, asked, 5, 3), asked.select("query_id").distinct()))
+    return evaluate.golden(evaluate.containing(docs, items), retrieve.recall(docs, asked, 5, 3), asked.select("query_id").distinct())
 
 
 @query("golden_recall5", "SELECT query_id, round(CASE WHEN n_relevant > 0 THEN hits / n_relevant ELSE 0 END, 6)::DOUBLE AS recall FROM golden")

@@ -195,3 +195,12 @@ def test_scan_and_walk(spark, tmp_path):
 def test_ids(spark):
     r = spark.range(1).select(text.file_id(F.lit("b"), F.lit("/p")).alias("f"), text.snowflake_parts(F.lit((5 << 22) | (1 << 12) | 7)).alias("s")).first()
     assert len(r["f"]) == 37 and tuple(r["s"]) == (5, 1, 7)
+
+
+def test_golden_gathers_no_relevant_ids(spark):
+    relevant = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 7)], "item_id long, memory_id long")
+    retrieved = spark.createDataFrame([(1, 1, 99), (1, 2, 3), (1, 3, 4), (2, 1, 8), (4, 1, 1)], "query_id long, rank int, memory_id long")
+    out = evaluate.golden(relevant, retrieved, spark.createDataFrame([(1,), (2,), (3,), (4,)], "query_id long"))
+    got = {r["query_id"]: (r["recall"], r["precision"], r["mrr"]) for r in out.collect()}
+    assert got == {1: (2 / 50, 2 / 5, 1 / 2), 2: (0.0, 0.0, 0.0), 3: (0.0, 0.0, 0.0), 4: (0.0, 0.0, 0.0)}
+    assert "collect_list" not in out._jdf.queryExecution().toString()
