@@ -1,10 +1,11 @@
 """Main-text extraction from web pages by a maximum-scoring subsequence.
 
-A page becomes a sequence of tokens: words score positive, tags negative. Both weights are
-log-odds of lying inside the content, learned from labelled pages (content between two
-marks): a word's from the kind of container it stands in, a tag's from its name and kind.
-One linear scan finds the contiguous region with the largest sum; inside it, the text of
-containers that are no content is left out and the rest is joined block by block.
+A page becomes a sequence of tokens: words score positive, tags negative. All weights are learned from the labelled pages
+of ``html_pages``. A word weighs the chance that a word of its container is content, containers being told by
+their tag and the words of their class, id and role; a tag weighs its log-odds against content at first. Then, as long
+as the best region of a labelled page is not its content, the weights of the tags between the two are
+moved, words staying positive and tags negative. One linear scan finds the contiguous region with the largest sum; inside
+it, the text of containers that are more likely no content is left out and the rest is joined block by block.
 """
 
 from __future__ import annotations
@@ -13,165 +14,215 @@ import html
 import math
 import re
 from collections import defaultdict
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.batches import bounded
+from memloom.llm.html_pages import CUT, END, RESUME, START, labelled_pages
 
-START, END = "\x02", "\x03"
-
-#: Labelled pages: the content stands between START and END.
-LABELLED_PAGES = [
-    "<html><head><title>Site and story</title><style>p{margin:0}</style><script>go()</script></head><body><nav><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li><li><a href='/c'>Contact us</a></li></ul></nav>"
-    "<div class='ad'>Buy the best shoes in town today with this great offer.</div><article>\x02<h1>The river rose again</h1><p>After three days of rain the river rose above the old bridge and the town waited for the morning.</p>"
-    "<p>People moved their <b>books</b> and <a href='/t'>tables</a> upstairs.</p><ul><li>First the cellar was emptied.</li><li>Then the shop was closed.</li></ul>\x03</article><footer>&copy; site &middot; all rights reserved by the owner</footer></body></html>",
-    "<html><body><header><h2>Daily paper</h2><form action='/s'><input name='q'><button>Search</button></form></header><div class='sidebar'><h3>Most read</h3><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></div>"
-    "<main>\x02<h1>How bread is made</h1><p>Flour and water are mixed and left to rest for a night in a cool room.</p><blockquote>Time does most of the work, said the baker.</blockquote><pre>mix, rest, fold, bake</pre>\x03</main>"
-    "<div id='comments'><h3>Comments</h3><p>I tried this at home and it was lovely.</p><p>Mine stayed flat, what did I do wrong?</p></div><footer><a href='/p'>Privacy</a> <a href='/i'>Imprint</a></footer></body></html>",
-    "<html><body><div class='cookie-notice'>We use cookies to make this site better for you.<button>Accept</button></div><div class='menu'><a href='/a'>Start</a> | <a href='/b'>Archive</a></div><div class='post'>\x02<h2>A walk to the lake</h2>"
-    "<p>The path leaves the village behind the church and climbs slowly through the beech wood.</p><table><tr><td>Length</td><td>nine miles</td></tr></table><p>At the top the lake comes into view.</p>\x03</div>"
-    "<aside><p>Read our guide to walking boots and save money.</p></aside><div class='share'><a href='/x'>Share</a></div></body></html>",
-    "<html><body><nav><a href='/'>Home</a><a href='/q'>Questions</a></nav><section class='banner promo'>Subscribe now and get one month free of charge.</section><div>\x02<h1>Why leaves fall</h1><p>Trees close the veins of their leaves before the frost arrives.</p>"
-    "<p>What is left is blown away by the wind.<br>By spring new buds have formed.</p><h2>In the city</h2><p>Street lamps can delay this for weeks.</p>\x03</div><form><label>Your mail</label><input><p>Get our letter every week.</p></form>"
-    "<footer><p>Contact the editors at the address below for any question.</p></footer></body></html>",
-]
-
+#: Elements without content, elements whose content is no text of the page, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template noscript iframe svg math object select textarea title head canvas audio video".split())
+RAW = frozenset("script style template noscript iframe svg object select textarea title head canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-BOILERPLATE_TAGS = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form", "button": "form", "label": "form", "fieldset": "form", "dialog": "notice"}
-#: Words of class, id and role values that name a container's kind.
-KINDS = {
-    "ad": "ad ads adv advert advertisement adverts banner promo promotion sponsor sponsored teaser".split(),
-    "menu": "menu nav navbar navigation breadcrumb breadcrumbs toc pagination pager tabs".split(),
-    "header": "header masthead topbar".split(),
-    "footer": "footer foot copyright imprint contentinfo".split(),
-    "sidebar": "sidebar side aside widget related recommended recommendations complementary".split(),
-    "notice": "cookie cookies consent gdpr notice notices popup modal overlay alert newsletter subscribe".split(),
-    "form": "form search login signup".split(),
-    "comments": "comment comments reply replies respond discussion disqus".split(),
-    "share": "share sharing social".split(),
-}
-KIND_OF = {w: k for k, ws in KINDS.items() for w in ws}
-CONTENT_TAGS = frozenset(["article", "main"])
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.DOTALL)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+#: Elements whose own name says nothing about what they hold.
+PLAIN = frozenset("html body div span p a b i em strong ul ol li dl dt dd table tbody thead tr td th h1 h2 h3 h4 h5 h6 blockquote pre code small font center section".split())
+
+_OPEN = re.compile(r"<([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.DOTALL)
+_LOOSE = re.compile(r"<([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.DOTALL)
+_CLOSE = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)", re.DOTALL)
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)", re.DOTALL)
+_ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _NAME = re.compile(r"[a-z]+")
 
 
-def kind_of(tag: str, attrs: str) -> str | None:
-    """The kind of boilerplate a container is named as, if any."""
-    if tag in BOILERPLATE_TAGS:
-        return BOILERPLATE_TAGS[tag]
-    if attrs and tag not in CONTENT_TAGS and tag not in ("body", "html"):
+class Token(NamedTuple):
+    """A piece of text (``tag`` empty) or a tag; ``hints`` are what its container and those around it are told by."""
+
+    tag: str
+    hints: frozenset
+    text: str
+
+
+def hints_of(tag: str, attrs: str, inside: frozenset) -> frozenset:
+    """What tells a container: its tag, with ``@article`` inside an article or main element, and the words of its class, id and role."""
+    found = set()
+    if tag not in PLAIN:
+        found.add(tag + ("@article" if "article" in inside or "main" in inside else ""))
+    if attrs and tag not in ("html", "body", "article", "main"):
         for m in _ATTR.finditer(attrs):
-            for word in _NAME.findall((m[2] or m[3] or m[4] or "").lower()):
-                if word in KIND_OF:
-                    return KIND_OF[word]
-    return None
+            for name in (m[1] or m[2] or m[3] or "").lower().split():
+                words = _NAME.findall(name)
+                found.update("." + w for w in words[:1] + words[-1:])
+    return inside | found if found else inside
 
 
-def tokens(page: str) -> list[tuple[str, str, str]]:
-    """``(feature, kind, text)`` in page order; text tokens have the feature "" and their container's kind, tags no text.
+def tokens(page: str) -> list[Token]:
+    """The tokens in page order. A container ends at its end tag, or where an enclosing one ends. Contents of RAW elements are no tokens.
 
-    A container ends at its end tag, or where an enclosing one ends. Contents of RAW elements are no tokens.
+    Time grows with the page's length: what was searched once to the end without success is not searched again.
     """
-    out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str | None]] = []
-    at, size = 0, len(page)
+    out: list[Token] = []
+    stack: list[tuple[str, frozenset]] = [("", frozenset())]
+    open_at: dict[str, list[int]] = defaultdict(list)
+    missing: set[str] = set()
+    quoted, at, size = True, 0, len(page)
+    lower = page.lower() if len(page.lower()) == size else page
     while at < size:
-        m = _TOKEN.search(page, at)
-        end = m.start() if m else size
+        lt = page.find("<", at)
+        follows = page[lt + 1 : lt + 2] if lt >= 0 else ""
+        while lt >= 0 and not (follows.isascii() and follows.isalpha()) and follows not in ("!", "?", "/"):
+            lt = page.find("<", lt + 1)
+            follows = page[lt + 1 : lt + 2] if lt >= 0 else ""
+        end = lt if lt >= 0 else size
         if end > at:
-            out.append(("", next((k for _, k in reversed(stack) if k), "body"), page[at:end]))
-        if not m:
+            out.append(Token("", stack[-1][1], page[at:end]))
+        if lt < 0:
             break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if follows.isalpha():
+            m = _OPEN.match(page, lt) if quoted else None
+            if m is None:
+                quoted = quoted and page.find(">", lt) < 0  # quotes of this page do not pair: read tags up to the next ">"
+                m = _LOOSE.match(page, lt)
+            tag, attrs, at = m[1].lower(), m[2], m.end()
+            if tag in RAW:
+                out.append(Token(tag, stack[-1][1], ""))
+                close = -1 if tag in missing else lower.find("</" + tag, at)
+                if close >= 0:
+                    at = page.find(">", close) + 1 or size
+                else:
+                    missing.add(tag)
+                    if tag in ("script", "style"):
+                        at = size
+                continue
+            hints = hints_of(tag, attrs, stack[-1][1])
+            out.append(Token(tag, hints, ""))
+            if tag == "p" and stack[-1][0] == "p":
+                stack.pop()
+                open_at["p"].pop()
+                hints = hints_of(tag, attrs, stack[-1][1])
+            if tag not in VOID and (tag in BLOCK or hints != stack[-1][1]):
+                open_at[tag].append(len(stack))
+                stack.append((tag, hints))
             continue
-        closing = (m[1] or m[4]) == "/"
-        if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            kind = stack[depth][1] if depth is not None else None
-            if depth is not None:
-                del stack[depth:]
-            out.append(("/" + tag, kind or "body", ""))
+        m = _CLOSE.match(page, lt)
+        if m is None:
+            at = _OTHER.match(page, lt).end()
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            if tag == "head" and not close:
-                close = re.compile(r"<body", re.IGNORECASE).search(page, at)
-                at = close.start() if close else at
-            else:
-                at = close.end() if close else (size if tag in ("script", "style") else at)
-            out.append((tag, "raw", ""))
-            continue
-        kind = kind_of(tag, m[3] or "")
-        out.append((tag, kind or "body", ""))
-        if tag == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
-        if tag not in VOID and (tag in BLOCK or kind):
-            stack.append((tag, kind))
+        tag, at = m[1].lower(), m.end()
+        hints = stack[-1][1]
+        if open_at[tag]:
+            depth = open_at[tag][-1]
+            hints = stack[depth][1]
+            for name, _ in stack[depth:]:
+                open_at[name].pop()
+            del stack[depth:]
+        out.append(Token("/" + tag, hints, ""))
+    return out
+
+
+class Weights(NamedTuple):
+    """``chance``: that a word in a container with a hint is content; ``tags``: the scores of tags."""
+
+    chance: dict[str, float]
+    tags: dict[str, float]
+
+
+UNSEEN_TAG, MOST_AT_FIRST, LEAST = -0.1, -0.5, 0.01
+
+
+def chance_of(hints: frozenset, chance: dict[str, float]) -> float:
+    """The smallest chance among the hints; without any, a word counts fully."""
+    return min((chance.get(h, 1.0) for h in hints), default=1.0)
+
+
+def scores(found: list[Token], weights: Weights) -> list[float]:
+    held: dict[frozenset, float] = {}
+    out = []
+    for t in found:
+        if t.text:
+            if t.hints not in held:
+                held[t.hints] = max(LEAST, chance_of(t.hints, weights.chance))
+            out.append(len(t.text.split()) * held[t.hints])
+        else:
+            out.append(weights.tags.get(t.tag, UNSEEN_TAG))
     return out
 
 
-def fit(pages: list[str]) -> dict[str, float]:
-    """Weights from labelled pages: the log-odds of content, words above zero outside boilerplate, tags below zero."""
-    inside, outside = defaultdict(float), defaultdict(float)
+def best_region(values: list[float]) -> tuple[int, int]:
+    """Start and end of the contiguous run with the largest sum."""
+    best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
+    for i, v in enumerate(values):
+        total += v
+        if total <= 0:
+            total, start = 0.0, i + 1
+        elif total > best:
+            best, best_from, best_to = total, start, i + 1
+    return best_from, best_to
+
+
+def fit(pages: list[str], rounds: int = 100) -> Weights:
+    """Chances from word counts; tags from log-odds, then moved until each page's best region covers its content and no other words that count."""
+    inside, outside, tag_in, tag_out = (defaultdict(float) for _ in range(4))
+    known: list[tuple[list[Token], list[bool]]] = []
     for page in pages:
-        within = False
-        for feature, kind, text in tokens(page):
-            pieces = re.split(f"([{START}{END}])", text) if text else [""]
-            for piece in pieces:
+        found, within, cut, flags = [], False, False, []
+        for t in tokens(page):
+            for piece in re.split(f"([{START}{END}{CUT}{RESUME}])", t.text) if t.text else [""]:
                 if piece in (START, END):
                     within = piece == START
-                    continue
-                name = f"w:{kind}" if text else f"t:{kind}:{feature.lstrip('/')}"
-                (inside if within else outside)[name] += len(piece.split()) if text else 1
-    weights: dict[str, float] = {}
-    for name in inside.keys() | outside.keys():
-        odds = math.log((inside[name] + 0.5) / (outside[name] + 0.5))
-        weights[name] = max(0.5, min(3.0, odds)) if name == "w:body" else max(-3.0, min(-0.3, odds)) if name[0] == "w" else max(-6.0, min(-0.1, odds - 0.5))
+                elif piece in (CUT, RESUME):
+                    cut = piece == CUT
+                elif piece or not t.text:
+                    found.append(t._replace(text=piece))
+                    flags.append(within)
+                    if piece:
+                        for h in t.hints:
+                            (inside if within and not cut else outside)[h] += len(piece.split())
+                    else:
+                        (tag_in if within else tag_out)[t.tag] += 1
+        known.append((found, flags))
+    chance = {h: (inside[h] + 0.05) / (inside[h] + outside[h] + 0.1) for h in inside.keys() | outside.keys()}
+    tags = {t: min(-0.1, math.log((tag_in[t] + 0.5) / (tag_out[t] + 0.5)) - 0.2) for t in tag_in.keys() | tag_out.keys()}
+    weights = Weights(chance, {t: max(MOST_AT_FIRST, w) for t, w in tags.items()})
+    for _ in range(rounds):
+        moved = False
+        for found, flags in known:
+            a, b = best_region(scores(found, weights))
+            taken = [a <= i < b for i in range(len(found))]
+            if all(w == f for w, f, t in zip(taken, flags, found, strict=True) if t.text.strip() and chance_of(t.hints, chance) >= 0.5):
+                continue
+            moved = True
+            for t in {t.tag for t, w, f in zip(found, taken, flags, strict=True) if not t.text and f and not w}:
+                weights.tags[t] = min(-0.1, weights.tags[t] + 0.25)
+            for t in {t.tag for t, w, f in zip(found, taken, flags, strict=True) if not t.text and w and not f}:
+                weights.tags[t] -= 0.5
+        if not moved:
+            break
     return weights
 
 
-WEIGHTS = fit(LABELLED_PAGES)
-UNSEEN_TAG, UNSEEN_KIND, UNSEEN_WORD = -0.3, -3.0, -1.5
-#: What an edge of an element that is marked as the page's content costs: enough to part it from what stands beside it.
-CONTENT_EDGE = -40.0
+WEIGHTS = fit(labelled_pages())
 
 
-def extract(page: str | None, weights: dict[str, float] = WEIGHTS) -> str:
+def extract(page: str | None, weights: Weights = WEIGHTS) -> str:
     """The text of the best region, one block a line."""
     found = tokens(page or "")
-    marked = any(f in CONTENT_TAGS for f, _, _ in found)
-    best, best_from, best_to, total, start = 0.0, 0, 0, 0.0, 0
-    for i, (feature, kind, text) in enumerate(found):
-        if text:
-            n = len(text.split())
-            total += n * (weights.get("w:body", 1.0) if kind == "body" else weights.get(f"w:{kind}", UNSEEN_WORD))
-        elif marked and feature.lstrip("/") in CONTENT_TAGS:
-            total += CONTENT_EDGE
-        else:
-            name = feature.lstrip("/")
-            total += weights.get(f"t:{kind}:{name}", UNSEEN_TAG if kind == "body" else UNSEEN_KIND)
-        if total <= 0:
-            total, start = 0.0, i + 1
-        elif total > best:
-            best, best_from, best_to = total, start, i + 1
+    a, b = best_region(scores(found, weights))
     out: list[str] = []
     held: list[str] = []
-    for feature, kind, text in found[best_from:best_to]:
-        if text:
-            if kind == "body":
-                held.append(html.unescape(text))
-        elif feature.lstrip("/") in BLOCK:
+    content: dict[frozenset, bool] = {}
+    for t in found[a:b]:
+        if t.text:
+            if t.hints not in content:
+                content[t.hints] = chance_of(t.hints, weights.chance) >= 0.5
+            if content[t.hints]:
+                held.append(html.unescape(t.text))
+        elif t.tag.lstrip("/") in BLOCK:
             out.append(" ".join("".join(held).split()))
             held = []
     out.append(" ".join("".join(held).split()))
@@ -193,8 +244,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``(page_id, url, text, n_chars)`` for every row of ``pages``.
 
     Null or empty pages, and pages without words outside boilerplate, give the empty text and
-    0 characters. Pages are read whole, and cut-off pages as far as they go. Repeated rows
-    come back repeated.
+    0 characters. Pages of any length are read whole, and cut-off pages as far as they go. Repeated rows
+    come back repeated. A page with several marked regions gives one text if each has more words than the marks between them
+    cost (about 40), else the largest region alone.
     """
     out = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), extract_column(F.col(html_col)).alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
