@@ -9,10 +9,10 @@ ROWS, BYTES = 500, 8 << 20
 
 
 def bounded() -> None:
-    """Lower the active session's batch limits to ROWS and BYTES.
+    """Lower the active session's Arrow batch limits to ROWS and BYTES; lower limits stay.
 
-    A lower row limit stays, and so does a byte limit that was set when the application
-    started. A longer text is a batch of its own. Later queries of the session keep the limits.
+    Spark reads the limits when a query runs, after the operator has returned, so they stay set. They
+    bound memory alone: no result of this library depends on how rows fall into batches.
     """
     spark = SparkSession.active()
     rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
