@@ -1,18 +1,18 @@
 """Exact top-k by integer inner product: best-first search in M-trees.
 
 With one more coordinate sqrt(M^2 - |v|^2), M the largest norm of all, the Euclidean distance of a query (with 0
-there) falls as the inner product rises, so a metric tree can serve. A bounded sample gives PARTS pivots, the
-entries of the root: each vector goes below its nearest pivot. Each part is an M-tree of pages: an inner entry has
-a pivot, a covering radius and its distance to the parent's pivot, a leaf entry its distance to the parent's.
-Queries start from the k-th best score within the sample, skip parts whose ball lies beyond it, go through a tree
-by the smallest possible distance, and leave out entries the stored distances already exclude. Scores are exact
-64-bit integers; a bound excludes only what is farther than the k-th best by more than rounding can explain.
+there) falls as the inner product rises, so a metric tree can serve. A bounded sample gives pivots, more the larger
+the table: each vector goes below its nearest one. Each block of a pivot's vectors is an M-tree of pages, built once
+and written: an inner entry has a pivot, a covering radius and its distance to the parent's pivot, a leaf entry its
+distance to the parent's. Queries start from the k-th best score within the sample, skip trees whose ball lies beyond
+it, go through a tree by the smallest possible distance, and leave out entries the stored distances already exclude.
+Scores are exact 64-bit integers; a bound excludes only what is farther than the k-th best by more than rounding can explain.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -20,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.scratch import Scratch
-from memloom.llm.vectors import blocked, capped, exact_best, matrix, prepare, ranked, representatives, sample
+from memloom.llm.vectors import Best, by_length, capped, index, matrix, prepare, ranked, representatives, sample, through
 
-SAMPLE, PARTS = 2048, 16
+SAMPLE, MOST_PARTS = 4096, 512
 PAGE, FANOUT = 64, 32
-SLACK = 1e-6
+SLACK = 1e-9
+SCHEMA = "query_id long, rank int, vec_id long, score long"
 
 
 def lifted(v: np.ndarray, top: float) -> np.ndarray:
@@ -36,6 +37,17 @@ def distances(points: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.sqrt(((points - to) ** 2).sum(axis=1))
 
 
+def rounding(base: float | np.ndarray, dim: int) -> float | np.ndarray:
+    """How far a distance computed from squares about ``base`` can be off: nothing while they are exact integers."""
+    return np.where(np.asarray(base) >= 2.0**52, np.sqrt((dim + 8) * 2.0**-51 * np.asarray(base)), 0.0)
+
+
+def reach(base: float | np.ndarray, low: float | np.ndarray, dim: int) -> float | np.ndarray:
+    """The distance beyond which scores are below ``low``; ``base`` is the squared norms of query and top."""
+    wide = 2 * rounding(base, dim)
+    return np.where(np.isfinite(low), np.sqrt(np.maximum(base - 2 * np.where(np.isfinite(low), low, 0), 0)) + wide, np.inf)
+
+
 class Node:
     """A page: rows of the pivots or vectors, their distances to this page's own pivot, and, if inner, radii and children."""
 
@@ -43,7 +55,7 @@ class Node:
 
     def __init__(self, rows: np.ndarray, points: np.ndarray, pivot: np.ndarray, rng: np.random.Generator):
         if len(rows) <= PAGE:
-            self.rows, self.points, self.children, self.radii = rows, points, None, None
+            self.rows, self.points, self.children, self.radii = rows, None, None, None
             self.to_parent = distances(points, pivot)
             return
         n = min(FANOUT, -(-len(rows) // PAGE))
@@ -59,95 +71,112 @@ class Node:
 
 
 class Tree:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, seed: int = 7):
-        self.ids, self.top = ids, top
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, top: float, seed: int = 7):
+        self.rows, self.ids, self.top = rows, ids, top
         self.whole = vectors.astype(np.int64)
         points = lifted(vectors, top)
         self.pivot = points.mean(axis=0)
+        self.radius = float(distances(points, self.pivot).max())
         self.root = Node(np.arange(len(ids)), points, self.pivot, np.random.default_rng(seed))
 
-    def best(self, query: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the ``k`` best among scores of at least ``floor``, ties included."""
-        whole, point = query.astype(np.int64), np.append(query, 0.0)
+    def best(self, query: np.ndarray, to_pivot: float, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and scores of the ``k`` best among scores of at least ``floor`` (ties included), and how many were computed."""
+        whole, point, dim = query.astype(np.int64), np.append(query, 0.0), len(query)
         base = float(query @ query) + self.top
-        scores, rows, order = np.empty(0, np.int64), np.empty(0, np.int64), 0
+        scores, at, order, computed = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0
+        off = float(rounding(base, dim))
 
-        def reach() -> float:
+        def limit_now() -> float:
             low = max(floor, float(scores.min()) if len(scores) >= k else -np.inf)
-            return np.inf if low == -np.inf else np.sqrt(max(base - 2 * low, 0)) * (1 + SLACK) + SLACK
+            return float(reach(base, low, dim))
 
-        limit = reach()
-        heap = [(0.0, order, self.root, float(distances(self.pivot[None], point)[0]))]
+        limit = limit_now()
+        heap = [(0.0, order, self.root, to_pivot)]
         while heap:
-            bound, _, node, to_pivot = heapq.heappop(heap)
-            if bound > limit:
+            bound, _, node, near = heapq.heappop(heap)
+            slack = SLACK * (1 + near) + off
+            if bound > limit * (1 + SLACK) + slack:
                 break
-            apart = np.abs(to_pivot - node.to_parent)
+            apart = np.abs(near - node.to_parent) - slack
             if node.children is None:
-                open_ = np.flatnonzero(apart <= limit)
+                open_ = np.flatnonzero(apart <= limit * (1 + SLACK))
                 if len(open_):
                     found = self.whole[node.rows[open_]] @ whole
-                    scores, rows = np.concatenate((scores, found)), np.concatenate((rows, node.rows[open_]))
+                    computed += len(open_)
+                    scores, at = np.concatenate((scores, found)), np.concatenate((at, node.rows[open_]))
                     if len(scores) > k:
-                        at = exact_best(self.ids[rows], scores, k)
-                        scores, rows = scores[at], rows[at]
-                    limit = reach()
+                        keep = np.lexsort((self.rows[at], self.ids[at], -scores))[:k]
+                        scores, at = scores[keep], at[keep]
+                    limit = limit_now()
                 continue
-            for i, d in zip(open_ := np.flatnonzero(apart - node.radii <= limit), distances(node.points[open_], point), strict=True):
+            open_ = np.flatnonzero(apart - node.radii <= limit * (1 + SLACK))
+            for i, d in zip(open_, distances(node.points[open_], point), strict=True):
                 low = d - node.radii[i]
-                if low <= limit:
+                if low <= limit * (1 + SLACK) + slack:
                     order += 1
                     heapq.heappush(heap, (max(low, 0.0), order, node.children[i], float(d)))
-        return rows, scores
+        return at, scores, computed
+
+
+def visit(part: int, block: bytes, queries: dict, best: Best) -> None:
+    """The best of one tree for every query its ball lets in."""
+    tree = pickle.loads(block)
+    v, dim = queries["v"], queries["v"].shape[1]
+    apart = distances(np.concatenate((v, np.zeros((len(v), 1))), axis=1), tree.pivot)
+    base = (v**2).sum(axis=1) + tree.top
+    open_ = np.flatnonzero(apart - tree.radius <= reach(base, best.floor, dim) * (1 + SLACK) + SLACK * (1 + apart) + rounding(base, dim))
+    for q in open_:
+        at, scores, _ = tree.best(v[q], float(apart[q]), best.k, best.floor[q])
+        if len(at):
+            best.add(np.full(len(at), q), tree.ids[at], tree.rows[at], scores, part)
+    best.rank()
 
 
 def search(embeddings: DataFrame, queries: Column, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row that ``queries`` selects (by ``vec_id``), its exact ``k`` best.
 
-    Components become ``floor(scale * x)``; ties go to the smaller id. Which rows take part: see
-    ``prepare`` (zero vectors do). Squares and scores must stay below 2**53. An empty table, or
-    one row, gives an empty result.
+    Components become ``floor(scale * x)``; ties go to the smaller id. Rows that share an id stay rows of their own.
+    Which rows take part: see ``prepare`` (zero vectors do). Vectors meet those of their own length. An empty table, or
+    one row, gives an empty result. Components of 2**53 and more and scores of 2**62 and more raise a ValueError.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "mtree")
     rows = scratch.save(prepare(embeddings, id_col, vec_col, lambda x: F.floor(x * scale).cast("double"), zeros=True))
-    cands = capped(rows, k + 1)
-    _, x = sample(cands, SAMPLE)
-    if not len(x):
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     norm = F.aggregate("v", F.lit(0.0), lambda acc, a: acc + a * a)
-    top = rows.agg(F.max(norm)).first()[0]
-    pivots = lifted(x[np.linspace(0, len(x) - 1, min(PARTS, len(x))).astype(int)], top)
-
-    @F.pandas_udf("part int, far double")
-    def placed(v: pd.Series) -> pd.DataFrame:
-        points = lifted(matrix(v), top)
-        d = np.sqrt(np.maximum((points**2).sum(axis=1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(axis=1)[None], 0))
-        part = d.argmin(axis=1)
-        return pd.DataFrame({"part": part.astype(np.int32), "far": d[np.arange(len(d)), part]})
-
-    cands = scratch.save(cands.withColumn("at", placed(F.col("v"))).select("vec_id", "v", "at.part", "at.far"))
-    radius = dict(cands.groupBy("part").agg(F.max("far")).collect())  # at most PARTS rows
-    radii = np.array([radius.get(p, -np.inf) for p in range(len(pivots))])
-
-    @F.pandas_udf("floor double, parts array<int>")
-    def routed(v: pd.Series) -> pd.DataFrame:
-        q = matrix(v)
-        known = np.sort(q @ x.T, axis=1)
-        floor = known[:, -(k + 1)] if len(x) > k else np.full(len(q), -np.inf)
-        points = np.concatenate((q, np.zeros((len(q), 1))), axis=1)
-        d = np.sqrt(np.maximum((points**2).sum(axis=1)[:, None] - 2 * points @ pivots.T + (pivots**2).sum(axis=1)[None], 0))
-        limit = np.sqrt(np.maximum((q**2).sum(axis=1) + top - 2 * floor, 0)) * (1 + SLACK) + SLACK
-        open_ = (d - radii[None]) * (1 - SLACK) - SLACK <= limit[:, None]
-        return pd.DataFrame({"floor": floor, "parts": [np.flatnonzero(o).astype(np.int32) for o in open_]})
-
-    reps, who = representatives(rows.filter(queries))
-    asked = scratch.save(reps.withColumn("way", routed(F.col("v"))).select("rep", "v", "way.floor", F.explode("way.parts").alias("part")))
-
-    def run(ids: np.ndarray, c: np.ndarray, q: pd.DataFrame) -> Iterator:
-        tree = Tree(ids, c, top)
-        for rep, v, floor in zip(q["rep"], q["v"], q["floor"], strict=True):
-            at, scores = tree.best(np.asarray(v, np.float64), k + 1, floor)
-            yield int(rep), ids[at], scores
-
-    return ranked(blocked(cands.drop("far"), asked, len(pivots), run, "long"), who, k)
+    largest = rows.agg(F.max(norm), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    if largest[0] is not None and (largest[0] >= 2.0**62 or largest[1] >= 2.0**53):
+        raise ValueError("components or scores are too large for exact 64-bit integers")
+
+    def one(mine: DataFrame) -> DataFrame | None:
+        cands = scratch.save(capped(mine, k + 1).drop("h", "g"))
+        reps, who = representatives(mine.filter(queries))
+        total = cands.count()
+        x = sample(cands, total, SAMPLE)
+        if not len(x):
+            x = np.array([r["v"] for r in cands.limit(1).collect()])
+        top = cands.agg(F.max(norm)).first()[0]
+        parts = max(1, min(MOST_PARTS, len(x), int(total**0.5 / 4)))
+        pivots = lifted(x[np.linspace(0, len(x) - 1, parts).astype(int)], top)
+
+        @F.pandas_udf("int")
+        def placed(v: pd.Series) -> pd.Series:
+            return pd.Series(((pivots**2).sum(axis=1)[None] - 2 * lifted(matrix(v), top) @ pivots.T).argmin(axis=1).astype(np.int32))
+
+        @F.pandas_udf("double")
+        def floor(v: pd.Series) -> pd.Series:
+            q = matrix(v)
+            if len(x) <= k:
+                return pd.Series(np.full(len(q), -np.inf))
+            base = (q**2).sum(axis=1) + top
+            return pd.Series(np.partition(q @ x.T, len(x) - k - 1, axis=1)[:, len(x) - k - 1] - np.where(base >= 2.0**52, (x.shape[1] + 8) * 2.0**-51 * base, 0))
+
+        def tree(at: np.ndarray, ids: np.ndarray, v: np.ndarray) -> bytes:
+            return pickle.dumps(Tree(at, ids, v, top), protocol=5)
+
+        blocks, _ = index(cands.withColumn("part", placed(F.col("v"))), tree, scratch)
+        asked = scratch.save(reps.select("rep", "v", floor(F.col("v")).alias("floor"), F.lit(b"").alias("route")))
+        if asked.isEmpty():
+            return None
+        return ranked(through(blocks, asked, 8 * x.shape[1] + 64, k + 1, visit, "long", scratch), who, k)
+
+    return by_length(rows, one, SCHEMA)
