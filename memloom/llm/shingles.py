@@ -1,19 +1,15 @@
-"""Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates come from multi-index hashing of the sets themselves. Sets with such a similarity
-differ in at most (a + b) / 9 shingles, so sets cut by a hash into more non-empty segments than
-that have a segment in common, whole. Sizes are put into classes that grow by a quarter; similar
-sets lie in one class or in neighbouring ones, and each set is cut for its own class and the next.
-A set whose segments are too few because some stayed empty also offers its smallest shingles (a
-prefix filter), which meet those of the like. Shingles that are common in a sample of texts (shared
-lines and passages) take no part in segments, which can only lessen what two sets differ in, and come
-last in the prefix; the sample decides on costs alone. So no pair is missed, but for equal 64-bit hashes of
-different shingles or texts.
-
-A segment's texts are linked to the smallest of them. The links are verified, and after that every
-pair of texts that share a segment but not yet a component. So pairs inside a large group of near
-copies are never listed, and components are those of all pairs. Before whole sets are compared,
-parity sketches are: they differ in no more bits than the sets differ in shingles.
+"""Documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, one of each group kept.
+
+Candidates come from the SimHash operator's multi-index hashing (fingerprints of five-word shingles, two bits apart at most)
+and from bands of MinHash values. SimHash alone can't do: at 0.8 about ten of 64 bits differ, which no ball reaches
+without listing a large part of all pairs. BANDS bands of ROWS minima find a pair of similarity 0.8 but for
+(1 - 0.8^ROWS)^BANDS, 3 in 100,000, and any above more surely still. All candidates are verified on whole sets, so nothing
+less similar is linked.
+
+A band's texts are linked to the smallest of them. The links are verified, and after that every pair of texts that
+share a band but not yet a component. So pairs inside a large group of near copies are never listed, and components are
+those of all pairs found. Before whole sets are compared, parity sketches are: they differ in no more bits than the sets
+differ in shingles. Texts with equal words are one, told by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -23,23 +19,19 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from memloom.llm.batches import bounded
 from memloom.llm.components import components
 from memloom.llm.scratch import Scratch
-from memloom.llm.simhash import LOWER, one_of_each, whole_row
+from memloom.llm.simhash import LOWER, few, majority, one_of_each, whole_row
+from memloom.llm.simhash import links as simhash_links
 
 WORDS = 5
-#: The least similarity, as a fraction; the classes and segments below hold for 4 / 5 alone.
+#: The least similarity, as a fraction.
 LEAST, OF = 4, 5
+BANDS, ROWS = 26, 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-#: Texts sampled for the shingles that are common, how many of them hold one at least, and the most that are told.
-SAMPLED, SEEN, MOST = 4096, 5, 1 << 16
-NONE = np.zeros(0, np.uint64)
-EDGES = [1]
-while EDGES[-1] < 1 << 40:
-    EDGES.append(EDGES[-1] * OF // LEAST + 1)
+_SALT, _TIMES = (np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False) | np.uint64(1))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -57,8 +49,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(found: list[bytes]) -> np.ndarray:
-    """Sorted distinct hashes of the shingles; texts of fewer words are one shingle."""
+def every_shingle(found: list[bytes]) -> np.ndarray:
+    """Hashes of the shingles, repeats included; texts of fewer words are one shingle."""
     n = len(found)
     if not n:
         return np.zeros(0, np.uint64)
@@ -67,32 +59,22 @@ def shingles(found: list[bytes]) -> np.ndarray:
     total = np.full(n - k + 1, k, np.uint64)
     for i in range(k):
         total += mixed(hashes[i : n - k + 1 + i] * _ODD[i])
-    return np.unique(mixed(total))
+    return mixed(total)
 
 
-def segments(held: np.ndarray, common: np.ndarray = NONE) -> np.ndarray:
-    """Keys of which two sets of the least similarity have one in common, whatever shingles are ``common``."""
-    n, out = len(held), []
-    if not n:
+def shingles(found: list[bytes]) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(every_shingle(found))
+
+
+def bands(held: np.ndarray) -> np.ndarray:
+    """A key for each band: a hash of ROWS minima over the set, each in an order of its own. None for the empty set."""
+    if not len(held):
         return held
-    often = np.isin(held, common, assume_unique=True)
-    rare = held[~often]
-    ranked = np.concatenate((rare, held[often]))
-    own = int(np.searchsorted(EDGES, n, "right")) - 1
-    for level in (own, own + 1):
-        tag = np.array([level + 1], np.uint64)
-        differ = 2 * (EDGES[level + 1] - 1) // 9
-        parts = differ + 1 + (2 + differ // 5 if differ else 0)
-        at = (rare >> np.uint64(8)) % np.uint64(parts)
-        order = np.argsort(at, kind="stable")
-        at = at[order]
-        starts = np.flatnonzero(np.diff(at, prepend=np.uint64(parts)))
-        sums = np.add.reduceat(mixed(rare[order] * _ODD[0]), starts) if len(rare) else rare
-        out.append(mixed(sums + at[starts] * _ODD[1] + tag * _ODD[2]))
-        if len(starts) <= differ:
-            first = n - (LEAST * n + OF - 1) // OF + 1
-            out.append(mixed(ranked[:first] + tag * _ODD[3]))
-    return np.unique(np.concatenate(out))
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(held), 2048):
+        low = np.minimum(low, ((held[at : at + 2048, None] ^ _SALT) * _TIMES).min(axis=0))
+    return mixed((mixed(low.reshape(BANDS, ROWS)) * _ODD).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64))
 
 
 def sketch(held: np.ndarray) -> bytes:
@@ -121,8 +103,8 @@ def similar(a: bytes, b: bytes) -> bool:
     return OF * both >= LEAST * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The ``pairs(a, b)`` that have the least similarity; ``rows(key, n, sketch, row)`` and ``texts(row, text)`` hold each text once at least."""
+def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ``pairs(a, b)`` that have the least similarity; ``known(key, row, times, n, sketch)`` and ``texts(row, text)`` hold each text once at least."""
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
@@ -136,13 +118,14 @@ def _verified(pairs: DataFrame, rows: DataFrame, texts: DataFrame, scratch: Scra
     def pack(texts: pd.Series) -> pd.Series:
         return pd.Series([shingles(words(t)).tobytes() for t in texts], dtype=object)
 
-    small = rows.groupBy("key").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    found = pairs.join(small.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), "a")
-    found = found.join(small.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
-    found = scratch.save(found.filter("4 * greatest(n, m) <= 5 * least(n, m)").filter(near("x", "n", "y", "m")).select("a", "b"))
-    asked = found.select(F.col("a").alias("key")).union(found.select("b")).distinct()
-    asked = small.select("key", "row").join(asked, "key", "left_semi")
-    sets = scratch.save(texts.join(asked, "row").dropDuplicates(["row"]).select("key", pack("text").alias("held")))
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    known = scratch.save(known.join(few(ends), "key", "left_semi"))
+    found = pairs.join(known.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), "a").filter("n > 0")
+    found = found.join(known.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    found = scratch.save(found.filter(f"{LEAST} * greatest(n, m) <= {OF} * least(n, m)").filter(near("x", "n", "y", "m")).select("a", "b"))
+    asked = scratch.save(known.select("key", "row", "times").join(found.select(F.col("a").alias("key")).union(found.select("b")).distinct(), "key"))
+    sets = texts.join(few(asked), "row").select("row", "key", "times", pack("text").alias("held"))
+    sets = scratch.save(sets.filter("times = 1").union(sets.filter("times > 1").dropDuplicates(["row"])).select("key", "held"))
     held = found.join(sets.select(F.col("key").alias("a"), F.col("held").alias("x")), "a")
     held = held.join(sets.select(F.col("key").alias("b"), F.col("held").alias("y")), "b")
     return scratch.save(held.filter(udf("x", "y")).select("a", "b"))
@@ -153,36 +136,32 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
     bounded()
     row = whole_row(docs)
 
-    @F.pandas_udf("key long, n int, sketch binary")
-    def small(texts: pd.Series) -> pd.DataFrame:
-        found = [words(t) for t in texts]
-        keys = np.array([text_key(x) for x in found], np.uint64).view(np.int64)
-        sets = [shingles(x) for x in found]
-        return pd.DataFrame({"key": keys, "n": np.array([len(x) for x in sets], np.int32), "sketch": [sketch(x) for x in sets]})
-
-    @F.pandas_udf("array<long>")
-    def listed(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(words(t)).view(np.int64) for t in texts], dtype=object)
-
-    rows = scratch.save(docs.select(F.col(id_col).alias("id"), row.alias("row"), small(F.col(text_col)).alias("c")).select("id", "row", "c.*"))
+    @F.pandas_udf("key long, fp long, n int, sketch binary, band array<long>")
+    def signs(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            found = words(t)
+            every = every_shingle(found)
+            held = np.unique(every)
+            key, fp = np.array([text_key(found), majority(every) if len(every) else 0], np.uint64).view(np.int64)
+            out.append((key, fp, len(held), sketch(held), bands(held).view(np.int64)))
+        return pd.DataFrame(out, columns=["key", "fp", "n", "sketch", "band"])
+
+    rows = scratch.save(docs.select(F.col(id_col).alias("id"), row.alias("row"), signs(F.col(text_col)).alias("c")).select("id", "row", "c.*"))
     texts = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    every = max(1, rows.count() // SAMPLED)
-    sample = texts.select("text").filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).distinct()
-    counts = sample.select(F.explode(listed("text")).alias("s")).groupBy("s").count().filter(F.col("count") >= SEEN)
-    common = np.sort(np.array([r["s"] for r in counts.orderBy(F.desc("count"), "s").limit(MOST).collect()], np.int64).view(np.uint64))
-
-    @F.pandas_udf("key long, segment array<long>")
-    def cut(texts: pd.Series) -> pd.DataFrame:
-        found = [words(t) for t in texts]
-        keys = np.array([text_key(x) for x in found], np.uint64).view(np.int64)
-        return pd.DataFrame({"key": keys, "segment": [segments(shingles(x), common).view(np.int64) for x in found]})
-
-    cuts = docs.select(cut(F.col(text_col)).alias("c")).select("c.key", F.explode("c.segment").alias("segment"))
-    bucket = Window.partitionBy("segment")
-    met = cuts.withColumn("a", F.min("key").over(bucket)).withColumn("z", F.max("key").over(bucket)).filter("a <> z")
-    met = scratch.save(met.select("segment", "key", "a").distinct())
-    stars = scratch.save(met.filter("a <> key").select("a", F.col("key").alias("b")).distinct())
-    edges = _verified(stars, rows, texts, scratch)
+    known = scratch.save(rows.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+
+    prints = scratch.save(known.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key")))
+    near = simhash_links(prints.select("fp"), scratch)
+    alike = near.join(prints.select(F.col("fp").alias("a"), F.col("key").alias("p")), "a").join(prints.select(F.col("fp").alias("b"), F.col("key").alias("q")), "b").select("p", "q")
+    equal = known.filter("n > 0").select("fp", F.col("key").alias("q")).join(prints.select("fp", F.col("key").alias("p")), "fp").filter("p <> q").select("p", "q")
+    alike = alike.union(equal).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+    cuts = rows.select("key", F.explode("band").alias("segment"))
+    shared = scratch.save(cuts.groupBy("segment").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("segment", "a"))
+    met = scratch.save(cuts.join(few(shared), "segment").select("segment", "key", "a").distinct())
+    stars = scratch.save(met.filter("a <> key").select("a", F.col("key").alias("b")).union(alike).distinct())
+    edges = _verified(stars, known, texts, scratch)
     label = components(edges, scratch).select(F.col("node").alias("key"), "label")
     placed = met.join(label, "key", "left").select("segment", "key", F.coalesce("label", "key").alias("root"))
     split = placed.groupBy("segment").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
@@ -193,7 +172,7 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
     cross = cross.join(placed.select("segment", F.col("root").alias("s"), F.col("key").alias("q")), ["segment", "s"])
     pairs = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     pairs = scratch.save(pairs.join(stars, ["a", "b"], "left_anti"))
-    edges = scratch.save(edges.union(_verified(pairs, rows, texts, scratch)))
+    edges = scratch.save(edges.union(_verified(pairs, known, texts, scratch)))
     label = components(edges, scratch).select(F.col("node").alias("key"), "label")
     return rows.join(label, "key", "left").select("id", "row", F.coalesce("label", "key").alias("root"))
 
@@ -202,7 +181,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The rows of ``docs`` left when one document of each component of similar texts stays: the smallest id.
 
     Columns as in ``docs``, none of them a map. Null text counts as empty, and texts without words are one
-    component. A component keeps exactly one row, also where ids repeat or are null.
+    component. A component keeps exactly one row, also where ids repeat or are null. Texts are read whole.
     """
     scratch = Scratch(docs.sparkSession, "shingles")
-    return one_of_each(docs, rooted(docs, id_col, text_col, scratch))
+    return one_of_each(docs, rooted(docs, id_col, text_col, scratch), scratch)
