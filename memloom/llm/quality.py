@@ -1,10 +1,10 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Terms are hashed byte pairs and hashed word shapes (case, digits, symbols, end mark, equal to the
-word before), counted over the whole text as log(1 + n) times inverse document frequency. A truncated
-singular value decomposition of a bounded labelled sample gives RANK latent directions. The labelled
-vectors (at most 2 * PER_CLASS rows of RANK numbers) are broadcast; every document's exact cosine with
-all of them is taken in blocks, and its NEAREST neighbours vote, weighted by a power of similarity.
+Terms are hashed words, hashed word ends (the last three bytes) and hashed pairs of neighbouring words (the exclusive
+or of both hashes, so a word met twice in a row is one term), counted over the whole text as log(1 + relative
+count) times inverse document frequency. A truncated singular value decomposition of a bounded labelled sample gives
+RANK latent directions. The labelled vectors (at most 2 * PER_CLASS rows of RANK numbers) are broadcast; every
+document's exact cosine with all of them is taken in blocks, and its NEAREST neighbours vote, weighted by a power of similarity.
 """
 
 from __future__ import annotations
@@ -21,53 +21,41 @@ from memloom.llm.textnum import Hasher, blocks, spans
 FOLDS, HELD = 5, 0
 CUT = 0.3
 PER_CLASS, MAX_CHARS = 1500, 8000
-PAIRS, SHAPES = 4096, 512
-TERMS = PAIRS + SHAPES
-RANK, NEAREST, POWER = 48, 15, 8
-SHAPE_WEIGHT = 4.0
+WORDS, ENDS, PAIRS = 2048, 2048, 512
+TERMS = WORDS + ENDS + PAIRS
+RANK, NEAREST, POWER = 16, 15, 8
+PAIR_WEIGHT = 2.0
+_PARTS = ((0, WORDS, 1.0), (WORDS, WORDS + ENDS, 1.0), (WORDS + ENDS, TERMS, PAIR_WEIGHT))
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13, 0]] = True
-#: Character classes: 0 lower case and non-ASCII, 1 upper case, 2 digit, 3 end mark, 4 other symbol.
-_CLASS = np.zeros(256, np.uint8)
-_CLASS[65:91] = 1
-_CLASS[48:58] = 2
-_CLASS[list(range(33, 48)) + list(range(58, 65)) + list(range(91, 97)) + list(range(123, 127))] = 4
-_CLASS[[44, 46]] = 3
 
 
 def counts(raw: list[bytes]) -> np.ndarray:
     """Term counts, one row for each text."""
     data = np.frombuffer(b"\0".join(raw) + b"\0", np.uint8)
     n = len(raw)
-    sizes = np.fromiter(map(len, raw), np.int64, n) + 1
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    bounds = np.concatenate(([0], np.cumsum(np.fromiter(map(len, raw), np.int64, n) + 1)))
     out = np.zeros((n, TERMS), np.float32)
-    pair = (data[:-1].astype(np.uint32) * 251 + data[1:]) * np.uint32(2654435761) >> np.uint32(20)
-    for d in range(n):
-        a, b = bounds[d], bounds[d + 1] - 2
-        if b > a:
-            out[d, :PAIRS] = np.bincount(pair[a:b], minlength=PAIRS)[:PAIRS]
     start, end = spans(~_SPACE[data])
-    if len(start):
-        kinds = _CLASS[data]
-        total = [np.concatenate(([0], np.cumsum(kinds == k))) for k in (1, 2, 4)]
-        length = end - start
-        upper, digit, symbol = ((t[end] - t[start]) for t in total)
-        word = Hasher(data)(start, end)
-        same = np.concatenate(([False], word[1:] == word[:-1]))
-        shape = (upper > 1) * 1 + (upper == length) * 2 + (digit > 0) * 4 + np.minimum(symbol, 3) * 8 + same * 32 + (kinds[end - 1] == 3) * 64
-        owner = np.searchsorted(bounds, start, side="right") - 1
-        out[:, PAIRS:] = np.bincount(owner * SHAPES + shape, minlength=n * SHAPES).reshape(n, SHAPES)
+    if not len(start):
+        return out
+    hasher = Hasher(data)
+    word, tail = hasher(start, end), hasher(np.maximum(end - 3, start), end)
+    owner = np.searchsorted(bounds, start, side="right") - 1
+    one = owner[1:] == owner[:-1]
+    pair = (word[1:] ^ word[:-1])[one]
+    for (a, b, _), of, hashed in zip(_PARTS, (owner, owner, owner[1:][one]), (word, tail, pair), strict=True):
+        out[:, a:b] = np.bincount(of * (b - a) + (hashed % np.uint64(b - a)).astype(np.int64), minlength=n * (b - a)).reshape(n, b - a)
     return out
 
 
 def weighed(c: np.ndarray) -> np.ndarray:
-    """Logs of relative counts, so that a text's length does not matter; shapes weigh SHAPE_WEIGHT times."""
-    for part, weight in ((slice(0, PAIRS), 1.0), (slice(PAIRS, TERMS), SHAPE_WEIGHT)):
-        own = c[:, part]
+    """Logs of relative counts, so that a text's length does not matter; pairs weigh PAIR_WEIGHT times."""
+    for a, b, weight in _PARTS:
+        own = c[:, a:b]
         total = np.maximum(own.sum(axis=1, keepdims=True), 1)
-        c[:, part] = weight * np.log1p(own * (1000 / total))
+        c[:, a:b] = weight * np.log1p(own * (1000 / total))
     return c
 
 
@@ -86,8 +74,8 @@ class Voter:
             return
         x = np.concatenate([weighed(counts(raw)) for _, raw in blocks([t for t, _ in rows])])
         self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
-        self.mean = None
-        x = unit(x * self.idf)
+        x *= self.idf
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         self.mean = x.mean(axis=0)
         x -= self.mean
         rank = min(RANK, len(x) - 1)
@@ -96,8 +84,8 @@ class Voter:
         top = top[values[top] > 1e-9]
         self.project = (x.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32)
         self.vectors, self.labels = unit(x @ self.project), y
-        # both labels weigh alike, whatever the sample holds of each
-        self.balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())).astype(np.float32)
+        # half of what would make both labels weigh alike, whatever the sample holds of each
+        self.balance = np.sqrt(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))).astype(np.float32)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         out = np.empty(len(texts))
@@ -132,19 +120,23 @@ def score_column(voter: Voter, spark, text: Column) -> Column:
     return udf(text)
 
 
+def score_of(docs: DataFrame, labels: DataFrame) -> Column:
+    """The quality of ``docs``' column ``text`` by a classifier fitted on its labelled rows; null text counts as empty."""
+    return score_column(fit(docs, labels), docs.sparkSession, F.col("text"))
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``, its text read whole.
 
     Null and empty texts get the vote of the neighbours of a text without terms. A null id
     counts as not held out. Without labels every score is 1; with one label alone, that label.
     Repeated rows come back repeated.
     """
-    out = docs.select("doc_id", score_column(fit(docs, labels), docs.sparkSession, F.col("text")).alias("score"))
+    out = docs.select("doc_id", score_of(docs, labels).alias("score"))
     held = F.coalesce(fold_of(F.col("doc_id"), FOLDS) == HELD, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` of good quality; columns as in ``docs``."""
-    column = score_column(fit(docs, labels), docs.sparkSession, F.col("text"))
-    return docs.withColumn("__score", column).filter(F.col("__score") >= CUT).drop("__score")
+    return docs.withColumn("__score", score_of(docs, labels)).filter(F.col("__score") >= CUT).drop("__score")
