@@ -4,12 +4,13 @@ Targets: the sources, in code-point order with null last, weigh 3, 1, 2 and agai
 they get 150 % of all words; a source stops at twice its own words and the excess is shared
 anew by weight. Selection: a source takes every document once for each whole epoch
 ``floor(target / size)``; the rest of the budget goes to documents in the order of their keys
-``-ln(u) / weight`` (smallest first), u from a hash of the row and weight from its quality.
+``-ln(u) / weight`` (smallest first), u from a hash of the row and weight its quality score, in steps of 1 / LEVELS.
+The score comes from the row's own text, so weights need no join, at any size.
 
 No source is sorted in one task. Keys fall into BINS of equal probability for the smallest weight,
-so that of no weight more than ``largest weight / smallest weight / BINS`` of the documents share a bin;
-sizes are summed by (source, bin) before the shuffle and prefix-summed over bins; only the one bin a
-budget ends in is ordered row by row.
+so that of no weight more than ``LEVELS / BINS`` of the documents share a bin; sizes are summed by (source, bin)
+before the shuffle and prefix-summed over bins; only the one bin a budget ends in is ordered row by row, rows
+equal in id and text counted as one entry.
 """
 
 from __future__ import annotations
@@ -26,12 +27,11 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 CAP = 2.0
 BINS = 2048
+LEVELS = 16
 #: More sources than these are not broadcast; each is a row of about 60 bytes.
 BROADCAST_SOURCES = 100_000
-#: More labelled documents than these are not broadcast; each is a row of about 40 bytes.
-BROADCAST_LABELS = 500_000
-#: Quality weight of a document by its label; without a label the middle one.
-QUALITY_WEIGHT = {1: 1.0, 0: 0.25, None: 0.5}
+#: Rows that come of one entry at a time.
+REPEATS = 1 << 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -57,33 +57,27 @@ def uniform(*cols: Column) -> Column:
     return (F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(16**12))
 
 
-def quality_weights(labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(__id, __weight)``, one row for each labelled id; of several labels the largest counts. Broadcast below a checked size."""
-    by = labels.filter("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.max("quality").alias("q"))
-    out = scratch.save(by.select("__id", F.when(F.col("q") == 1, QUALITY_WEIGHT[1]).when(F.col("q") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None]).alias("__weight")))
-    return F.broadcast(out) if out.count() <= BROADCAST_LABELS else out
-
-
 def digest() -> Column:
     """The MD5 of the text, empty for null."""
     return F.md5(F.coalesce("text", F.lit("")).cast("binary"))
 
 
-def keyed(rows: DataFrame, weights: DataFrame, tie: str) -> DataFrame:
+def keyed(rows: DataFrame, score: Column, tie: str) -> DataFrame:
     """``rows`` with ``__key`` and ``__bin``: the sampling key, from doc_id, the column ``tie`` and the weight, and its bin."""
-    key = -F.log(uniform(F.col("doc_id"), F.col(tie))) / F.coalesce("__weight", F.lit(QUALITY_WEIGHT[None]))
-    place = F.least(F.floor((1 - F.exp(-F.col("__key") * min(QUALITY_WEIGHT.values()))) * BINS), F.lit(BINS - 1)).cast("int")
-    return rows.join(weights, rows["doc_id"] == weights["__id"], "left").withColumn("__key", key).withColumn("__bin", place).drop("__id", "__weight")
+    weight = F.greatest(F.lit(1), F.least(F.lit(LEVELS), F.round(score * LEVELS))) / LEVELS
+    place = F.least(F.floor((1 - F.exp(-F.col("__key") / LEVELS)) * BINS), F.lit(BINS - 1)).cast("int")
+    return rows.withColumn("__key", -F.log(uniform(F.col("doc_id"), F.col(tie))) / weight).withColumn("__bin", place)
 
 
-def planned(docs: DataFrame, weights: DataFrame, scratch: Scratch) -> tuple[DataFrame, list[tuple]]:
+def planned(docs: DataFrame, score: Column, scratch: Scratch) -> tuple[DataFrame, list[tuple]]:
     """Rows ``(doc_id, source, size, tie, key, bin)``, and for each source ``(source, source_size, target, epochs, budget, cut, before)``.
 
     ``budget``: words beyond the whole epochs; ``cut``: the bin in which it ends; ``before``: the words of the bins before that.
     """
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), digest().alias("tie"))
-    rows = scratch.save(keyed(rows, weights, "tie").withColumnsRenamed({"__key": "key", "__bin": "bin"}))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select("doc_id", "source", size.alias("size"), digest().alias("tie"), score.alias("__score"))
+    rows = keyed(rows, F.col("__score"), "tie").drop("__score")
+    rows = scratch.save(rows.withColumnsRenamed({"__key": "key", "__bin": "bin"}))
     sums = scratch.save(rows.groupBy("source", "bin").agg(F.sum("size").alias("words")))
     sizes = {r[0]: r[1] for r in sums.groupBy("source").agg(F.sum("words")).collect()}
     budgets = []
@@ -92,7 +86,7 @@ def planned(docs: DataFrame, weights: DataFrame, scratch: Scratch) -> tuple[Data
         budgets.append((source, sizes[source], float(target), epochs, float(target - epochs * sizes[source])))
     plan = docs.sparkSession.createDataFrame(budgets, "__p string, source_size long, target double, epochs int, budget double")
     upto = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("source").orderBy("bin")))
-    ends = upto.join(plan, F.col("__p").eqNullSafe(F.col("source"))).filter("upto > budget").groupBy("source").agg(F.min("bin").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("before"))
+    ends = with_plan(upto, plan, len(budgets)).filter("upto > budget").groupBy("source").agg(F.min("bin").alias("cut"), F.min(F.col("upto") - F.col("words")).alias("before"))
     ends = {r["source"]: (r["cut"], r["before"]) for r in ends.collect()}
     return rows, [b + ends.get(b[0], (BINS, None)) for b in budgets]
 
@@ -103,50 +97,57 @@ def with_plan(rows: DataFrame, plan: DataFrame, sources: int) -> DataFrame:
 
 
 def decided(rows: DataFrame) -> DataFrame:
-    """Rows of the bin a budget ends in, with ``chosen`` 0 or 1."""
+    """The entries of the bin a budget ends in: rows equal in id and text, their number ``n``, and how many are ``chosen``."""
+    entry = rows.filter("bin = cut").groupBy("source", "key", "doc_id", "tie", "size", "source_size", "target", "epochs", "budget", "before").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rest = F.col("budget") - F.col("before") - (F.sum("size").over(order) - F.col("size"))
-    return rows.filter("bin = cut").withColumn("chosen", (2 * rest >= F.col("size")).cast("int"))
+    rest = F.col("budget") - F.col("before") - (F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n"))
+    return entry.withColumn("chosen", F.when(F.col("size") > 0, F.least(F.col("n"), F.greatest(F.lit(0), F.floor(rest / F.col("size") + 0.5)))).otherwise(0).cast("long"))
+
+
+def apart(entries: DataFrame) -> DataFrame:
+    """One row for each row of an entry, the first ``chosen`` ones with ``chosen`` 1, the others 0."""
+    runs = entries.withColumn("__from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(REPEATS).cast("long"))))
+    one = F.explode(F.sequence(F.col("__from"), F.least(F.col("n"), F.col("__from") + REPEATS) - 1))
+    return runs.withColumn("__i", one).withColumn("chosen", (F.col("__i") < F.col("chosen")).cast("int"))
 
 
 PLAN = "__p string, source_size long, target double, epochs int, budget double, cut int, before long"
 
 
-def mix(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def mix(docs: DataFrame, score: Column) -> DataFrame:
     """``(doc_id, size, source, source_size, target, taken, copies, tie)`` for every row of ``docs``.
 
-    ``docs`` has doc_id, text, source; ``labels`` doc_id, quality. ``tie`` is the MD5 of the
-    text. Null text has size 0 and takes 0; the null source is one of its own, last in
-    order. A source whose words are all 0 has the target 0. Of rows that repeat in every
-    column one may be taken without the other. An empty table gives an empty result. The
-    document a budget ends in is taken if that comes nearer to the target. What reaches the
-    driver is one row for each source.
+    ``docs`` has doc_id, text, source; ``score`` is a column over it between 0 and 1, the quality. ``tie`` is the
+    MD5 of the text. Null text has size 0 and takes 0; the null source is one of its own, last in order. A source
+    whose words are all 0 has the target 0. Of rows that repeat in every column one may be taken without the other.
+    An empty table gives an empty result, and texts of any length are counted whole. The document a budget ends in is
+    taken if that comes nearer to the target. What reaches the driver is one row for each source.
     """
     scratch = Scratch(docs.sparkSession, "mix")
-    rows, plan = planned(docs, quality_weights(labels, scratch), scratch)
+    rows, plan = planned(docs, score, scratch)
     joined = with_plan(rows, docs.sparkSession.createDataFrame(plan, PLAN), len(plan))
-    out = joined.filter("bin <> cut").withColumn("chosen", (F.col("bin") < F.col("cut")).cast("int")).unionByName(decided(joined))
+    out = joined.filter("bin <> cut").withColumn("chosen", (F.col("bin") < F.col("cut")).cast("int"))
+    names = ["doc_id", "size", "source", "source_size", "target", "epochs", "chosen", "tie"]
+    out = out.select(*names).union(apart(decided(joined)).select(*names))
     copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("chosen")).otherwise(0)
     return out.select("doc_id", "size", "source", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), "tie")
 
 
-def take(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` the mix takes, each as often as it is taken; columns as in ``docs``.
+def take(docs: DataFrame, score: Column) -> DataFrame:
+    """The rows of ``docs`` the mix takes, each as often as it is taken; columns as in ``docs``, ``score`` as in ``mix``.
 
-    A source's choice within its last bin ends at one document, so a row tells its copies from its
-    own key and its source's plan: texts are not shuffled unless the labels are too many to broadcast.
-    Rows that repeat in every column are taken alike.
+    A source's choice within its last bin ends at one entry, so a row tells its copies from its own key and its
+    source's plan: texts are never shuffled. Rows equal in id and text are taken alike, as the more of them are.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "take")
-    weights = quality_weights(labels, scratch)
-    rows, plan = planned(docs, weights, scratch)
+    rows, plan = planned(docs, score, scratch)
     split = decided(with_plan(rows, spark.createDataFrame(plan, PLAN), len(plan)))
-    last = split.filter("chosen = 1 and size > 0").groupBy("source").agg(F.max(F.struct("key", "doc_id", "tie")).alias("last"))
+    last = split.filter("2 * chosen >= n and chosen > 0").groupBy("source").agg(F.max(F.struct("key", "doc_id", "tie")).alias("last"))
     last = {r["source"]: tuple(r["last"]) for r in last.collect()}  # at most one row for each source
     id_type = docs.schema["doc_id"].dataType.simpleString()
     ends = spark.createDataFrame([(p[0], p[3], p[5], last.get(p[0])) for p in plan], f"__p string, __epochs int, __cut int, __last struct<key:double,doc_id:{id_type},tie:string>")
-    placed = with_plan(keyed(docs.withColumn("__tie", digest()), weights, "__tie"), ends, len(plan))
+    placed = with_plan(keyed(docs.withColumn("__tie", digest()).withColumn("__score", score), F.col("__score"), "__tie"), ends, len(plan))
     upto = F.struct(F.col("__key").alias("key"), F.col("doc_id"), F.col("__tie").alias("tie")) <= F.col("__last")
     chosen = F.when(F.col("__bin") < F.col("__cut"), 1).when((F.col("__bin") == F.col("__cut")) & upto, 1).otherwise(0)
     copies = F.when(F.col("text").rlike(WORD), F.col("__epochs") + chosen).otherwise(0)
