@@ -68,6 +68,8 @@ class Model:
         for p, i in self.ids.items():
             self.shorter[i] = self.floor[p[:-1]] if len(p) > 1 else -1
         self.length = [len(p) for p in self.pieces]
+        #: No piece is longer, so no search looks further.
+        self.longest = max(map(len, self.ids), default=1)
         solid = "".join(re.escape(c) for c in sorted(self.mergeable - {SPACE}))
         #: Space marks with the mergeable characters after them, or any other single character.
         self.unit = re.compile(f"{SPACE}*[{solid}]+|{SPACE}+|.", re.DOTALL)
@@ -98,7 +100,7 @@ class Model:
     def segment(self, text: str) -> list[int]:
         """Ids of a unit of mergeable characters."""
         floor, length, shorter, pairs, deepest = self.floor, self.length, self.shorter, self.pairs, self.automaton.longest_prefix
-        size, at, last, out = len(text), 0, -1, []
+        size, at, last, out, longest = len(text), 0, -1, [], self.longest
         failed = bytearray(size + 1)
         piece = floor[text[: deepest(text)]]
         while True:
@@ -117,7 +119,7 @@ class Model:
                 if end == size:
                     return out
                 at, last = end, piece
-                rest = text[at : at + 64]
+                rest = text[at : at + longest]
                 piece = floor[rest[: deepest(rest)]]
             else:
                 failed[at] = 1
@@ -226,7 +228,10 @@ def spaced(text: str) -> list[str]:
 
 
 def encode_digest_column(text: Column, path: str) -> Column:
-    """``struct(n_tokens, ids_sha256, decoded_sha256)``; ``path`` is the model's, on each executor."""
+    """``struct(n_tokens, ids_sha256, decoded_sha256)``; ``path`` is the model's, on each executor.
+
+    Null text counts as empty: 0 tokens and the digests of nothing. Texts are encoded whole, 50,000 words at a time.
+    """
     bounded()
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")

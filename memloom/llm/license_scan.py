@@ -2,9 +2,10 @@
 
 A text is made canonical (lower case, copyright lines gone, equivalent spellings made one,
 punctuation and white space folded) and its SHA-256 hash-joined to the digests of known licences.
-Notices (lines that speak of a licence) are made canonical and joined the same way. All of it is
-DataFrame and SQL functions; texts never leave the scan, only 32-byte digests meet in joins, and
-the digest table is a fixed list of this module.
+Long licences are known by the digest alone. Notices (lines that speak of a licence, however long) are made
+canonical and looked up too; they are parts of a row, and a join would have to put rows together again, so their few digests
+stand in a constant map. All of it is DataFrame and SQL functions; texts never leave the scan, only
+32-byte digests meet in joins, and the digest table is a fixed list of this module.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import functions as F
 
 #: Equivalent spellings, replaced in this order after lower-casing.
 SPELLINGS = [("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement"), ("merchantibility", "merchantability"), ("https://", "http://"), ("&", " and ")]
-LONGEST_NOTICE = 400
 
 _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
@@ -69,14 +69,36 @@ NOTICES = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."), ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."),
 ]
+#: SHA-256 digests of the canonical text of longer licences, as published.
+DIGESTS = [
+    ("Apache-2.0", "f92c423b6d6da66caa78abd6f49f73f5bc8715dca82e1a73f62d1e6eec41986c"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "5fc5b48e8eeed6e5e77c32ad8641a6bc04d25011d6b500aa7dc7f3183ab812ea"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
+]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PUNCTUATION = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: A copyright notice at the start of a line, up to the line's end, or to a known opening in texts folded to one line.
+COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright |\(c\)|©|all rights reserved)[^\n]*?(\n|$|permission is hereby granted|permission to use, copy|redistribution and use in)"
+#: Words after "copyright" that make it part of a sentence.
+BODY_WORDS = ["notice", "holder", "owner", "license", "law", "statement", "and", "or"]
+BODY = "copyright[ \\t\\n]+(" + "|".join(BODY_WORDS) + ")"
 
 
 def canonical(text: Column) -> Column:
     """Lower case (A-Z), no copyright lines, one spelling, ASCII punctuation and white space as single spaces."""
-    out = F.regexp_replace(F.translate(text, UPPER, UPPER.lower()), COPYRIGHT_LINE, " ")
+    out = F.replace(F.translate(text, UPPER, UPPER.lower()), F.lit("\n"), F.lit("\n\n"))
+    out = F.regexp_replace(out, BODY, "copyright_$1")
+    out = F.regexp_replace(out, COPYRIGHT_LINE, " $3")
     for a, b in SPELLINGS:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, PUNCTUATION, " "))
@@ -94,14 +116,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", licens
     ``digest``: of the canonical entire text (null text counts as empty). ``license``: the
     known licence with that digest, else null. ``notices``: licence ids of the text's known
     notice lines, sorted, comma-separated, "" if none. Repeated rows come back repeated;
-    an empty table gives an empty result. Lines over LONGEST_NOTICE characters are longer than
-    any known notice, and are not looked up.
+    an empty table gives an empty result. Texts and lines of any length are read whole.
     """
     spark = docs.sparkSession
-    whole = known(spark, LICENSES if licenses is None else licenses).withColumnRenamed("digest", "__d")
+    whole = known(spark, LICENSES if licenses is None else licenses)
+    if licenses is None:
+        listed = F.from_json(F.lit(json.dumps([{"digest": d, "license": n} for n, d in DIGESTS])), "array<struct<digest:string,license:string>>")
+        whole = whole.union(spark.range(1, numPartitions=1).select(F.inline(listed))).groupBy("digest").agg(F.min("license").alias("license"))
+    whole = whole.withColumnRenamed("digest", "__d")
     single = known(spark, NOTICES if notices is None else notices).agg(F.map_from_entries(F.collect_list(F.struct("digest", "license")))).first()[0] or {}
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
-    lines = F.filter(F.split("__t", "\n"), lambda x: (F.length(x) <= LONGEST_NOTICE) & x.rlike("(?i)licen[cs]e"))
+    lines = F.filter(F.split("__t", "\n"), lambda x: x.rlike("(?i)licen[cs]e"))
     base = base.select("doc_id", F.sha2(canonical(F.col("__t")), 256).alias("digest"), lines.alias("__l"))
     table = F.from_json(F.lit(json.dumps(single)), "map<string,string>")
     digests = F.transform(F.col("__l"), lambda x: F.element_at(table, F.sha2(canonical(x), 256)))

@@ -48,8 +48,8 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, quality.score_of(docs, table(spark, sf_dir, "labels"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +73,9 @@ _CANON_LOWER = "translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcd
 
 
 def _canonical_sql(x: str) -> str:
-    out = f"regexp_replace({_CANON_LOWER.format(x=x)}, '{license_scan.COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"replace({_CANON_LOWER.format(x=x)}, chr(10), chr(10) || chr(10))"
+    out = f"regexp_replace({out}, '{license_scan.BODY}', 'copyright_\\1', 'g')"
+    out = f"regexp_replace({out}, '{license_scan.COPYRIGHT_LINE}', ' \\3', 'g')"
     for a, b in license_scan.SPELLINGS:
         out = f"replace({out}, '{a}', '{b}')"
     return f"trim(regexp_replace({out}, '{license_scan.PUNCTUATION}', ' ', 'g'))"
@@ -86,12 +88,13 @@ def _listed_sql(rows: list[tuple[str, str]]) -> str:
 
 ORACLE = {
     "op6_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
-      WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+      WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    n AS (SELECT *, row_number() OVER () AS r FROM v)
     SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score,
-      row_number() OVER (PARTITION BY q.vec_id ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id) AS rank FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0) WHERE rank <= 10""",
-    "op10_license_scan": f"""WITH known AS ({_listed_sql(license_scan.LICENSES)}), notice AS ({_listed_sql(license_scan.NOTICES)}),
+      row_number() OVER (PARTITION BY q.r ORDER BY list_dot_product(q.e, c.e) DESC, c.vec_id, c.r) AS rank FROM n q JOIN n c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0) WHERE rank <= 10""",
+    "op10_license_scan": f"""WITH known AS ({_listed_sql(license_scan.LICENSES)} UNION ALL SELECT * FROM (VALUES {", ".join(f"('{d}', '{n}')" for n, d in license_scan.DIGESTS)})), notice AS ({_listed_sql(license_scan.NOTICES)}),
     d AS (SELECT *, row_number() OVER () AS r, sha256({_canonical_sql("text")}) AS digest FROM documents),
     n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d) l
-      JOIN notice ON sha256({_canonical_sql("line")}) = notice.digest WHERE length(line) <= {license_scan.LONGEST_NOTICE} AND regexp_matches(line, '(?i)licen[cs]e') GROUP BY 1)
+      JOIN notice ON sha256({_canonical_sql("line")}) = notice.digest WHERE regexp_matches(line, '(?i)licen[cs]e') GROUP BY 1)
     SELECT doc_id, d.digest, license, coalesce(notices, '') AS notices FROM d LEFT JOIN known ON d.digest = known.digest LEFT JOIN n USING (r)""",
 }
