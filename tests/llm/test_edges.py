@@ -43,14 +43,14 @@ def test_documents_with_odd_values(spark, odd, labels):
     for classify in (toxicity.classify, quality.classify):
         rows = classify(odd, labels).collect()
         assert len(rows) == n and all(0 <= r["score"] <= 1 for r in rows)
-    mixed = mixing.mix(odd, labels).collect()
+    mixed = mixing.mix(odd, quality.score_of(odd, labels)).collect()
     assert len(mixed) == n and all(r["taken"] in (0, r["size"], 2 * r["size"]) for r in mixed)
     assert license_scan.scan(odd).count() == n
     assert odd.select(bpe.encode_digest_column(F.col("text"), path).alias("c")).filter("c.n_tokens is null").count() == 0
 
 
 def test_stages_keep_the_columns(spark, odd, labels):
-    for out in (toxicity.reject(odd, labels), quality.keep(odd, labels), simhash.keep_one(odd), mixing.take(odd, labels)):
+    for out in (toxicity.reject(odd, labels), quality.keep(odd, labels), simhash.keep_one(odd), mixing.take(odd, quality.score_of(odd, labels))):
         assert out.columns == odd.columns
         out.collect()
     assert sorted(r["doc_id"] or 0 for r in simhash.keep_one(odd).collect()) == [1, 4, 5, 6]
@@ -73,7 +73,7 @@ def test_empty_tables(spark, none, labels):
     path = public_tokenizers.path("piece_bpe_32k.model")
     every = [
         simhash.near_duplicates(none), simhash.keep_one(none), toxicity.classify(none, labels), quality.classify(none, labels), toxicity.reject(none, labels.limit(0)), quality.keep(none, labels.limit(0)),
-        mixing.mix(none, labels), mixing.take(none, labels.limit(0)), license_scan.scan(none), none.select(bpe.encode_digest_column(F.col("text"), path)),
+        mixing.mix(none, F.lit(0.5)), mixing.take(none, F.lit(0.5)), license_scan.scan(none), none.select(bpe.encode_digest_column(F.col("text"), path)),
         ann.search(vectors, F.col("vec_id") % 20 == 0), mtree.search(vectors, F.col("vec_id") % 100 == 0), url_filter.judge_urls(pages), html_extract.main_texts(pages),
     ]
     assert [df.count() for df in every] == [0] * len(every)
@@ -103,3 +103,72 @@ def test_pages_with_odd_values(spark):
     assert (by[1]["host"], by[1]["path"], by[2]["host"], by[3]["host"], by[3]["path"], by[3]["rule"], by[None]["rule"]) == ("", "", "", "a.com", "/x", "com/", "net/fr/")
     texts = {r["page_id"]: (r["text"], r["n_chars"]) for r in html_extract.main_texts(df).collect()}
     assert texts[1] == ("", 0) and texts[2] == ("", 0) and texts[None] == ("deep words here", 15)
+
+
+def test_vectors_that_share_an_id_and_of_two_lengths(spark):
+    rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (100, [0.5, 0.5]), (3, [1.0, 0.0, 0.0]), (200, [0.0, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    big = 1024 * 1024
+    got = sorted(tuple(r) for r in mtree.search(df, F.col("vec_id") % 100 == 0).collect())
+    want = [(0, 1, 100, big), (0, 2, 100, big // 2), (100, 1, 0, big), (100, 1, 0, big // 2), (100, 2, 100, big // 2), (100, 2, 100, big // 2), (200, 1, 3, 0)]
+    assert got == sorted(want)
+    near = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 100 == 0).collect())
+    assert near == [(a, b, c, s / big) for a, b, c, s in sorted(want)]
+
+
+def test_many_copies_of_one_vector(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(300)] + [(1000 + i, [1.0, i / 50]) for i in range(50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for search in (ann.search, mtree.search):
+        got = {}
+        for r in search(df, F.col("vec_id") % 100 == 0, k=10).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        assert [got[0][i] for i in range(1, 11)] == list(range(1, 11)) and [got[200][i] for i in range(1, 11)] == list(range(10))
+
+
+def test_scores_too_large_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e15, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError):
+        mtree.search(df, F.col("vec_id") == 0)
+
+
+def test_large_scores_stay_exact(spark):
+    rows = [(0, [2.0**17, 1.0])] + [(i, [2.0**17, i / 1024]) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in mtree.search(df, F.col("vec_id") == 0, k=3).orderBy("rank").collect()]
+    base = (1 << 27) ** 2
+    assert got == [(0, 1, 199, base + 1024 * 199), (0, 2, 198, base + 1024 * 198), (0, 3, 197, base + 1024 * 197)]
+
+
+def test_string_ids_and_labels_of_other_documents(spark):
+    docs = spark.createDataFrame([(f"d{i}", GOOD if i % 2 else BAD) for i in range(60)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, 1 - i % 2) for i in range(60)] + [(f"other{i}", i % 2, i % 2) for i in range(5000)], "doc_id string, quality int, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.classify(docs, labels).collect()}
+    assert got == {f"d{i}": i % 2 for i in range(60)}
+    assert toxicity.classify(docs, labels).count() == 60
+
+
+def test_rows_of_no_partner_go_nowhere(spark):
+    rows = [(i, "same words in every row here", "a") for i in (1, 1, 1)] + [(2, "other words stand in this one", "b")]
+    docs = documents(spark, rows)
+    mixed = mixing.mix(docs, F.lit(1.0)).collect()
+    assert len(mixed) == 4 and sum(r["taken"] for r in mixed if r["doc_id"] == 1) in (24, 30)  # target: a 3, b 1 of 36 words
+    assert mixing.take(docs, F.lit(1.0)).filter("doc_id = 1").count() in (3, 6)
+
+
+def test_pipeline_on_an_empty_table(spark, none, labels, tmp_path):
+    import corpus_pipeline
+
+    none.write.parquet(f"file://{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_scratch_is_refused_without_a_shared_folder():
+    from types import SimpleNamespace
+
+    from memloom.llm.scratch import shared_dir
+
+    sc = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda _: None), getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(sparkContext=sc))

@@ -1,8 +1,11 @@
 """Operators against plain versions, round trips and held-out labels."""
 
 import hashlib
+import html
+import math
 import os
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -18,6 +21,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from memloom.llm import ann, bpe, html_extract, license_scan, mixing, mtree, quality, simhash, toxicity, url_filter  # noqa: E402
 from memloom.llm.components import components  # noqa: E402
+from memloom.llm.html_pages import CUT, END, RESUME, START, labelled_pages  # noqa: E402
 from memloom.llm.scratch import Scratch  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +81,11 @@ def test_fingerprint():
         assert simhash.fingerprint(t) == slow_fingerprint(t)
 
 
+def five_words(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def groups(n, linked):
     label = list(range(n))
     for _ in range(n):
@@ -101,7 +110,7 @@ def test_links_join_what_distance_two_joins(spark):
     want = groups(len(every), [(i, j) for i in range(len(every)) for j in range(i) if bin(every[i] ^ every[j]).count("1") <= 2])
     signed = np.array(every, np.uint64).view(np.int64).tolist()
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    got = {r["node"]: r["label"] for r in components(simhash.links(df).distinct(), Scratch(spark, "t")).collect()}
+    got = {r["node"]: r["label"] for r in components(simhash.links(df, Scratch(spark, "t")).distinct(), Scratch(spark, "t")).collect()}
     seen, mine = {}, [got.get(x, x) for x in signed]
     for a, b in zip(want, mine, strict=True):
         assert seen.setdefault(a, b) == b
@@ -126,63 +135,130 @@ def test_near_duplicates(spark):
     assert [got[d]["component_id"] for d in ids] == [ids[w] for w in want]
 
 
-def test_search_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr("memloom.llm.vectors.CANDIDATES", 500)
-    monkeypatch.setattr("memloom.llm.vectors.QUERIES", 20)
-    rng = np.random.default_rng(5)
-    centres = rng.normal(size=(15, 16))
-    x = (centres[rng.integers(0, 15, 3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
+def clustered(n, dim, centres, seed):
+    rng = np.random.default_rng(seed)
+    c = rng.normal(size=(centres, dim))
+    x = (c[rng.integers(0, centres, n)] + 0.4 * rng.normal(size=(n, dim))).astype(np.float32)
     x[100:140] = x[0]  # forty copies of a query's vector
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>")
-    d = x.astype(np.float64)
-    near = ann.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    return x, [(i, v) for i, v in enumerate(x.tolist())]
+
+
+def test_search_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr("memloom.llm.vectors.BLOCK", 300)
+    monkeypatch.setattr("memloom.llm.vectors.QUERY_BYTES", 20_000)
+    x, rows = clustered(4000, 16, 40, 5)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    d, said = x.astype(np.float64), {}
+    near = ann.search(df, F.col("vec_id") % 20 == 0, said=said).toPandas()
     hits = total = 0
-    for q in range(0, 3000, 20):
+    for q in range(0, 4000, 20):
         s = d @ d[q]
         s[q] = -np.inf
-        want = np.lexsort((np.arange(3000), -s))[:20]
+        want = np.lexsort((np.arange(4000), -s))[:20]
         mine = near[near.query_id == q].sort_values("rank")
         assert list(mine["rank"]) == list(range(1, 21)) and q not in set(mine.vec_id)
         assert np.allclose(mine.score, d[mine.vec_id] @ d[q])
         hits, total = hits + len(set(want) & set(mine.vec_id)), total + 20
-    assert hits / total >= 0.9
+    assert hits / total >= 0.9 and said["parts"] == 64 and said["scored"] <= 0.25  # what has structure is pruned
     whole = np.floor(1024 * d).astype(np.int64)
     exact = mtree.search(df, F.col("vec_id") % 100 == 0).toPandas()
-    for q in range(0, 3000, 100):
+    for q in range(0, 4000, 100):
         s = whole @ whole[q]
-        others = np.arange(3000) != q
-        ids = np.arange(3000)[others]
+        others = np.arange(4000) != q
+        ids = np.arange(4000)[others]
         want = np.lexsort((ids, -s[others]))[:10]
         mine = exact[exact.query_id == q].sort_values("rank")
         assert list(mine.vec_id) == list(ids[want]) and list(mine.score) == list(s[others][want])
 
 
+def test_tree_leaves_out_what_its_bounds_exclude():
+    x, _ = clustered(4000, 4, 60, 9)
+    v = np.floor(1024 * x.astype(np.float64))
+    top = float((v**2).sum(axis=1).max())
+    tree = mtree.Tree(np.arange(4000), np.arange(4000), v, top)
+    computed = 0
+    for q in v[::100]:
+        d = float(mtree.distances(np.append(q, 0.0)[None], tree.pivot)[0])
+        at, scores, n = tree.best(q, d, 11, -np.inf)
+        assert sorted(scores, reverse=True) == sorted((v @ q).astype(int), reverse=True)[:11]
+        computed += n
+    assert computed < 0.5 * 40 * 4000
+
+
 def test_rules():
     assert {len(r) for r in url_filter.RULES} == {3}
 
 
-def test_url_models_against_plain(spark):
-    urls = [f"https://{h}/{p}/{i}.html" for i in range(60) for h, p in (("news.site.com", "story"), ("x.example.com", "en"), ("bets.example.net", "fr"), ("quiet.org", "story"), ("loud.org", "bets"))]
-    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    got = {r["page_id"]: r for r in url_filter.judge_urls(pages).collect()}
-    fold = lambda s: [url_filter.DIGIT if c.isdigit() else url_filter.ALPHABET.find(c) + 1 or url_filter.OTHER for c in s.lower()]
-    s, counts, held = url_filter.SYMBOLS, {"allow": Counter(), "block": Counter()}, {"allow": [], "block": []}
+def plain_url(url):
+    """Host, path, rule and verdict by the contract's words."""
+    rest = url.split("://", 1)[1] if "://" in (url or "") else ""
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
+    path = rest[cut:]
+    path = path[: min([path.index(c) for c in "?#" if c in path], default=len(path))]
+    fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits)[1:] if fits else (None, None))
+
+
+def plain_scores(urls):
+    """Scores and cut of variable-order models counted and smoothed in plain Python."""
+    fold = lambda s: [url_filter.DIGIT if c in "0123456789" else url_filter.ALPHABET.find(c) + 1 or url_filter.OTHER for c in s.lower()]
+    seen = {u: plain_url(u) for u in urls}
+    text = {u: [0, 0, *fold(seen[u][0] + seen[u][1])] for u in urls}
+    held = {u: hashlib.md5(u.encode()).hexdigest()[0] in "0123" for u in urls}
+    prob = {}
+    for kind in ("allow", "block"):
+        one, two, three = Counter(), Counter(), Counter()
+        for u in urls:
+            if seen[u][3] == kind and not held[u]:
+                t = text[u]
+                for i in range(2, len(t)):
+                    one[t[i]] += 1
+                    two[t[i - 1], t[i]] += 1
+                    three[t[i - 2], t[i - 1], t[i]] += 1
+        n, mu, size = sum(one.values()), url_filter.MU, url_filter.SYMBOLS
+        lead1, lead2 = Counter(), Counter()
+        for (a, _), k in two.items():
+            lead1[a] += k
+        for (a, b, _), k in three.items():
+            lead2[a, b] += k
+
+        def p(a, b, c, one=one, two=two, three=three, lead1=lead1, lead2=lead2, n=n, mu=mu, size=size):
+            p1 = (one[c] + 1) / (n + size)
+            p2 = (two[b, c] + mu * p1) / (lead1[b] + mu)
+            return (three[a, b, c] + mu * p2) / (lead2[a, b] + mu)
+
+        prob[kind] = p
+    score = {}
+    for u in urls:
+        t = text[u]
+        each = [np.log(prob["allow"](*t[i - 2 : i + 1]) / prob["block"](*t[i - 2 : i + 1])) for i in range(2, len(t))]
+        score[u] = float(np.mean(each)) if each else 0.0
+    means = {k: np.mean([score[u] for u in urls if held[u] and seen[u][3] == k and len(text[u]) > 2]) for k in ("allow", "block")}
+    return seen, score, (means["allow"] + means["block"]) / 2
 
-    def codes(r):
-        c = [0, 0, *fold(r["host"] + r["path"])]
-        return [c[i] * s * s + c[i + 1] * s + c[i + 2] for i in range(len(c) - 2)]
 
+def test_url_models_against_plain(spark):
+    urls = [f"https://{h}/{p}/{i}.html" for i in range(60) for h, p in (("news.site.com", "story"), ("x.example.com", "en"), ("bets.example.net", "fr"), ("quiet.org", "story"), ("loud.org", "bets"))]
+    urls += ["HTTPS://Quiet.ORG?x=/y", "ftp://a.b/c#d?e", "https://x.Example.COM/en/a?b#c"]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    seen, score, cut = plain_scores(urls)
     for i, u in enumerate(urls):
         r = got[i]
-        if r["rule"]:
-            (held[r["verdict"]] if hashlib.md5(u.encode()).hexdigest()[0] in "0123" else counts[r["verdict"]].update(codes(r)) or []).append(i)
-    table = url_filter.log_ratios({k: dict(v) for k, v in counts.items()})
-    score = {i: float(np.mean([table[c] for c in codes(got[i])])) for i in got}
-    cut = sum(np.mean([score[i] for i in held[k]]) for k in held) / 2
-    for i, r in got.items():
-        assert r["score"] == pytest.approx(score[i], abs=1e-9)
-        if not r["rule"]:
-            assert r["verdict"] == ("allow" if score[i] >= cut else "block")
+        assert (r["host"], r["path"], r["rule"]) == seen[u][:3]
+        assert r["score"] == pytest.approx(score[u], abs=1e-9)
+        assert r["verdict"] == (seen[u][3] or ("allow" if score[u] >= cut else "block"))
+
+
+def test_url_models_tell_more_than_the_suffix(spark):
+    """Hosts without a rule, all of one suffix, are parted by what their names and paths resemble."""
+    good, bad = ("library", "garden", "science", "history"), ("casino", "jackpot", "poker", "slots")
+    urls = [f"http://{w}{i}.com/{w}/read" for i in range(40) for w in good] + [f"http://{w}{i}.net/fr/{w}/win" for i in range(40) for w in bad]
+    asked = [f"http://{w}{i}.org/{w}/read" for i in range(50, 60) for w in good] + [f"http://{w}{i}.org/{w}/win" for i in range(50, 60) for w in bad]
+    got = {r["page_id"]: r for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls + asked)), "page_id long, url string")).collect()}
+    mine = [got[len(urls) + i] for i in range(len(asked))]
+    assert all(r["rule"] is None for r in mine)
+    assert np.mean([r["verdict"] == ("allow" if i < 40 else "block") for i, r in enumerate(mine)]) >= 0.95
 
 
 def test_rule_precedence(spark):
@@ -196,31 +272,128 @@ def test_html():
     assert html_extract.extract(page) == "The & title\nOne bold word.\nNext line here.\nFirst item here\nSecond item here"
 
 
+def test_html_against_labels():
+    """Every labelled page gives its content, by a plain reading of the marks."""
+    for page in labelled_pages():
+        body = re.sub(f"{CUT}.*?{RESUME}", "", re.search(f"{START}(.*){END}", page, re.DOTALL)[1])
+        want = html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?(b|a)\b[^>]*>", "", body))).split()
+        assert html_extract.extract(re.sub(f"[{START}{END}{CUT}{RESUME}]", "", page)).split() == want
+
+
+def test_html_region_is_the_largest_sum():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        values = rng.normal(size=int(rng.integers(1, 25))).round(2).tolist()
+        a, b = html_extract.best_region(values)
+        sums = [sum(values[i:j]) for i in range(len(values)) for j in range(i, len(values) + 1)]
+        assert sum(values[a:b]) == pytest.approx(max([*sums, 0.0]))
+    w = html_extract.WEIGHTS
+    assert all(v < 0 for v in w.tags.values()) and all(v > 0 for v in w.chance.values())
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><header><h1>Title here</h1></header><p>Body text of it goes here.</p></article>", "Title here\nBody text of it goes here."),
+        ("<article><p>Text about it.</p><div class='side-effects'><p>Side effects are rare.</p></div><div class='alert'>Careful now.</div><p>So <math><mi>x</mi></math> is known.</p></article>", "Text about it.\nSide effects are rare.\nCareful now.\nSo x is known."),
+        ("<main><p>" + "one " * 60 + "</p></main><main><p>" + "two " * 60 + "</p></main>", ("one " * 60).strip() + "\n" + ("two " * 60).strip()),
+        ("<article><p>Short intro.</p><div class='ad'>" + "buy now " * 40 + "</div><p>Then the story goes on.</p></article><div class='comments'>" + "<p>Lovely, I cried.</p>" * 60 + "</div>", "Short intro.\nThen the story goes on."),
+        ("<p>" + "a < b " * 3 + "</p>", "a < b a < b a < b"),
+    ],
+)
+def test_html_probes(page, want):
+    assert html_extract.extract(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<select>", '<a "', '<a">"', "<!--", "<p class='x'>", "</div>"])
+def test_html_time_grows_with_the_page(piece):
+    start = time.perf_counter()
+    html_extract.extract(piece * 40_000 + '"')
+    assert time.perf_counter() - start < 5
+
+
+@needs_tables
+def test_html_pages_of_the_driver():
+    for page in pd.read_parquet(f"{SF}/pages.parquet")["html"]:
+        body = re.search(r"<article>(.*?)(?:</article>|$)", page, re.DOTALL)[1]
+        assert html_extract.extract(page).split() == html.unescape(re.sub(r"<[^>]+>", " ", re.sub(r"</?(b|i|a|em)\b[^>]*>", "", body))).split()
+
+
+def rewrapped(text, seed):
+    """Re-cased, re-wrapped and re-punctuated, with a copyright line before it."""
+    rng = np.random.default_rng(seed)
+    words = [w.upper() if rng.random() < 0.3 else w for w in text.split()]
+    out = "".join(w + (" ", "  ", "\n", "\n * ")[int(rng.integers(0, 4))] for w in words)
+    return f"Copyright (c) {2000 + seed} Some One\n\n" + out.replace(",", " ,").replace('"', "``")
+
+
 def test_licences(spark):
     mit = license_scan.LICENSES[0][1]
     rows = [(1, mit), (2, "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;")), (3, mit + " more"), (4, "text\nReleased under the MIT Licence\nmore\nLicensed under CC BY 4.0."), (5, None)]
+    rows += [(6, "Licensed under the MIT License." + " " * 500), (7, "Copyright 2020 Some One " + " ".join(mit.split())), (8, "word " * 20_000 + "\nSPDX-License-Identifier: MIT")]
     got = {r["doc_id"]: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
-    assert [got[i]["license"] for i in range(1, 6)] == ["MIT", "MIT", None, None, None]
-    assert got[4]["notices"] == "CC-BY-4.0,MIT" and got[5]["notices"] == ""
+    assert [got[i]["license"] for i in range(1, 8)] == ["MIT", "MIT", None, None, None, None, "MIT"]
+    assert got[4]["notices"] == "CC-BY-4.0,MIT" and got[5]["notices"] == "" and got[6]["notices"] == "MIT" and got[8]["notices"] == "MIT"
+
+
+def test_every_known_licence_is_found_rewritten(spark):
+    rows = [(i, rewrapped(body, i)) for i, (_, body) in enumerate(license_scan.LICENSES)]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in license_scan.LICENSES]
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_long_licences(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    texts = [(n, open(f"/usr/share/common-licenses/{f}").read()) for f, n in files.items()]
+    rows = [(n, t) for n, t in texts] + [(n + "+", t.replace("  ", " ").replace("licensed", "Licensed")) for n, t in texts]
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {n: n.rstrip("+") for n, _ in rows}
+
+
+def plain_mix(docs, score, targets):
+    """``(doc_id, taken)`` by sorting each source and summing up."""
+    out = {}
+    for source in {d["source"] for d in docs}:
+        rows = []
+        for d in (d for d in docs if d["source"] == source):
+            text = d["text"] or ""
+            tie = hashlib.md5(text.encode()).hexdigest()
+            u = (int(hashlib.md5(f"{d['doc_id']}|{tie}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+            weight = max(1, min(mixing.LEVELS, math.floor(score[d["doc_id"]] * mixing.LEVELS + 0.5))) / mixing.LEVELS
+            rows.append((-math.log(u) / weight, d["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", text))))
+        total, left = sum(r[2] for r in rows), targets[source]
+        epochs = min(2, int(left // total)) if total else 0
+        left -= epochs * total
+        for _, i, size in sorted(rows):
+            chosen = size > 0 and 2 * left >= size
+            out[i] = size * (epochs + chosen)
+            left -= size
+    return out
 
 
 @needs_tables
 def test_mixing(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    rows = mixing.mix(docs, labels).toPandas()
-    again = mixing.mix(docs.repartition(7), labels).toPandas()
-    assert dict(zip(rows.doc_id, rows.taken, strict=True)) == dict(zip(again.doc_id, again.taken, strict=True))
+    score = quality.score_of(docs, labels)
+    rows = mixing.mix(docs, score).toPandas()
+    again = mixing.mix(docs.repartition(7), score).toPandas()
+    taken = dict(zip(rows.doc_id, rows.taken, strict=True))
+    assert taken == dict(zip(again.doc_id, again.taken, strict=True))
     assert rows["size"].sum() == sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in docs.collect())
     by = rows.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"), most=("size", "max"))
     assert ((by.taken - by.target).abs() <= by.most / 2 + 1).all() and (rows.taken <= 2 * rows["size"]).all()
     assert by.target.sum() == pytest.approx(1.5 * by["size"].sum()) or (by.target <= 2 * by["size"]).all()
+    scores = {r["doc_id"]: r["s"] for r in docs.select("doc_id", score.alias("s")).collect()}
+    assert taken == plain_mix(docs.collect(), scores, dict(by.target))
 
 
 @needs_tables
 def test_taken_rows_agree_with_the_mix(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, labels).collect() if r["copies"]}
-    assert Counter(r["doc_id"] for r in mixing.take(docs, labels).select("doc_id").collect()) == want
+    score = quality.score_of(docs, labels)
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs, score).collect() if r["copies"]}
+    assert Counter(r["doc_id"] for r in mixing.take(docs, score).select("doc_id").collect()) == want
 
 
 def test_targets():
@@ -242,6 +415,72 @@ def test_held_out_accuracy(spark, module, label, folds, held, least):
     assert auc >= least and (own.predicted == own[label]).mean() >= least
 
 
+def test_quality_votes_against_plain():
+    """Every cosine taken alone, the neighbours sorted, the votes added up."""
+    texts = [f"the {w} stood by the river and {v} waited there" for w in ("town", "mill", "barn") for v in ("we", "they", "no one", "all")] + [f"{w} " * 12 for w in ("buy", "win", "now", "cash", "free")] + ["a$$$ b%%% c### d&&&", "x%%% y### z$$$"]
+    rows = [(t, int(i < 12)) for i, t in enumerate(texts)]
+    voter = quality.Voter(rows)
+    asked = ["the barn stood by the road", "win win win win", "", "q$$$ r%%%"]
+    for text, got in zip(asked, voter.score(asked), strict=True):
+        latent = (quality.unit(quality.weighed(quality.counts([text.encode()])) * voter.idf) - voter.mean) @ voter.project
+        latent = latent[0] / max(np.linalg.norm(latent[0]), 1e-12)
+        cos = sorted(((float(latent @ v), int(y), float(b)) for v, y, b in zip(voter.vectors, voter.labels, voter.balance, strict=True)), reverse=True)[: quality.NEAREST]
+        votes = [(max(c, 1e-6) ** quality.POWER * b, y) for c, y, b in cos]
+        assert got == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), rel=1e-3)
+    assert voter.score(asked)[0] > 0.5 > voter.score(asked)[1]
+
+
+def test_toxicity_forward_pass_against_plain():
+    """Embedding, windows, pooling and the output layer in plain loops, and calibration by trying every threshold."""
+    rng = np.random.default_rng(1)
+    net = toxicity.Net()
+    net.table = rng.normal(size=net.table.shape).astype(np.float32)
+    net.bias = [rng.normal(size=toxicity.FILTERS).astype(np.float32) for _ in toxicity.WIDTHS]
+    texts = ["one two three four", "", "x", "Die Stadt, und der Fluss - und 12 mehr", "a b"]
+    words = toxicity.Words([t.encode() for t in texts])
+    got = net.logits(words)
+    for d, z in enumerate(got):
+        mine = [sum(net.table[ids[i]] for ids in words.ids) for i in range(words.first[d], words.last[d])]
+        pooled = []
+        for f, b, w in zip(net.filters, net.bias, toxicity.WIDTHS, strict=True):
+            held = [np.maximum(sum(mine[i + j] @ f[j] for j in range(w) if i + j < len(mine)) + b, 0) for i in range(len(mine))]
+            pooled.append(np.max(held, axis=0) if held else np.zeros(toxicity.FILTERS))
+        assert z == pytest.approx(float(np.concatenate(pooled) @ net.out + net.base), rel=1e-4, abs=1e-4)
+    z, y = rng.normal(size=60), rng.integers(0, 2, 60)
+    cut = toxicity.best_cut(z, y)
+    good = lambda c: ((z < c) & (y == 0)).sum() / (y == 0).sum() + ((z >= c) & (y == 1)).sum() / (y == 1).sum()
+    assert good(cut) == pytest.approx(max(good(c) for c in [*z, z.max() + 1]))
+
+
+def test_toxicity_learns_an_order_of_words():
+    """What no single word tells: the wider filters and the training matter."""
+    rng = np.random.default_rng(4)
+    fill = lambda n: [f"w{rng.integers(0, 40)}" for _ in range(n)]
+    rows = []
+    for i in range(700):
+        pair = ["vile", "rat"] if i % 2 else ["rat", "vile"]
+        rows.append((" ".join(fill(int(rng.integers(1, 6))) + pair + fill(int(rng.integers(1, 6)))), i % 2))
+    y = np.array([v for _, v in rows[500:]])
+    auc = lambda s: (s[y == 1][:, None] > s[y == 0]).mean() + 0.5 * (s[y == 1][:, None] == s[y == 0]).mean()
+    texts = [t for t, _ in rows[500:]]
+    trained, start = toxicity.train(rows[:500], epochs=25), toxicity.train(rows[:500], epochs=0)
+    assert auc(trained.score(texts)) >= 0.9 and auc(trained.score(texts)) > auc(start.score(texts)) + 0.2
+
+
+def test_unverified_matches_are_rejected(spark):
+    """Fingerprints that share a segment but lie far apart are matched by the tables and dropped by the whole distance."""
+    near, far = 0x0123456789ABCDEF, 0xFEDCBA9889ABCDEF - (1 << 64)
+    df = spark.createDataFrame([(near,), (near ^ 3,), (far,)], "fp long")
+    matched = {tuple(sorted(r)) for r in simhash.matches(simhash.entries(df)).collect()}
+    linked = {tuple(sorted(r)) for r in simhash.links(df, Scratch(spark, "t")).collect()}
+    assert matched == {tuple(sorted((near, near ^ 3))), tuple(sorted((near, far)))} and linked == {tuple(sorted((near, near ^ 3)))}
+
+
+def test_heavy_segment_values_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr("memloom.llm.simhash.HEAVY", 3)
+    test_links_join_what_distance_two_joins(spark)
+
+
 @needs_tables
 def test_pipeline_against_plain_stages(spark, library):
     import corpus_pipeline
@@ -253,11 +492,11 @@ def test_pipeline_against_plain_stages(spark, library):
     poor = {r["doc_id"] for r in quality.classify(left, labels).collect() if not r["predicted"]}
     left = left.filter(~F.col("doc_id").isin(list(poor)))
     rows = sorted(((r["doc_id"], r["text"], r["source"]) for r in left.collect()))
-    prints = [slow_fingerprint(t) for _, t, _ in rows]
-    label = groups(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(prints[i] ^ prints[j]).count("1") <= 2])
+    sets = [five_words(t) for _, t, _ in rows]
+    label = groups(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
     rows = [r for i, r in enumerate(rows) if label[i] == i]
     left = left.filter(F.col("doc_id").isin([r[0] for r in rows]))
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left, labels).collect()}
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left, quality.score_of(left, labels)).collect()}
     want = Counter()
     for d, t, s in rows:
         ids = library.encode(t or "")
