@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memloom.llm import bpe, mixing, quality, shingles, toxicity
-from memloom.llm.scratch import Scratch
+from memloom.llm.scratch import Scratch, cleared
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,11 +36,11 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes documents up to their source's target, each as often as the mix repeats it."""
-    return mixing.take(docs, _labels(spark, sf_dir))
+    return mixing.take(docs, quality.score_of(docs, _labels(spark, sf_dir)))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, source, n_tokens, ids_sha256, decoded_sha256)`` of each row taken."""
+    """``(doc_id, source, n_tokens, ids_sha256, decoded_sha256)`` of each row taken; null text counts as empty, texts are encoded whole."""
     coded = bpe.encode_digest_column(F.col("text"), public_tokenizers.path("piece_bpe_32k.model"))
     return docs.select("doc_id", "source", coded.alias("c")).select("doc_id", "source", "c.n_tokens", "c.ids_sha256", "c.decoded_sha256")
 
@@ -58,8 +58,13 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of all stages; an empty table gives none. A stage's input and the tables it made go once its output is written."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        with cleared():
+            docs = scratch.save(stage(spark, docs, sf_dir))
+        if last is not None:
+            scratch.drop(last)
+        last = docs
     return docs
