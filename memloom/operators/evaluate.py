@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CUTOFF, DROP, ANCHOR = 5, 0.10, 4
+from memloom.operators.retrieve import small
+
+CUTOFF, DROP, ANCHOR, BLOCK = 5, 0.10, 4, 500
 
 
 def recall_at(relevant: Column, retrieved: Column, k: int = CUTOFF) -> Column:
@@ -47,26 +49,28 @@ def containing(memories: DataFrame, items: DataFrame) -> DataFrame:
     such inner words: see ``short_items``.
     """
     cut = lambda c: F.split(F.col(c), r"[ \t\n\x0B\f\r]+")
-    asked = items.select("item_id", F.col("text").alias("item"), cut("text").alias("__w")).filter(F.size("__w") >= ANCHOR + 2)
-    asked = asked.select("item_id", "item", F.xxhash64(F.array_join(F.slice("__w", 2, ANCHOR), " ")).alias("h"))
+    asked = items.select("item_id", cut("text").alias("__w")).filter(F.size("__w") >= ANCHOR + 2)
+    asked = asked.select("item_id", F.xxhash64(F.array_join(F.slice("__w", 2, ANCHOR), " ")).alias("h"))
     held = memories.select("memory_id", cut("content").alias("__w"))
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - (ANCHOR - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, ANCHOR), " ")))
-    near = held.select("memory_id", F.explode(F.array_distinct(runs)).alias("h")).join(asked, "h").select("memory_id", "item_id", "item").distinct()
-    found = near.join(memories.select("memory_id", "content"), "memory_id").filter(F.col("content").contains(F.col("item")))
+    near = held.select("memory_id", F.explode(F.array_distinct(runs)).alias("h")).join(small(asked.select("h", "item_id")), "h").select("memory_id", "item_id").distinct()
+    found = memories.select("memory_id", "content").join(small(near), "memory_id").join(small(items.select("item_id", "text")), "item_id")
+    found = found.filter(F.col("content").contains(F.col("text")))
     return found.select("item_id", "memory_id").unionByName(short_items(memories, items))
 
 
 def short_items(memories: DataFrame, items: DataFrame) -> DataFrame:
-    """``containing`` for items under six words: each is searched for in every memory, as a stated set of at most 1000 texts."""
-    few = items.filter(F.size(F.split("text", r"[ \t\n\x0B\f\r]+")) < ANCHOR + 2).filter("text <> ''").select("item_id", "text").limit(1001).collect()
-    if len(few) > 1000:
-        raise ValueError("more than 1000 items of under six words")
+    """``containing`` for items under six words, a stated set: each is searched for in every memory, BLOCK items a pass over the memories."""
+    few = items.filter(F.size(F.split("text", r"[ \t\n\x0B\f\r]+")) < ANCHOR + 2).filter("text <> ''").select("item_id", "text")
     out = memories.select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "memory_id").limit(0)
-    if not few:
-        return out
-    listed = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["text"]).alias("t")) for r in few])
-    hits = memories.select("memory_id", F.explode(F.filter(listed, lambda x: F.col("content").contains(x.t))).alias("x"))
-    return hits.select("x.item_id", "memory_id")
+    blocks = max(1, -(-few.count() // BLOCK))
+    for b in range(blocks):
+        own = few.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        if own:
+            listed = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["text"]).alias("t")) for r in own])
+            hits = memories.select("memory_id", F.explode(F.filter(listed, lambda x: F.col("content").contains(x.t))).alias("x"))
+            out = out.unionByName(hits.select("x.item_id", "memory_id"))
+    return out
 
 
 def golden(relevant: DataFrame, retrieved: DataFrame, queries: DataFrame) -> DataFrame:

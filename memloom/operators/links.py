@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import classify, text
+from memloom.sources.files import bounded_walk
 
 #: Fixed values.
 COMPANIONS = ["session.md", "specifications/spec.md", "findings/findings.md", "decisions/decisions.md", "plans/implementation-plan.md"]
@@ -51,24 +52,34 @@ def see_also(notes: DataFrame, catalogue: DataFrame, values: Column) -> DataFram
     return best.filter("target <> path").select(*edge("recommendation")).distinct()
 
 
-def vault_links(notes: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Backlink edges of a vault: the ladder root, own folder, as it stands, then the one file of that name; others go."""
+def vault_links(notes: DataFrame, catalogue: DataFrame, depth: int = 6, files: int = 500) -> DataFrame:
+    """Backlink edges of a vault; a link that nothing fits goes. A note is never its own target, at no rung.
+
+    A link with a folder names a file below the root, as it stands if it has an extension, else or failing that with
+    ``.md``. A bare name is tried with ``.md`` at the root, then in the note's own folder, then as it stands at
+    both. At last it is the one other file of that name, of that stem, or of a stem that goes on after a
+    dot, among the ``files`` first of a walk ``depth`` folders deep (five below the root), shallow first, then by path.
+    """
     named = linked(notes)
     root, own, link = F.col("root"), classify.directory(F.col("path")), F.col("link")
-    with_md = F.concat(link, F.lit(".md"))
-    as_path = F.array(F.when(F.substring_index(link, "/", -1).contains("."), under(root, link)), under(root, with_md))
+    with_md = F.when(link.endswith(".md"), link).otherwise(F.concat(link, F.lit(".md")))
+    as_path = F.array(F.when(link.rlike(r"[^/]\.[^/]*$"), under(root, link)), under(root, with_md))
     bare = F.array(under(root, with_md), under(own, with_md), under(root, link), under(own, link))
-    tried = named.select("root", "path", "link", F.posexplode(F.when(link.contains("/"), as_path).otherwise(bare)).alias("rank", "target")).filter("target is not null")
+    tried = named.select("root", "path", "link", F.posexplode(F.when(link.contains("/"), as_path).otherwise(bare)).alias("rank", "target"))
+    tried = tried.filter("target is not null and target <> path")
     there = catalogue.select(F.col("path").alias("target")).distinct()
     direct = tried.join(there, "target", "left_semi").groupBy("root", "path", "link").agg(F.min_by("target", "rank").alias("target"))
     left = named.filter(~link.contains("/")).join(direct, ["root", "path", "link"], "left_anti")
     name, bare_name = classify.basename(F.col("path")), classify.stem(F.col("path"))
     dots = F.split(bare_name, r"\.")
     starts = F.transform(F.sequence(F.lit(1), F.size(dots)), lambda i: F.array_join(F.slice(dots, 1, i), "."))
-    names = catalogue.distinct().select("root", F.col("path").alias("target"), F.explode(F.array_distinct(F.concat(F.array(name), starts))).alias("link"))
-    single = names.groupBy("root", "link").agg(F.count("*").alias("n"), F.min("target").alias("target")).filter("n = 1")
-    every = direct.select("path", "target").unionByName(left.join(single, ["root", "link"]).select("path", "target"))
-    return every.filter("target <> path").select(*edge("backlink")).distinct()
+    seen = bounded_walk(catalogue.select("root", "path").distinct(), depth, files)
+    names = seen.select("root", F.col("path").alias("target"), F.explode(F.array_distinct(F.concat(F.array(name), starts))).alias("link"))
+    counted = names.groupBy("root", "link").agg(F.count("*").alias("n"), F.min("target").alias("low"), F.max("target").alias("high")).filter("n <= 2")
+    one = left.join(counted, ["root", "link"]).join(names.select("root", "link", F.col("target").alias("path"), F.lit(1).alias("self")), ["root", "link", "path"], "left")
+    one = one.filter(F.col("n") - F.coalesce("self", F.lit(0)) == 1)
+    one = one.select("path", F.when(F.col("low") == F.col("path"), F.col("high")).otherwise(F.col("low")).alias("target"))
+    return direct.select("path", "target").unionByName(one).select(*edge("backlink")).distinct()
 
 
 def session_roots(files: DataFrame) -> DataFrame:
@@ -94,13 +105,14 @@ def references(files: DataFrame, home: str = "/root") -> DataFrame:
     """``files(path, session_root, content)`` → edges to files the text names, by path or by a base name single in its session.
 
     A base name counts where it stands alone: it starts a run of name characters and ends
-    before a character that is none of a word.
+    before a character that is none of a word. A session's tree is walked four folders deep, up to 200 files.
     """
+    tree = bounded_walk(files.select(F.col("session_root").alias("root"), "path"), 5, 200).select(F.col("root").alias("session_root"), "path")
     tokens = files.select("path", "session_root", F.explode(text.path_tokens(F.col("content"))).alias("token"))
     by_path = tokens.select("path", under(F.col("session_root"), text.expand_tilde(F.col("token"), home)).alias("target"))
     by_path = by_path.join(files.select(F.col("path").alias("target")), "target", "left_semi")
     base = classify.basename(F.col("path"))
-    single = files.groupBy("session_root", base.alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("target")).filter("n = 1").drop("n")
+    single = tree.groupBy("session_root", base.alias("name")).agg(F.count("*").alias("n"), F.min("path").alias("target")).filter("n = 1").drop("n")
     runs = F.array_distinct(F.regexp_extract_all(F.col("content"), F.lit(r"(?<![\w./-])[\w.-]+"), 0))
     ends = F.flatten(F.transform(runs, lambda r: F.transform(F.filter(F.sequence(F.lit(1), F.length(r)), lambda i: (i == F.length(r)) | ~r.substr(i + 1, F.lit(1)).rlike(r"\w")), lambda i: F.substring(r, F.lit(1), i))))
     named = files.select("path", "session_root", F.explode(F.array_distinct(ends)).alias("name"))

@@ -5,50 +5,53 @@ Contents are attached last, to the rows that an answer keeps.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from memloom.functions import text
+from memloom.operators.lifecycle import file_block
 from memloom.operators.project import touching
 
 BM25_K1, BM25_B = 1.2, 0.75
 
 
 def shingled(rows: DataFrame, key: str, content: str, n: int) -> DataFrame:
-    """``(key, gram)``: the distinct runs of ``n`` words of each row."""
+    """``(key, gram)``: the distinct runs of ``n`` words of each row, as 64-bit hashes."""
     words = text.words(F.col(content))
     held = rows.select(key, words.alias("__w"))
     if n == 1:
         grams = F.col("__w")
     else:
         starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - (n - 1), F.lit(1)))
-        grams = F.transform(starts, lambda i: F.array_join(F.slice("__w", i, n), " "))
+        grams = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get("__w", i + (j - 1)) for j in range(n)]))
         grams = F.when(F.size("__w") >= n, grams).otherwise(F.array().cast("array<string>"))
-    return held.select(key, F.explode(F.array_distinct(grams)).alias("gram"))
+    hashed = F.transform(grams, lambda g: F.xxhash64(g))
+    return held.select(key, F.explode(F.array_distinct(hashed)).alias("gram"))
+
+
+def small(rows: DataFrame, limit: int = 500_000) -> DataFrame:
+    """``rows``, to be broadcast if they are at most ``limit``; more are left to the planner, and a shuffle join."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
 
 
 def recall(memories: DataFrame, queries: DataFrame, k: int = 5, n: int = 1) -> DataFrame:
     """``(query_id, rank, memory_id, score)``: the best ``k`` memories of each query, ties to the smaller id.
 
     The score is the share of the query's distinct runs of ``n`` words the memory holds.
-    ``memories(memory_id, content)``, ``queries(query_id, query)``. The query runs are a stated
-    small set; memory runs that no query has are dropped at once.
+    ``memories(memory_id, content)``, ``queries(query_id, query)``. The query runs are broadcast below a checked
+    number, so memory runs that no query has are dropped where they are read.
     """
     asked = shingled(queries, "query_id", "query", n)
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("size"))
-    hits = shingled(memories, "memory_id", "content", n).join(asked, "gram").groupBy("query_id", "memory_id").agg(F.count("*").alias("hits"))
-    scored = hits.join(sizes, "query_id").select("query_id", "memory_id", F.round(F.col("hits") / F.col("size"), 6).alias("score"))
+    hits = shingled(memories, "memory_id", "content", n).join(small(asked), "gram").groupBy("query_id", "memory_id").agg(F.count("*").alias("hits"))
+    scored = hits.join(small(sizes), "query_id").select("query_id", "memory_id", F.round(F.col("hits") / F.col("size"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
     return scored.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "memory_id", "score")
 
 
-def pinned(found: DataFrame, limit: int = 10_000) -> DataFrame:
-    """``found`` as a local table, so that what follows is planned with its true, small size; larger tables stay as they are."""
-    rows = found.limit(limit + 1).collect()
-    return found if len(rows) > limit else found.sparkSession.createDataFrame(rows, found.schema)
-
-
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
@@ -68,48 +71,74 @@ def first_chunk(chunks: DataFrame) -> DataFrame:
 
 
 def located(found: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """``found(memory_id, ...)`` with its first chunk and that chunk's file; nulls where it has none."""
-    near = chunks.join(found.select("memory_id").distinct(), "memory_id", "left_semi")
+    """``found(memory_id, ...)``, a few rows, with its first chunk and that chunk's file; nulls where it has none."""
+    near = chunks.join(F.broadcast(found.select("memory_id").distinct()), "memory_id", "left_semi")
+    held = found.join(first_chunk(near), "memory_id", "left")
     named = files.select(F.col("id").alias("file_id"), "path", "source_type", "file_role", "tags", "summary")
-    return found.join(first_chunk(near), "memory_id", "left").join(named, "file_id", "left")
+    named = named.join(F.broadcast(held.select("file_id").distinct()), "file_id", "left_semi")
+    return held.join(named, "file_id", "left")
 
 
-def search_files(found: DataFrame, chunks: DataFrame, files: DataFrame, source_type: str | None = None, file_role: str | None = None) -> DataFrame:
+def search_files(found: DataFrame, chunks: DataFrame, files: DataFrame, source_type: str | None = None, file_role: str | None = None, relations: DataFrame | None = None, k: int = 5) -> DataFrame:
     """Recalled memories grouped by file: ``(kind, position, file_id, path, memory_ids, best_score)``.
 
     ``found(rank, memory_id, score)`` is already limited. Memories without a file, and those
-    whose file does not fit a filter, stay as rows of their own, before the groups.
+    whose file does not fit a filter, stay as rows of their own, before the groups. With ``relations`` each row also has
+    its file's ``k`` strongest edges, as ``relations``: array of (id, relation_type, strength, description), empty without a file.
     """
-    rows = pinned(located(pinned(found), chunks, files))
+    rows = located(found, chunks, files)
     fits = F.col("path").isNotNull()
     if source_type is not None:
         fits = fits & (F.col("source_type") == source_type)
     if file_role is not None:
         fits = fits & F.coalesce(F.col("file_role") == file_role, F.lit(False))
     rows = rows.withColumn("__fits", F.coalesce(fits, F.lit(False)))
-    alone = rows.filter("not __fits").select(F.lit("memory").alias("kind"), F.col("rank").alias("__at"), F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("string").alias("path"), F.array("memory_id").alias("memory_ids"), F.col("score").alias("best_score"))
+    own = lambda c: F.when(F.col("__fits"), F.col(c)).alias(c)
+    alone = F.when(~F.col("__fits"), F.col("memory_id")).alias("__alone")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "memory_id"))), lambda x: x.memory_id)
-    groups = rows.filter("__fits").groupBy("file_id", "path").agg(F.min("rank").alias("__at"), ordered.alias("memory_ids"), F.max("score").alias("best_score"))
-    every = alone.unionByName(groups.withColumn("kind", F.lit("file")))
+    groups = rows.groupBy(F.when(F.col("__fits"), "file").otherwise("memory").alias("kind"), own("file_id"), own("path"), alone)
+    groups = groups.agg(F.min("rank").alias("__at"), ordered.alias("memory_ids"), F.max("score").alias("best_score"))
     position = F.row_number().over(Window.orderBy(F.desc("kind"), "__at"))  # at most the recall limit of rows
-    return every.withColumn("position", position).select("kind", "position", "file_id", "path", "memory_ids", "best_score")
+    out = groups.withColumn("position", position).select("kind", "position", "file_id", "path", "memory_ids", "best_score")
+    if relations is None:
+        return out
+    edges = strongest(out.select("file_id").distinct(), relations, k)
+    return out.join(listed_edges(edges), "file_id", "left").withColumn("relations", F.coalesce("relations", F.array().cast(EDGE_LIST)))
+
+
+EDGE_LIST = "array<struct<id:string,relation_type:string,strength:double,description:string>>"
 
 
-def related(files: DataFrame, relations: DataFrame, k: int | None = None) -> DataFrame:
-    """``(file_id, other_id, relation_type, strength, n)``: relations at either end of each of ``files(file_id)``, strongest first.
+def strongest(files: DataFrame, relations: DataFrame, k: int | None = None) -> DataFrame:
+    """``(file_id, n, id, other_id, relation_type, strength, description)``: the edges at either end of each of ``files(file_id)``, strongest first.
 
-    The first relation to each other file counts; relations to a file itself do not exist.
+    Of equal strength the smaller id comes first. Edges to one other file stay apart, and count each.
     """
-    near = touching(relations, files)
     ends = files.select("file_id").distinct()
-    out = near.select(F.col("source_file_id").alias("file_id"), F.col("target_file_id").alias("other_id"), "relation_type", "strength", "id")
-    into = near.select(F.col("target_file_id").alias("file_id"), F.col("source_file_id").alias("other_id"), "relation_type", "strength", "id")
+    near = touching(relations, ends)
+    rest = ["id", "relation_type", "strength", F.col("description") if "description" in relations.columns else F.lit(None).cast("string").alias("description")]
+    out = near.select(F.col("source_file_id").alias("file_id"), F.col("target_file_id").alias("other_id"), *rest)
+    into = near.select(F.col("target_file_id").alias("file_id"), F.col("source_file_id").alias("other_id"), *rest).filter("file_id <> other_id")
     both = out.unionByName(into).join(ends, "file_id", "left_semi")
-    best = both.groupBy("file_id", "other_id").agg(F.min_by(F.struct("relation_type", "strength", "id"), F.struct(-F.col("strength"), F.col("id"))).alias("r"))
-    best = best.select("file_id", "other_id", "r.*")
-    n = F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("strength"), "id"))
-    ranked = best.withColumn("n", n)
-    return (ranked if k is None else ranked.filter(F.col("n") <= k)).select("file_id", "other_id", "relation_type", "strength", "n")
+    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("strength"), "id")))
+    ranked = ranked if k is None else ranked.filter(F.col("n") <= k)
+    return ranked.select("file_id", "n", "id", "other_id", "relation_type", "strength", "description")
+
+
+def listed_edges(edges: DataFrame) -> DataFrame:
+    """``(file_id, relations)`` from edges that ``strongest`` limited."""
+    block = F.transform(F.array_sort(F.collect_list(F.struct("n", "id", "relation_type", "strength", "description"))), lambda x: F.struct(x.id.alias("id"), x.relation_type.alias("relation_type"), x.strength.alias("strength"), x.description.alias("description")))
+    return edges.groupBy("file_id").agg(block.alias("relations"))
+
+
+def related(edges: DataFrame, files: DataFrame) -> DataFrame:
+    """``(file_id, n, other_id, path, summary, relation, description)``: the other ends of ``strongest`` edges, each once, by its first edge.
+
+    A file is not its own relative, and ends that ``files`` lacks go.
+    """
+    first = edges.filter("other_id <> file_id").groupBy("file_id", "other_id").agg(F.min_by(F.struct("n", "relation_type", "description"), "n").alias("e"))
+    named = files.select(F.col("id").alias("other_id"), "path", "summary")
+    return first.join(named, "other_id").select("file_id", "e.n", "other_id", "path", "summary", F.col("e.relation_type").alias("relation"), "e.description")
 
 
 def relation_counts(relations: DataFrame) -> DataFrame:
@@ -130,17 +159,40 @@ def summary_chain(files: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def enrich(found: DataFrame, tables: dict[str, DataFrame], k: int = 5) -> DataFrame:
-    """``found(memory_id, ...)`` with its file's block, relation count, at most ``k`` relations and summary chain."""
-    rows = pinned(located(pinned(found), tables["file_chunks"], tables["files"]))
-    own = rows.filter("file_id is not null").select("file_id").distinct()
-    top = related(own, tables["file_relations"], k).groupBy("file_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("n", "other_id", "relation_type", "strength"))), lambda x: F.struct(x.other_id.alias("file_id"), x.relation_type.alias("relation_type"), x.strength.alias("strength"))).alias("relations")
-    )
-    count = relation_counts(touching(tables["file_relations"], own)).join(own, "file_id", "left_semi")
-    mine = tables["files"].join(own.withColumnRenamed("file_id", "id"), "id", "left_semi")
-    chains = summary_chain(mine, tables["file_chunks"].join(own, "file_id", "left_semi"))
-    out = rows.join(top, "file_id", "left").join(count, "file_id", "left").join(chains, "file_id", "left")
-    return out.withColumn("related_files_count", F.when(F.col("file_id").isNotNull(), F.coalesce("related_files_count", F.lit(0))))
+    """``found(memory_id, ...)``, a few rows, each with its file's block ``file_enrichment``: null where it has no file.
+
+    The block: ``file`` (its row), ``relations`` (the ``k`` strongest edges), ``related_files`` (their other ends), ``related_files_count``
+    (all edges), ``summary_chain``, ``traversal`` (file id and relation ids), ``source_type_enrichment`` (the file's metadata) and ``chunk_hash``, the
+    memory's own.
+    """
+    chunks, files, relations = tables["file_chunks"], tables["files"], tables["file_relations"]
+    near = chunks.join(F.broadcast(found.select("memory_id").distinct()), "memory_id", "left_semi")
+    least = F.min_by(F.struct("file_id", F.col("content_hash").alias("chunk_hash")), F.struct("chunk_index", "file_id"))
+    rows = found.join(near.groupBy("memory_id").agg(least.alias("c")).select("memory_id", "c.*"), "memory_id", "left")
+    own = F.broadcast(rows.filter("file_id is not null").select("file_id").distinct())
+    mine = files.join(own.withColumnRenamed("file_id", "id"), "id", "left_semi")
+    edges = strongest(own, relations, k)
+    ends = F.broadcast(edges.select(F.col("other_id").alias("id")).distinct())
+    others = related(edges, files.join(ends, "id", "left_semi"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("other_id").alias("id"), "path", "summary", "relation", "description"))), lambda x: F.struct(x.id.alias("id"), x.path.alias("path"), x.summary.alias("summary"), x.relation.alias("relation"), x.description.alias("description")))
+    others = others.groupBy("file_id").agg(listed.alias("related_files"))
+    count = relation_counts(touching(relations, own)).join(own, "file_id", "left_semi")
+    chains = summary_chain(mine, chunks.join(own, "file_id", "left_semi"))
+    block = mine.select(F.col("id").alias("file_id"), file_block(mine).alias("file"), F.col("metadata") if "metadata" in mine.columns else F.lit(None).cast("map<string,string>").alias("metadata"))
+    for more in (listed_edges(edges), others, count, chains):
+        block = block.join(more, "file_id", "left")
+    none = F.array().cast(EDGE_LIST)
+    block = block.select(
+        "file_id", "file", F.coalesce("relations", none).alias("relations"),
+        F.coalesce("related_files", F.array().cast("array<struct<id:string,path:string,summary:string,relation:string,description:string>>")).alias("related_files"),
+        F.coalesce("related_files_count", F.lit(0)).alias("related_files_count"), F.col("chain").alias("summary_chain"),
+        F.struct("file_id", F.transform(F.coalesce("relations", none), lambda r: r.id).alias("relation_ids")).alias("traversal"),
+        F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("source_type_enrichment"),
+    )
+    names = [c for c in block.columns if c != "file_id"]
+    out = rows.join(block, "file_id", "left")
+    whole = F.when(F.col("file").isNotNull(), F.struct(*names, "chunk_hash"))
+    return out.select(*found.columns, whole.alias("file_enrichment"))
 
 
 def with_contents(chunks: DataFrame, memories: DataFrame) -> DataFrame:
@@ -165,7 +217,7 @@ def fetch_whole(chunks: DataFrame, memories: DataFrame) -> DataFrame:
 def fetch_neighbours(chunks: DataFrame, centres: DataFrame, adjacent: int = 1) -> DataFrame:
     """``chunks`` around ``centres(file_id, centre)``: the chunk with that index and ``adjacent`` places to either side.
 
-    Places count positions in (index, line) order, not index values. A centre that is not there gives no row.
+    Places count positions in (index, line) order, not index values. A centre that is not there gives no row: see ``missing_centres``.
     """
     if not 0 <= adjacent <= 5:
         raise ValueError("adjacent must be between 0 and 5")
@@ -175,6 +227,20 @@ def fetch_neighbours(chunks: DataFrame, centres: DataFrame, adjacent: int = 1) -
     return near.withColumn("__at", at).filter(F.abs(F.col("position") - F.col("__at")) <= adjacent).drop("__at")
 
 
+def missing_centres(chunks: DataFrame, centres: DataFrame) -> DataFrame:
+    """``(file_id, centre, available)``: the centres that their file has no chunk for, with the indexes it has, in order."""
+    lost = centres.join(chunks.select("file_id", F.col("chunk_index").alias("centre")).distinct(), ["file_id", "centre"], "left_anti")
+    held = chunks.join(lost.select("file_id").distinct(), "file_id", "left_semi").groupBy("file_id").agg(F.array_sort(F.collect_set("chunk_index")).alias("available"))
+    return lost.join(held, "file_id", "left").select("file_id", "centre", F.coalesce("available", F.array().cast("array<int>")).alias("available"))
+
+
+def with_file(fetched: DataFrame, files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``fetched(file_id, ...)`` with its file's row ``file`` and ``total_chunks``, as the metadata of a fetch."""
+    counts = chunks.groupBy("file_id").agg(F.count("*").cast("int").alias("total_chunks"))
+    named = files.select(F.col("id").alias("file_id"), file_block(files.drop("total_chunks")).dropFields("total_chunks").alias("file"))
+    return fetched.join(named, "file_id", "left").join(counts, "file_id", "left").withColumn("total_chunks", F.coalesce("total_chunks", F.lit(0)))
+
+
 def expand(files: DataFrame, tables: dict[str, DataFrame], memories: DataFrame | None = None, kinds: list[str] | None = None) -> DataFrame:
     """Outgoing relations of ``files(file_id)``, one for each target: the target's block, and its composed content.
 
@@ -209,32 +275,28 @@ def full_text(files: DataFrame, query: str) -> DataFrame:
     return files.filter(document.contains(query.lower()) if len(query) >= 3 else F.lit(False))
 
 
-def trigrams(document: Column) -> Column:
-    return F.when(F.length(document) >= 3, F.transform(F.sequence(F.lit(1), F.length(document) - 2), lambda i: F.substring(document, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-
-
-def _equal_to(value: str):
-    return lambda x: x == F.lit(value)
-
-
 def full_text_ranked(files: DataFrame, query: str) -> DataFrame:
     """``(id, score)`` of the files that hold ``query``, by BM25 over the query's trigrams.
 
-    Two sums over the table give the number of files, their mean length and the trigrams' frequencies.
+    Each file's text is put together once a pass, and the query's trigrams are counted in it. Two passes: the
+    number of files, their mean length and the trigrams' frequencies; then the scores.
     """
-    grams = sorted({query.lower()[i : i + 3] for i in range(len(query) - 2)})
+    wanted = query.lower()
+    grams = sorted({wanted[i : i + 3] for i in range(len(wanted) - 2)})
+    times = lambda d, g: F.regexp_count(d, F.lit(f"(?={re.escape(g)})"))
+    facts = lambda d: F.struct(F.greatest(F.length(d) - 2, F.lit(0)).alias("len"), d.contains(wanted).alias("fits"), F.array(*[times(d, g) for g in grams]).alias("t"))
     document = text.file_document(F.col("path"), F.col("keywords"), F.col("tags"))
-    counted = files.select("id", "path", "keywords", "tags", F.greatest(F.length(document) - 2, F.lit(0)).alias("len"), trigrams(document).alias("__g"))
-    times = [F.size(F.filter("__g", _equal_to(g))) for g in grams]
-    counted = counted.select("id", "path", "keywords", "tags", "len", *[c.alias(f"__t{i}") for i, c in enumerate(times)])
-    total = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.sum((F.col(f"__t{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(grams))]).first()
+    counted = files.select("id", F.transform(F.array(document), facts)[0].alias("f")).select("id", "f.*")
+    if not grams:
+        return counted.filter("false").select("id", F.lit(0.0).alias("score"))
+    total = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col("t")[i] > 0).alias(f"d{i}") for i in range(len(grams))]).first()
     score = F.lit(0.0)
     for i in range(len(grams)):
         d = total[f"d{i}"] or 0
         idf = F.log(F.lit((total["n"] - d + 0.5) / (d + 0.5) + 1))
-        tf = F.col(f"__t{i}")
+        tf = F.col("t")[i]
         score = score + idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("len") / F.lit(max(total["mean"] or 1.0, 1.0))))
-    return full_text(counted, query).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id")
+    return counted.filter("fits").select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id")
 
 
 def bank_list(banks: DataFrame, memories: DataFrame) -> DataFrame:

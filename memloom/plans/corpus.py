@@ -48,8 +48,9 @@ class Corpus:
     def files(self) -> DataFrame:
         role = classify.file_role(F.col("path"))
         return self.documents().select(
-            text.file_id(F.col("bank"), F.col("path")).alias("id"), "doc_id", "bank", "path", "source_type", role.alias("file_role"), F.sha2("content", 256).alias("file_hash"), F.lit(None).cast("string").alias("summary"),
+            text.file_id(F.col("bank"), F.col("path")).alias("id"), "doc_id", "bank", "path", "source_type", role.alias("file_role"), F.sha2("content", 256).alias("file_hash"), F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("Summary of "), F.col("doc_id").cast("string"))).alias("summary"),
             text.keyword_tags(F.col("content")).alias("keywords"), F.array(F.concat(F.lit("lang-"), "lang"), F.col("bank")).alias("tags"), F.lit("indexed").alias("status"),
+            F.create_map(F.lit("lang"), F.col("lang")).alias("metadata"), F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.col("doc_id") * 7919, F.lit(1_000_003))).alias("created_at"), F.lit(0.5).alias("average_importance"),
         )
 
     def relations(self) -> DataFrame:
@@ -61,7 +62,8 @@ class Corpus:
         first = docs.groupBy("bank", "file_hash").agg(F.min_by("id", "doc_id").alias("target_file_id"))
         same = docs.join(first, ["bank", "file_hash"]).select(F.col("id").alias("source_file_id"), "target_file_id", F.lit("version").alias("relation_type"), F.lit(1.0).alias("strength"))
         every = near.unionByName(twice).unionByName(same).filter("source_file_id <> target_file_id")
-        return every.withColumn("id", text.relation_id(F.col("source_file_id"), F.col("target_file_id"), F.col("relation_type")))
+        every = every.withColumn("id", text.relation_id(F.col("source_file_id"), F.col("target_file_id"), F.col("relation_type")))
+        return every.withColumn("description", F.when(F.col("relation_type") != "sibling", F.concat(F.lit("by "), "relation_type")))
 
     def tables(self) -> dict[str, DataFrame]:
         return {"files": self.files(), "file_chunks": self.file_chunks(), "file_relations": self.relations()}
@@ -93,6 +95,22 @@ class Corpus:
         root = F.concat(F.lit("/"), F.col("bank"))
         return self.documents().select(root.alias("root"), F.concat(root, F.lit("/"), n(0), F.lit(".md")).alias("path"), "doc_id", "bank", content.alias("content"))
 
+    def vault(self) -> tuple[DataFrame, DataFrame]:
+        """Notes of a vault and its catalogue: files at the root, in folders, with dots and other extensions in their names, some names met twice.
+
+        Each note links by every form: its own name, bare names, names with an extension, paths with and without one, names of nothing.
+        """
+        n = lambda x: F.pmod(F.col("doc_id") + x, F.lit(90)).cast("string")
+        k, own = F.pmod("doc_id", F.lit(6)), F.pmod("doc_id", F.lit(90)).cast("string")
+        folder = F.element_at(F.array(*[F.lit(x) for x in ("", "/sub", "/sub", "/deep/x", "/sub/y", "")]), (k + 1).cast("int"))
+        ext = F.element_at(F.array(*[F.lit(x) for x in (".md", ".md", ".draft.md", ".md", ".png", ".draft.md")]), (k + 1).cast("int"))
+        docs = self.documents().filter("doc_id is not null").withColumn("root", F.concat(F.lit("/v"), F.floor(F.col("doc_id") / 180).cast("string")))
+        path = F.concat("root", folder, F.lit("/n"), own, ext)
+        forms = [F.concat(F.lit("n"), own), F.concat(F.lit("n"), n(6)), F.concat(F.lit("n"), n(1)), F.concat(F.lit("n"), n(2)), F.concat(F.lit("n"), n(3)), F.concat(F.lit("n"), n(4), F.lit(".png")), F.concat(F.lit("sub/n"), n(1)), F.concat(F.lit("sub/n"), n(2), F.lit(".draft.md")), F.concat(F.lit("deep/x/n"), n(5), F.lit("|alias")), F.concat(F.lit("n"), n(7), F.lit(".draft")), F.lit("nothing here")]
+        content = F.concat(F.lit("Links: "), F.concat_ws(" ", *[F.concat(F.lit("[["), f, F.lit("]]")) for f in forms]))
+        notes = docs.groupBy("root", path.alias("path")).agg(F.min("doc_id").alias("doc_id"), F.min_by(content, "doc_id").alias("content"))
+        return notes.filter("path like '%.md'"), notes.select("root", "path")
+
     def sessions(self) -> DataFrame:
         """``(path, content)``: each turn of a conversation as a file of its session."""
         names = F.array(*[F.lit(x) for x in ("session.md", "specifications/spec.md", "findings/findings.md", "decisions/decisions.md", "plans/implementation-plan.md")])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 GAP, LATE = "3 seconds", "10 minutes"
 
@@ -21,13 +23,46 @@ def settled(events: DataFrame, gap: str = GAP, late: str = LATE) -> DataFrame:
     return runs.select("path", "op", F.col("last").alias("ts"), "n")
 
 
-def in_flight_once(events: DataFrame, window: str = "3 seconds", late: str = LATE) -> DataFrame:
-    """The first event of each path within the watermark's reach; on tables, within each window of time."""
+def opened(path: pd.Series, ts: pd.Series, until: dict, span: pd.Timedelta) -> list[bool]:
+    """Which events open a flight: those at or after the end of their path's last one, which ``until`` holds."""
+    out = []
+    for p, t in zip(path, ts, strict=True):
+        free = p not in until or t >= until[p]
+        if free:
+            until[p] = t + span
+        out.append(free)
+    return out
+
+
+def in_flight_once(events: DataFrame, span: str = "3 seconds") -> DataFrame:
+    """``(path, op, ts)``: an event opens a flight of ``span``; the path's further events are dropped until it ends, then the next one opens.
+
+    On tables events are taken in order of time, of equal moments the smallest name first; on streams in the order in which
+    they arrive, by batches in order of time. So both agree where events arrive in order. Tables go through
+    a sort within partitions by path, and hold one path's flight at a time.
+    """
+    rows = events.select("path", "op", "ts")
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["path"])
-    slot = F.window("ts", window).start
-    first = events.groupBy("path", slot.alias("__s")).agg(F.min_by("op", F.struct("ts", "op")).alias("op"), F.min("ts").alias("ts"))
-    return first.select("path", "op", "ts")
+
+        def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+            until = {key[0]: pd.Timestamp(state.get[0], unit="us")} if state.exists else {}
+            table = pd.concat(list(batches)).sort_values(["ts", "op"])
+            out = table[opened(table["path"], table["ts"], until, pd.Timedelta(span))]
+            state.update((until[key[0]].value // 1000,))
+            yield out
+
+        return rows.groupBy("path").applyInPandasWithState(follow, "path string, op string, ts timestamp", "until long", "append", GroupStateTimeout.NoTimeout)
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        until: dict = {}
+        for table in batches:
+            keep = opened(table["path"], table["ts"], until, pd.Timedelta(span))
+            last = table["path"].iloc[-1] if len(table) else None
+            until = {last: until[last]} if last in until else {}
+            yield table[keep]
+
+    known = rows.filter("path is not null and ts is not null")
+    return known.repartition("path").sortWithinPartitions("path", "ts", "op").mapInPandas(first, "path string, op string, ts timestamp")
 
 
 def plan(events: DataFrame, tracker: DataFrame, current: DataFrame) -> DataFrame:

@@ -100,10 +100,14 @@ def test_fetch(spark):
         near(0, 6)
 
 
-def test_related_reads_both_ends(spark):
-    r = spark.createDataFrame([("r1", "f", "g", "sibling", 0.5), ("r2", "h", "f", "version", 1.0), ("r3", "f", "g", "version", 0.9), ("r4", "x", "y", "version", 1.0)], "id string, source_file_id string, target_file_id string, relation_type string, strength double")
-    got = retrieve.related(spark.createDataFrame([("f",)], "file_id string"), r).orderBy("n").collect()
-    assert [(x["other_id"], x["strength"]) for x in got] == [("h", 1.0), ("g", 0.9)]
+def test_edges_are_ranked_before_repeated_files_go(spark):
+    r = spark.createDataFrame([("r1", "f", "g", "version", 1.0, "d"), ("r2", "f", "g", "sibling", 0.9, None), ("r3", "h", "f", "sibling", 0.5, None), ("r4", "x", "y", "version", 1.0, None)], "id string, source_file_id string, target_file_id string, relation_type string, strength double, description string")
+    f = spark.createDataFrame([("f", "/f", None), ("g", "/g", "G"), ("h", "/h", None)], "id string, path string, summary string")
+    own = spark.createDataFrame([("f",)], "file_id string")
+    two, three = retrieve.strongest(own, r, 2), retrieve.strongest(own, r, 3)
+    assert [(x["id"], x["other_id"]) for x in two.orderBy("n").collect()] == [("r1", "g"), ("r2", "g")]
+    assert [(x["other_id"], x["relation"], x["summary"]) for x in retrieve.related(two, f).collect()] == [("g", "version", "G")]
+    assert [(x["other_id"], x["n"]) for x in retrieve.related(three, f).orderBy("n").collect()] == [("g", 1), ("h", 3)]
 
 
 def test_bm25(spark):
@@ -133,6 +137,13 @@ def test_vault_ladder(spark):
     assert got == ["/v/a/near.md", "/v/deep/one.md", "/v/top.md", "/v/z/only.part.md"]  # "only" fits only.md and only.part.md
 
 
+def test_vault_ladder_skips_the_note_itself(spark):
+    cat = spark.createDataFrame([("/v", p) for p in ("/v/a/x.md", "/v/b/x.md", "/v/c/y.md", "/v/c/y.part.md", "/v/c/z.md")], "root string, path string")
+    notes = spark.createDataFrame([("/v", "/v/a/x.md", "[[x]]"), ("/v", "/v/c/y.md", "[[y]] [[c/y]]"), ("/v", "/v/c/z.md", "[[z]] [[x]]")], "root string, path string, content string")
+    got = sorted((r["source_path"], r["target_path"]) for r in links.vault_links(notes, cat).collect())
+    assert got == [("/v/a/x.md", "/v/b/x.md"), ("/v/c/y.md", "/v/c/y.part.md")]
+
+
 def test_references(spark):
     rows = [("/s/session.md", "x"), ("/s/plans/a.md", "see plans/../session.md, deep/b.md and b.md; c.md"), ("/s/deep/b.md", "nothing"), ("/s/p/c.md", ""), ("/s/q/c.md", "a.md, ./plans/a.md"), ("/s/odd name.txt", "")]
     f = links.session_roots(spark.createDataFrame(rows, "path string, content string"))
@@ -179,6 +190,26 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(x for x in got if x[0] != "end") == want == [("a", "change", 2), ("a", "delete", 1), ("b", "add", 1)]
 
 
+def test_in_flight_stream_equals_batch(spark, tmp_path):
+    stamp = lambda s: F.timestamp_seconds(F.lit(1_700_000_000 + s))
+    parts = [[("a", "add", 0), ("a", "change", 1), ("b", "add", 2)], [("a", "change", 2), ("a", "delete", 3), ("b", "change", 4)], [("a", "add", 5), ("a", "change", 6), ("b", "delete", 5)]]
+    every = None
+    for i, part in enumerate(parts):
+        df = None
+        for p, op, s in part:
+            one = spark.range(1).select(F.lit(p).alias("path"), F.lit(op).alias("op"), stamp(s).alias("ts"))
+            df = one if df is None else df.unionByName(one)
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        every = df if every is None else every.unionByName(df)
+    stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = []
+    query = events.in_flight_once(stream).writeStream.foreachBatch(lambda b, _: got.extend(map(tuple, b.collect()))).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    want = sorted(map(tuple, events.in_flight_once(every).collect()))
+    assert sorted(got) == want
+    assert [(p, op) for p, op, _ in want] == [("a", "add"), ("a", "change"), ("a", "delete"), ("b", "add"), ("b", "delete")]
+
+
 def test_scan_and_walk(spark, tmp_path):
     for name in ("a.md", "d/b.md", "d/e/c.md", ".git/x", "d/.env.x", "skip.log"):
         p = tmp_path / name
