@@ -20,7 +20,7 @@ from memloom.llm.textnum import Hasher, blocks, spans
 
 FOLDS, HELD = 5, 0
 CUT = 0.3
-PER_CLASS, MAX_CHARS = 1500, 8000
+PER_CLASS, MAX_CHARS = 1200, 8000
 WORDS, ENDS, PAIRS = 2048, 2048, 512
 TERMS = WORDS + ENDS + PAIRS
 RANK, NEAREST, POWER = 16, 15, 8
@@ -63,6 +63,16 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def directions(x: np.ndarray, rank: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
+    """The first right singular vectors, by subspace iteration: no matrix larger than ``x`` itself."""
+    wide = min(rank + 16, *x.shape)
+    q = np.random.default_rng(seed).normal(size=(x.shape[1], wide)).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, values, turn = np.linalg.svd((x @ q).astype(np.float64), full_matrices=False)
+    return (q @ turn[:rank][values[:rank] > 1e-6].T).astype(np.float32)
+
+
 class Voter:
     """Latent directions and labelled unit vectors."""
 
@@ -72,17 +82,15 @@ class Voter:
         if len(rows) == 0 or y.min() == y.max():
             self.constant = 1.0 if len(rows) == 0 else float(y[0])
             return
-        x = np.concatenate([weighed(counts(raw)) for _, raw in blocks([t for t, _ in rows])])
+        x = np.empty((len(rows), TERMS), np.float32)
+        for first, raw in blocks([t for t, _ in rows]):
+            x[first : first + len(raw)] = weighed(counts(raw))
         self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 1).astype(np.float32)
         x *= self.idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         self.mean = x.mean(axis=0)
         x -= self.mean
-        rank = min(RANK, len(x) - 1)
-        values, vectors = np.linalg.eigh((x @ x.T).astype(np.float64))
-        top = np.argsort(-values)[:rank]
-        top = top[values[top] > 1e-9]
-        self.project = (x.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32)
+        self.project = directions(x, min(RANK, len(x) - 1))
         self.vectors, self.labels = unit(x @ self.project), y
         # half of what would make both labels weigh alike, whatever the sample holds of each
         self.balance = np.sqrt(np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))).astype(np.float32)
