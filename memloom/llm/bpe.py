@@ -73,6 +73,8 @@ class Model:
         solid = "".join(re.escape(c) for c in sorted(self.mergeable - {SPACE}))
         #: Space marks with the mergeable characters after them, or any other single character.
         self.unit = re.compile(f"{SPACE}*[{solid}]+|{SPACE}+|.", re.DOTALL)
+        #: Words of mergeable characters alone: one unit, which decodes to itself.
+        self.solid = re.compile(f"[{solid}]+")
         self.pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -183,9 +185,12 @@ class Units(dict):
     def __missing__(self, word: str) -> tuple[str, str]:
         got = self.old.get(word)
         if got is None:
-            unit = SPACE + word
-            ids = [i for u in self.model.unit.findall(unit) for i in self.model.unit_ids(u)]
-            got = (",".join(map(str, ids)), self.model.decode_raw(ids))
+            unit, model = SPACE + word, self.model
+            if model.solid.fullmatch(word):
+                got = (",".join(map(str, model.segment(unit))), " " + word)
+            else:
+                ids = [i for u in model.unit.findall(unit) for i in model.unit_ids(u)]
+                got = (",".join(map(str, ids)), model.decode_raw(ids))
         if len(self) >= KEEP:
             self.old = dict(self)
             self.clear()
