@@ -22,6 +22,7 @@ OLD_NAMES = {
     "file_hash": ["hash", "fileHash"],
     "file_role": ["fileRole"],
 }
+#: Keys and relation types of the payload.
 KNOWN = (
     "contract_version file_path chunk_index total_chunks section_header start_line end_line source_type file_role "
     "language file_hash chunk_hash summary parent_unit edges tags extra"
@@ -83,6 +84,33 @@ def parse(rows: DataFrame, payload: str = "payload") -> DataFrame:
     return out.withColumn("end_line", F.when(F.col("start_line").isNull() | (F.col("end_line") >= F.col("start_line")), F.col("end_line")))
 
 
+#: Metadata keys that have a field of their own.
+CONSUMED = "fileHash chunkHash filePath sourceId sourceType mastraDocSummary".split()
+
+
+def parent_unit(metadata: Column) -> Column:
+    """The unit a chunk belongs to: its session, by id, described by the session's status; null without a session."""
+    at = lambda k: F.nullif(F.try_element_at(metadata, F.lit(k)), F.lit(""))
+    return F.when(at("session.id").isNotNull(), F.struct(F.concat(F.lit("session-"), at("session.id")).alias("ref"), at("session.status").alias("summary")))
+
+
+def wire(chunks: DataFrame) -> DataFrame:
+    """``(bank, path, chunk_index, content, importance, payload)`` of chunk rows: the payload of version 1 as JSON.
+
+    Nulls and an empty path are left out; metadata that has no field of its own becomes ``extra``, absent if there is none.
+    """
+    m = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
+    kind = source_type(F.try_element_at(m, F.lit("sourceType")))
+    extra = F.map_filter(m, lambda k, _: ~k.isin(CONSUMED))
+    has = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
+    fields = {
+        "contract_version": F.lit(1), "file_path": F.nullif(F.col("path"), F.lit("")), "chunk_index": F.col("chunk_index"), "total_chunks": F.col("total_chunks"), "section_header": F.col("section_header"), "start_line": has("start_line"), "end_line": has("end_line"),
+        "source_type": F.when(kind != "unknown", kind), "file_role": F.col("file_role"), "language": has("language"), "file_hash": F.col("file_hash"), "chunk_hash": F.col("chunk_hash"), "summary": F.try_element_at(m, F.lit("mastraDocSummary")),
+        "parent_unit": parent_unit(m), "edges": F.col("edges"), "tags": F.col("tags"), "extra": F.when(F.size(extra) > 0, extra),
+    }
+    return chunks.select("bank", "path", "chunk_index", F.col("chunk").alias("content"), "importance", payload(fields).alias("payload"))
+
+
 def payload(columns: dict[str, Column]) -> Column:
     """The JSON payload of a chunk: the given columns under their names, nulls left out."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()]))

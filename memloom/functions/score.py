@@ -37,7 +37,10 @@ def header_factor(header: Column) -> Column:
     return F.greatest(level - 1, F.lit(0)) * F.lit(0.05)
 
 
-def importance(role: Column, text: Column, header: Column, weights: dict[str, float] | None = None, base: float = BASE) -> Column:
+def importance(role: Column, text: Column, header: Column, weights: dict[str, float] | None = None, base: float = BASE, enabled: bool = True) -> Column:
+    """The weighted factors on ``base``, kept between 0 and 1; ``base`` alone where scoring is not ``enabled``."""
+    if not enabled:
+        return F.lit(base)
     factors = {"role": role_factor(role), "length": length_factor(text), "keywords": marker_factor(text), "header": header_factor(header)}
     total = F.lit(base)
     for name, weight in (WEIGHTS if weights is None else weights).items():

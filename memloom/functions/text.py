@@ -11,6 +11,8 @@ STOPWORDS = (
     "his her their our your my with from by as about into through during before after above below between among upon"
 ).split()
 KEYWORDS, TOKENS = 5, 200
+SINCE_2020 = 1_577_836_800_000
+#: What a frontmatter block and a path in a text look like.
 _FRONT = r"(?s)\A---\n(.*?)\n---\n?(.*)\z"
 PATH_TOKEN = r"[\w./~-]+\.[A-Za-z][A-Za-z0-9]*\b"
 
@@ -148,6 +150,17 @@ def file_document(path: Column, keywords: Column, tags: Column) -> Column:
     return F.lower(F.concat_ws(" ", path, F.array_join(keywords, " "), F.array_join(tags, " ")))
 
 
+def snowflake(millis: Column, node: Column, sequence: Column) -> Column:
+    """An id of 41 bits of milliseconds since 2020 began, 10 of a node and 12 of a sequence number."""
+    since = millis - F.lit(SINCE_2020)
+    return F.shiftleft(since, 22).bitwiseOR(F.shiftleft(node.bitwiseAND(F.lit(1023)).cast("long"), 12)).bitwiseOR(sequence.bitwiseAND(F.lit(4095)).cast("long"))
+
+
+def chunk_number(path: Column, index: Column) -> Column:
+    """An id for a chunk that is the same in every run."""
+    return F.xxhash64(path, index)
+
+
 def snowflake_parts(value: Column) -> Column:
     """``struct(millis, node, sequence)`` of an id of 41, 10 and 12 bits."""
     return F.struct(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,17 +27,39 @@ def line_chunks(files: DataFrame, content: str = "content") -> DataFrame:
     return held.select(*rest, F.size("__l").alias("total_chunks"), F.posexplode("__l").alias("chunk_index", "chunk"))
 
 
-def pack(pieces: list[str], limit: int, joint: str) -> list[str]:
-    """Neighbouring pieces joined while they stay within ``limit``."""
+class Bounds(NamedTuple):
+    """Sizes of chunks in characters: none is longer than ``most``; packing stops at ``target``, but chunks and pieces under
+    ``least`` are joined up to ``most``; ``overlap`` is how much of the chunk before is said again, where there is room."""
+
+    most: int
+    least: int = 0
+    target: int | None = None
+    overlap: int = 0
+
+
+def pack(pieces: list[str], bounds: Bounds, joint: str) -> list[str]:
+    """Neighbouring pieces joined while they stay within the bounds."""
     out: list[str] = []
     for piece in pieces:
-        if out and len(out[-1]) + len(joint) + len(piece) <= limit:
+        size = len(out[-1]) + len(joint) + len(piece) if out else 0
+        short = bool(out) and min(len(out[-1]), len(piece)) < bounds.least
+        if out and size <= (bounds.most if short or bounds.target is None else bounds.target):
             out[-1] += joint + piece
         else:
             out.append(piece)
     return out
 
 
+def overlapping(chunks: list[str], bounds: Bounds) -> list[str]:
+    """Each chunk after the end of the one before, from a word's start on, where both fit."""
+    out = chunks[:1]
+    for before, own in zip(chunks, chunks[1:], strict=False):
+        tail = before[-bounds.overlap :] if bounds.overlap else ""
+        tail = tail if len(tail) == len(before) else tail.partition(" ")[2]
+        out.append(f"{tail} {own}" if tail.strip() and len(tail) + 1 + len(own) <= bounds.most else own)
+    return out
+
+
 def split_recursive(content: str, limit: int, ladder: tuple[str, ...] = ("\n\n", "\n", " ")) -> list[str]:
     """Pieces of at most ``limit`` characters, cut at the coarsest separator that serves, else between characters."""
     if len(content) <= limit:
@@ -44,48 +67,61 @@ def split_recursive(content: str, limit: int, ladder: tuple[str, ...] = ("\n\n",
     if not ladder:
         return [content[i : i + limit] for i in range(0, len(content), limit)]
     parts = [q for p in content.split(ladder[0]) for q in split_recursive(p, limit, ladder[1:]) if q.strip()]
-    return pack(parts, limit, ladder[0])
+    return pack(parts, Bounds(limit), ladder[0])
 
 
-def split_sentences(content: str, limit: int) -> list[str]:
-    sentences = [q for s in re.split(r"(?<=[.!?])\s+", content.strip()) for q in split_recursive(s, limit)]
-    return pack(sentences, limit, " ")
+def split_sentences(content: str, bounds: Bounds) -> list[str]:
+    """Sentences packed up to the target."""
+    sentences = [q for s in re.split(r"(?<=[.!?])\s+", content.strip()) for q in split_recursive(s, bounds.most)]
+    return overlapping(pack(sentences, bounds, " "), bounds)
 
 
-def split_markdown(content: str, limit: int) -> list[str]:
-    return [q for s in re.split(SECTION, content) if s.strip() for q in split_recursive(s.strip("\n"), limit)]
+def split_text(content: str, bounds: Bounds) -> list[str]:
+    return overlapping(split_recursive(content, bounds.most), bounds)
 
 
-def split_json(content: str, limit: int) -> list[str]:
-    """Members of a JSON object or array packed up to ``limit``; what is no JSON is split as text."""
+def split_markdown(content: str, bounds: Bounds) -> list[str]:
+    """Sections by heading; what a long section is cut into overlaps, sections do not."""
+    return [q for s in re.split(SECTION, content) if s.strip() for q in split_text(s.strip("\n"), bounds)]
+
+
+def split_json(content: str, bounds: Bounds) -> list[str]:
+    """Members of a JSON object or array packed up to the limits; what is no JSON is split as text."""
     try:
         value = json.loads(content)
     except ValueError:
-        return split_recursive(content, limit)
+        return split_recursive(content, bounds.most)
     if isinstance(value, dict):
         members = [f"{json.dumps(k)}: {json.dumps(v, ensure_ascii=False)}" for k, v in value.items()]
     elif isinstance(value, list):
         members = [json.dumps(v, ensure_ascii=False) for v in value]
     else:
         return [content]
-    return pack([q for m in members for q in split_recursive(m, limit)], limit, ",\n")
+    return pack([q for m in members for q in split_recursive(m, bounds.most)], bounds, ",\n")
 
 
-SPLITTERS = {"markdown": split_markdown, "recursive": split_recursive, "json": split_json, "sentence": split_sentences}
+SPLITTERS = {"markdown": split_markdown, "recursive": split_text, "json": split_json, "sentence": split_sentences}
 
 
-def split_one(content: str | None, kind: str, limit: int) -> list[str]:
-    return [x for x in SPLITTERS[kind](content, limit) if x.strip()] if content and content.strip() else []
+def split_one(content: str | None, kind: str, bounds: Bounds) -> list[str]:
+    return [x for x in SPLITTERS[kind](content, bounds) if x.strip()] if content and content.strip() else []
 
 
 def split_chunks(content: Column, kind: Column, limit: Column) -> Column:
-    """The chunks of each content by its chunker, ``array<string>``; blank contents have none."""
+    """The chunks of each content by its chunker, ``array<string>``, within the bounds of ``limit``; blank contents have none.
 
-    @F.pandas_udf("array<string>")
-    def udf(contents: pd.Series, kinds: pd.Series, limits: pd.Series) -> pd.Series:
-        return pd.Series([split_one(c, k, int(n)) for c, k, n in zip(contents, kinds, limits, strict=True)], dtype=object)
+    Markdown and code overlap, JSON has a least size, sentences a least size, a target and an overlap.
+    """
 
-    return udf(content, kind, limit)
+    @F.pandas_udf("array<string>")
+    def udf(contents: pd.Series, kinds: pd.Series, sizes: pd.DataFrame) -> pd.Series:
+        out = []
+        for c, k, (most, least, target, overlap) in zip(contents, kinds, sizes.itertuples(index=False), strict=True):
+            bounds = {"json": Bounds(most, least), "sentence": Bounds(most, least, target, overlap)}.get(k, Bounds(most, overlap=overlap))
+            out.append(split_one(c, k, bounds))
+        return pd.Series(out, dtype=object)
+
+    return udf(content, kind, classify.chunk_bounds(limit))
 
 
 def note_chunks(files: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:

@@ -82,3 +82,13 @@ def golden(relevant: DataFrame, retrieved: DataFrame, queries: DataFrame) -> Dat
     out = queries.select("query_id").join(n, "query_id", "left").join(got, "query_id", "left").join(right, "query_id", "left")
     share = lambda whole: F.coalesce(F.col("hits") / whole, F.lit(0.0))
     return out.select("query_id", share(F.col("n")).alias("recall"), share(F.lit(CUTOFF)).alias("precision"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
+def report(scores: DataFrame, mode: str, baseline: float | None = None) -> DataFrame:
+    """``(kind, line)``: a JSON line for each query, and one with the means, for a text sink.
+
+    The mean line says whether the reciprocal rank fell by more than DROP below ``baseline``, if there is one.
+    """
+    each = scores.select(F.lit("query").alias("kind"), F.to_json(F.struct(F.lit(mode).alias("mode"), "query_id", "recall", "precision", "mrr")).alias("line"))
+    blocking = F.lit(None).cast("boolean") if baseline is None else F.col("mrr") < baseline - DROP
+    return each.unionByName(averaged(scores).select(F.lit("mean").alias("kind"), F.to_json(F.struct(F.lit(mode).alias("mode"), "queries", "recall", "precision", "mrr", blocking.alias("blocking"))).alias("line")))

@@ -254,6 +254,12 @@ def note_chunks(c: Corpus) -> DataFrame:
     return out.select("path", "chunk_index", "total_chunks", "chunk_hash", "file_role", F.round("importance", 6).alias("importance"), F.array_join("tags", "|").alias("tags"))
 
 
+def _session_files(c: Corpus) -> DataFrame:
+    conv = F.regexp_extract("path", r"^/sessions/([^/]+)/", 1)
+    front = F.when(F.col("path").endswith("/session.md"), F.concat(F.lit("---\nsessionId: s"), conv, F.lit("\n---\n"))).otherwise("")
+    return c.sessions().select(F.lit("sessions").alias("bank"), "path", F.concat(front, "content").alias("content"))
+
+
 def _strategy(rows: DataFrame) -> DataFrame:
     return rows.select("path", "chunk_index", "total_chunks", "chunk_hash", F.when(F.col("chunk_index") == 0, F.array_join("tags", "|")).alias("head_tags"), F.array_join(F.transform("edges", lambda e: F.concat_ws(" ", e.relation_type, e.target_path)), "|").alias("edges"), "metadata")
 
@@ -298,13 +304,22 @@ def vault_chunks(c: Corpus) -> DataFrame:
 )
 def session_chunks(c: Corpus) -> DataFrame:
     """Session files by lines; ``session.md`` starts with the session's id."""
-    conv = F.regexp_extract("path", r"^/sessions/([^/]+)/", 1)
-    front = F.when(F.col("path").endswith("/session.md"), F.concat(F.lit("---\nsessionId: s"), conv, F.lit("\n---\n"))).otherwise("")
-    files = c.sessions().select(F.lit("sessions").alias("bank"), "path", F.concat(front, "content").alias("content"))
-    out = _strategy(strategies.session_chunks(files, strategies.lines)).withColumn("head_tags", F.when(F.col("path").endswith("/session.md"), F.col("head_tags")))
+    out = _strategy(strategies.session_chunks(_session_files(c), strategies.lines)).withColumn("head_tags", F.when(F.col("path").endswith("/session.md"), F.col("head_tags")))
     return out.withColumn("session_id", F.try_element_at("metadata", F.lit("session.id"))).drop("metadata")
 
 
+@query(
+    "contract_wire",
+    r"""SELECT s.path AS file_path, (i - 1)::INT AS chunk_index, len(parts)::INT AS total_chunks, sha256(parts[i]) AS chunk_hash, CASE WHEN r.path IS NOT NULL THEN 'session-s' || conv_id END AS unit, 5 AS n_extra FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (
+      SELECT *, list_concat(CASE WHEN path LIKE '%/session.md' THEN ['---' || chr(10) || 'sessionId: s' || conv_id || chr(10) || '---'] ELSE [] END, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f]'))) AS parts FROM sess)) s
+    LEFT JOIN (SELECT conv_id, path FROM sess WHERE path LIKE '%/session.md') r USING (conv_id)""",
+)
+def contract_wire(c: Corpus) -> DataFrame:
+    """Session chunks written as payloads and read back."""
+    sent = contract.wire(strategies.session_chunks(_session_files(c), strategies.lines)).select("payload")
+    return contract.parse(sent).select("file_path", "chunk_index", "total_chunks", "chunk_hash", F.col("parent_unit.ref").alias("unit"), F.size("extra").alias("n_extra"))
+
+
 @query("dense_reindex", "SELECT file_id, min(chunk_index)::INT AS first, max(chunk_index)::INT AS last, count(*) AS n FROM lines GROUP BY 1")
 def dense_reindex(c: Corpus) -> DataFrame:
     return c.lines().groupBy("file_id").agg(F.min("chunk_index").alias("first"), F.max("chunk_index").alias("last"), F.count("*").alias("n"))

@@ -42,12 +42,17 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> str | None:
+    def _latest(self) -> tuple[int, str | None]:
+        """Number and version of the newest pointer; -1 and null before the first."""
         p, fs = self._fs(f"{self.folder}/versions")
-        if not fs.exists(p):
-            return None
-        rows = self.spark.read.schema("n long, version string").json(f"{self.folder}/versions").orderBy(F.desc("n")).limit(1).collect()
-        return rows[0]["version"] if rows else None
+        numbers = [int(f.getPath().getName()) for f in fs.listStatus(p)] if fs.exists(p) else []
+        if not numbers:
+            return -1, None
+        text = self.spark.read.text(f"{self.folder}/versions/{max(numbers)}").first()
+        return max(numbers), text["value"] if text else None
+
+    def version(self) -> str | None:
+        return self._latest()[1]
 
     def read(self, table: str) -> DataFrame | None:
         """The present version of a table; null before the first commit."""
@@ -55,14 +60,19 @@ class Store:
         return None if version is None else self.spark.read.parquet(f"{self.folder}/{version}/{table}")
 
     def commit(self, tables: dict[str, DataFrame]) -> str:
-        """Write all ``tables`` as one version, partitioned by bank where they have one."""
-        name = f"v-{uuid.uuid4().hex}"
+        """Write all ``tables`` as one version, partitioned by bank where they have one.
+
+        The pointer's file is made only if no other writer made the one of that number meanwhile; else this is an error,
+        and the version written stays unread.
+        """
+        name, n = f"v-{uuid.uuid4().hex}", self._latest()[0] + 1
         for table, df in tables.items():
             writer = df.write
             (writer.partitionBy("bank") if "bank" in df.columns else writer).parquet(f"{self.folder}/{name}/{table}")
-        p, fs = self._fs(f"{self.folder}/versions")
-        n = 0 if not fs.exists(p) else self.spark.read.schema("n long, version string").json(f"{self.folder}/versions").agg(F.max("n")).first()[0] + 1
-        self.spark.range(1).select(F.lit(n).alias("n"), F.lit(name).alias("version")).write.mode("append").json(f"{self.folder}/versions")
+        p, fs = self._fs(f"{self.folder}/versions/{n}")
+        out = fs.create(p, False)
+        out.write(bytearray(name.encode()))
+        out.close()
         return name
 
     def remember(self, rows: DataFrame) -> None:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from memloom.functions import classify, contract, score, text
-from memloom.operators import chunk
+from memloom.operators import chunk, strategies
 
 
 def one(spark, column, **values):
@@ -81,12 +81,64 @@ def test_splitters():
     body = "para one is here.\n\n" + "word " * 100 + "\n\nlast"
     for limit in (20, 50, 200):
         for kind in chunk.SPLITTERS:
-            parts = chunk.split_one(body, kind, limit)
+            parts = chunk.split_one(body, kind, chunk.Bounds(limit))
             assert parts and max(map(len, parts)) <= limit
             assert "".join("".join(parts).split()) == "".join(body.split())
-    assert chunk.split_one("# A\ntext\n## B\nmore", "markdown", 100) == ["# A\ntext", "## B\nmore"]
-    assert chunk.split_one('{"a": 1, "b": [1, 2]}', "json", 100) == ['"a": 1,\n"b": [1, 2]']
-    assert chunk.split_one("  \n ", "sentence", 10) == [] and chunk.split_one(None, "json", 10) == []
+    whole = chunk.Bounds(100)
+    assert chunk.split_one("# A\ntext\n## B\nmore", "markdown", whole) == ["# A\ntext", "## B\nmore"]
+    assert chunk.split_one('{"a": 1, "b": [1, 2]}', "json", whole) == ['"a": 1,\n"b": [1, 2]']
+    assert chunk.split_one("  \n ", "sentence", whole) == [] and chunk.split_one(None, "json", whole) == []
+
+
+def test_splitters_keep_the_bounds():
+    said = [f"Sentence number {i} is of some length." for i in range(9)]
+    plain = chunk.split_one(" ".join(said), "sentence", chunk.Bounds(120, 0, 80))
+    assert plain == [" ".join(said[i : i + 2]) for i in (0, 2, 4, 6)] + said[8:]  # two sentences reach the target
+    assert chunk.split_one(" ".join([*said[:2], "No."]), "sentence", chunk.Bounds(120, 10, 80)) == [" ".join([*said[:2], "No."])]  # a short one joins beyond it
+    over = chunk.split_one(" ".join(said[:4]), "sentence", chunk.Bounds(120, 0, 80, 20))
+    assert over[1] == "is of some length. " + " ".join(said[2:4])
+    assert chunk.split_one('["a", "b", "cccccccccc"]', "json", chunk.Bounds(16, 5)) == ['"a",\n"b"', '"cccccccccc"']
+    code = chunk.split_one("one two\nthree four\nfive six", "recursive", chunk.Bounds(20, overlap=8))
+    assert code == ["one two\nthree four", "four five six"] and chunk.split_one("x" * 50, "recursive", chunk.Bounds(20, overlap=5)) == ["x" * 20, "x" * 20, "x" * 10]
+
+
+def test_importance_can_be_switched_off(spark):
+    assert one(spark, lambda r: score.importance(r, F.lit("TODO"), F.lit("## a"), base=0.7, enabled=False), r="docs") == 0.7
+
+
+def test_snowflake(spark):
+    r = spark.range(1).select(text.snowflake(F.lit(1_577_836_800_005), F.lit(1), F.lit(7)).alias("x")).select("x", text.snowflake_parts(F.col("x")).alias("p")).first()
+    assert r["x"] == (5 << 22) | (1 << 12) | 7 and tuple(r["p"]) == (5, 1, 7)
+    assert spark.range(1).select((text.chunk_number(F.lit("/a"), F.lit(1)) == text.chunk_number(F.lit("/a"), F.lit(1))).alias("x")).first()["x"]
+
+
+def test_note_fields(spark):
+    fronts = ["type: note\nStatus: open\nstatus: done\ntags: [a, 1, b]\ncreated: 2024-01-02\ncreatedAt: 2024-01-02\nRating: 3\nlinks: {x: [1, 2]}\nsee_also: lake", "- no mapping", "a: [", None]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(fronts)], "i int, f string")
+    got = [r["n"] for r in rows.select("i", strategies.note_fields(F.col("f"), "obsidian").alias("n")).orderBy("i").collect()]
+    f = got[0]["fields"]
+    assert (f["note.type"], f["note.status"], f["note.tags"], f["note.created"], f["note.aliases"], f["note.base"]) == ("note", "done", '["a","b"]', "", "[]", "")
+    assert f["note.properties.rating"] == "3" and f["note.properties.links"] == '{"x":[1,2]}' and f["note.properties.createdat"] == '"2024-01-02T00:00:00.000Z"'
+    assert got[0]["tags"] == ["a", "b"] and got[0]["see_also"] == ["lake"] and not got[0]["is_index"]
+    assert got[1]["tags"] == [] and len(got[1]["fields"]) == 8 and got[2]["fields"]["note.type"] == "" and got[3]["fields"] is None
+    vault = rows.select("i", strategies.note_fields(F.col("f"), "vault").alias("n")).orderBy("i").first()["n"]["fields"]
+    assert vault["note.created"] == "2024-01-02T00:00:00.000Z" and vault["note.properties.created"] == '"2024-01-02T00:00:00.000Z"' and vault["note.properties.see_also"] == "lake"
+
+
+def test_strategies_put_chunks_together(spark):
+    notes = spark.createDataFrame([("/v", "b", "/v/n.md", "---\ntype: note\ntags: [x]\nsee_also: [m, gone]\n---\nSee [[m|that]].\n\nMore."), ("/v", "b", "/v/_index.md", "[[m]]"), ("/v", "b", "/v/m.md", "plain")], "root string, bank string, path string, content string")
+    rows = strategies.vault_chunks(notes, notes, strategies.lines).orderBy("path", "chunk_index").collect()
+    assert [(r["path"], r["chunk_index"], r["total_chunks"], r["chunk"]) for r in rows] == [("/v/m.md", 0, 1, "plain"), ("/v/n.md", 0, 3, "---\ntype: note\ntags: [x]\nsee_also: [m, gone]\n---"), ("/v/n.md", 1, 3, "See that."), ("/v/n.md", 2, 3, "More.")]
+    assert rows[0]["edges"] is None and rows[0]["metadata"] == {}
+    assert [tuple(e)[:2] for e in rows[2]["edges"]] == [("/v/m.md", "backlink"), ("/v/m.md", "recommendation")]
+    assert rows[1]["tags"] == ["frontmatter", "metadata", "vault-node", "x"] and rows[1]["importance"] == 0.9 and rows[2]["tags"][-1] == "x"
+    assert rows[2]["metadata"]["note.wikilinks"] == '["m"]' and rows[2]["metadata"]["note.see_also"] == '["m","gone"]'
+    files = spark.createDataFrame([("b", "/s/session.md", "---\nsessionId: s1\nstatus: open\nphase: 3\n---\nstart"), ("b", "/s/plans/implementation-plan.md", "see session.md")], "bank string, path string, content string")
+    got = strategies.session_chunks(files, strategies.lines).orderBy("path", "chunk_index").collect()
+    assert [(e["relation_type"], e["target_path"]) for e in got[0]["edges"]] == [("cross_reference", "/s/session.md"), ("parent_child", "/s/session.md")]
+    assert all(r["metadata"] == {"session.id": "s1", "session.createdAt": "", "session.status": "open", "session.phase": "", "session.nextAgent": ""} for r in got) and len(got) == 3
+    sent = contract.parse(contract.wire(strategies.session_chunks(files, strategies.lines)).select("payload")).collect()
+    assert {tuple(r["parent_unit"]) for r in sent} == {("session-s1", "open")} and {r["file_path"] for r in sent} == {"/s/session.md", "/s/plans/implementation-plan.md"}
 
 
 def test_note_chunks(spark):

@@ -6,6 +6,7 @@ import os
 import pytest
 
 import __spark_entry__
+from memloom.plans import queries as store
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -28,7 +29,7 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(__spark_entry__.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(store.ORACLE))
 def test_same_rows(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     cols = sorted(df.columns)

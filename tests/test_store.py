@@ -76,6 +76,33 @@ def test_store_rebuilds_and_deletes(spark, tmp_path):
     assert store.read("file_chunks").count() == 1
 
 
+def test_store_refuses_a_lost_race(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    rows = frame(spark, [remembered(0, "m0", "h1")])
+    store.remember(rows)
+    late = Store(spark, store.folder)
+    at = late._latest()
+    store.remember(frame(spark, [remembered(1, "m1", "h1", 1)]))
+    late._latest = lambda: at
+    with pytest.raises(Exception, match="(?i)exist"):
+        late.commit(project.materialize(rows))
+    assert store.read("file_chunks").count() == 2
+
+
+def test_report_lines(spark):
+    scores = spark.createDataFrame([(1, 1.0, 0.2, 1.0), (2, 0.0, 0.0, 0.0)], "query_id int, recall double, precision double, mrr double")
+    lines = {(r["kind"], r["line"]) for r in evaluate.report(scores, "run", 0.7).collect()}
+    assert ("query", '{"mode":"run","query_id":1,"recall":1.0,"precision":0.2,"mrr":1.0}') in lines
+    assert ("mean", '{"mode":"run","queries":2,"recall":0.5,"precision":0.1,"mrr":0.5,"blocking":true}') in lines
+
+
+def test_short_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr("memloom.operators.evaluate.BLOCK", 2)
+    docs = spark.createDataFrame([(i, f"tiny item {i} here") for i in range(7)], "memory_id long, content string")
+    items = spark.createDataFrame([(i, f"item {i}") for i in range(7)], "item_id long, text string")
+    assert sorted(tuple(r) for r in evaluate.containing(docs, items).collect()) == [(i, i) for i in range(7)]
+
+
 def test_forget_leaves_a_tombstone(spark):
     t = project.materialize(frame(spark, [remembered(0, "m0", "h"), remembered(1, "m1", "h", 1), remembered(2, "m0", "k", path="/n.md")]))
     out = project.forget(t, spark.createDataFrame([("m0",)], "memory_id string"))
