@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.functions import text
 from memloom.operators import project
 
 #: The ten keys of a file's block.
@@ -132,3 +133,17 @@ def register(banks: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.select("bank", F.when(F.col("__b").isNull(), "registered").otherwise("exists").alias("outcome")), banks.select("bank", "description", "status").unionByName(new)
 
 
+
+
+def converged(relations: DataFrame) -> DataFrame:
+    """``relations`` with one row for each pair and type under its canonical id: the row that has it, else the one of the smallest id."""
+    own = text.relation_id(F.col("source_file_id"), F.col("target_file_id"), F.col("relation_type"))
+    rest = [c for c in relations.columns if c not in ("id", *project.KEYS["file_relations"])]
+    first = F.min_by(F.struct(*rest), F.struct(F.col("id") != own, F.col("id"))).alias("__r")
+    out = relations.groupBy(*project.KEYS["file_relations"]).agg(first).select(*project.KEYS["file_relations"], "__r.*")
+    return out.withColumn("id", own).select(relations.columns)
+
+
+def tracked(tracker: DataFrame, hashes: DataFrame, gone: DataFrame) -> DataFrame:
+    """``tracker(path, ...)`` after its rows got what ``hashes(path, ...)`` knows of them and the paths of ``gone(path)`` went; absent paths do nothing."""
+    return project.without(project.patch(tracker, hashes, ["path"]), gone.distinct(), ["path"])

@@ -710,6 +710,28 @@ def file_states(c: Corpus) -> DataFrame:
     return lifecycle.transitions(rows, asked.union(c.spark.sql("SELECT 'file_none' AS id, 'archived' AS status")), "id")[0]
 
 
+@query("memory_states", "SELECT memory_id, CASE WHEN scope = 'episodic' THEN 'suspended' ELSE 'active' END AS status FROM (SELECT memory_id, min(scope) AS scope FROM memories GROUP BY 1)")
+def memory_states(c: Corpus) -> DataFrame:
+    """Shared memories suspended."""
+    rows = c.memories().select("memory_id", F.lit("active").alias("status"), "scope")
+    return lifecycle.transitions(rows, rows.filter("scope = 'episodic'").select("memory_id", F.lit("suspended").alias("status")), "memory_id")[1].drop("scope")
+
+
+@query("relation_ids", "SELECT DISTINCT 'fr_' || s || '_' || t || '_' || k AS id, w AS strength FROM rels")
+def relation_ids(c: Corpus) -> DataFrame:
+    """Relations under an old id converge with those under their own."""
+    rows = c.relations()
+    old = rows.filter("relation_type <> 'version'").withColumn("id", F.concat_ws("_", F.lit("fr"), "source_file_id", "target_file_id")).withColumn("strength", F.lit(0.1))
+    return lifecycle.converged(rows.unionByName(old)).select("id", "strength")
+
+
+@query("tracker_update", "SELECT path, CASE WHEN doc_id % 2 = 0 THEN sha256(path) ELSE file_hash END AS file_hash FROM files WHERE doc_id % 5 <> 0")
+def tracker_update(c: Corpus) -> DataFrame:
+    rows = c.files().select("path", "file_hash", "doc_id")
+    hashes = rows.filter(F.pmod("doc_id", F.lit(2)) == 0).select("path", F.sha2("path", 256).alias("file_hash"))
+    return lifecycle.tracked(rows, hashes, rows.filter(F.pmod("doc_id", F.lit(5)) == 0).select("path")).drop("doc_id")
+
+
 @query("bank_states", "SELECT bank, CASE WHEN bank = 'src0' THEN 'suspended' ELSE 'active' END AS status FROM (SELECT DISTINCT bank FROM memories)")
 def bank_states(c: Corpus) -> DataFrame:
     rows = c.memories().select("bank").distinct().withColumn("status", F.lit("active"))

@@ -250,6 +250,23 @@ def test_scan_and_walk(spark, tmp_path):
     assert sorted(r["op"] for r in source.listing_changes(got, later).collect()) == ["change", "delete"]
 
 
+def test_watch_takes_what_is_there_and_what_comes(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.md").write_text("one")
+    (tmp_path / "in/.env").write_text("secret")
+    got = []
+
+    def run():
+        query = source.watch(spark, f"{tmp_path}/in").writeStream.foreachBatch(lambda b, _: got.extend((r["path"].rsplit("/", 1)[1], r["content"]) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+
+    run()
+    assert got == [("a.md", "one")]
+    (tmp_path / "in/b.md").write_text("two")
+    run()
+    assert got == [("a.md", "one"), ("b.md", "two")]
+
+
 def test_ids(spark):
     r = spark.range(1).select(text.file_id(F.lit("b"), F.lit("/p")).alias("f"), text.snowflake_parts(F.lit((5 << 22) | (1 << 12) | 7)).alias("s")).first()
     assert len(r["f"]) == 37 and tuple(r["s"]) == (5, 1, 7)
