@@ -100,8 +100,7 @@ def words(text: Column) -> Column:
 
 def keyword_tags(text: Column, limit: int = KEYWORDS) -> Column:
     """The first ``limit`` distinct words of four or more characters that are no stop words."""
-    plain = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9\s]", " ")
-    long = F.filter(F.split(plain, r"\s+"), lambda w: F.length(w) >= 4)
+    long = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]{4,}"), 0)
     return F.slice(F.array_except(long, F.array(*[F.lit(w) for w in STOPWORDS])), 1, limit)
 
 

@@ -41,12 +41,12 @@ def recall(memories: DataFrame, queries: DataFrame, k: int = 5, n: int = 1) -> D
     """``(query_id, rank, memory_id, score)``: the best ``k`` memories of each query, ties to the smaller id.
 
     The score is the share of the query's distinct runs of ``n`` words the memory holds.
-    ``memories(memory_id, content)``, ``queries(query_id, query)``. The query runs are broadcast below a checked
-    number, so memory runs that no query has are dropped where they are read.
+    ``memories(memory_id, content)``, ``queries(query_id, query)``; a memory that repeats counts once. The query runs are
+    broadcast below a checked number, so memory runs that no query has are dropped where they are read.
     """
     asked = shingled(queries, "query_id", "query", n)
     sizes = asked.groupBy("query_id").agg(F.count("*").alias("size"))
-    hits = shingled(memories, "memory_id", "content", n).join(small(asked), "gram").groupBy("query_id", "memory_id").agg(F.count("*").alias("hits"))
+    hits = shingled(memories, "memory_id", "content", n).join(small(asked), "gram").distinct().groupBy("query_id", "memory_id").agg(F.count("*").alias("hits"))
     scored = hits.join(small(sizes), "query_id").select("query_id", "memory_id", F.round(F.col("hits") / F.col("size"), 6).alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id"))
     return scored.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "memory_id", "score")
@@ -71,12 +71,12 @@ def first_chunk(chunks: DataFrame) -> DataFrame:
 
 
 def located(found: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """``found(memory_id, ...)``, a few rows, with its first chunk and that chunk's file; nulls where it has none."""
+    """``found(memory_id, ...)``, a few rows, with its first chunk and that chunk's file; nulls where it has none. Held by Spark's cache."""
     near = chunks.join(F.broadcast(found.select("memory_id").distinct()), "memory_id", "left_semi")
-    held = found.join(first_chunk(near), "memory_id", "left")
+    held = found.join(first_chunk(near), "memory_id", "left").cache()
     named = files.select(F.col("id").alias("file_id"), "path", "source_type", "file_role", "tags", "summary")
     named = named.join(F.broadcast(held.select("file_id").distinct()), "file_id", "left_semi")
-    return held.join(named, "file_id", "left")
+    return held.join(named, "file_id", "left").cache()
 
 
 def search_files(found: DataFrame, chunks: DataFrame, files: DataFrame, source_type: str | None = None, file_role: str | None = None, relations: DataFrame | None = None, k: int = 5) -> DataFrame:
@@ -109,18 +109,24 @@ def search_files(found: DataFrame, chunks: DataFrame, files: DataFrame, source_t
 EDGE_LIST = "array<struct<id:string,relation_type:string,strength:double,description:string>>"
 
 
+def _edges(files: DataFrame, relations: DataFrame) -> DataFrame:
+    """What ``strongest`` gives, and ``total``, the number of a file's edges. One pass over the relations."""
+    s, t = F.col("source_file_id"), F.col("target_file_id")
+    end = lambda a, b: F.struct(a.alias("file_id"), b.alias("other_id"))
+    ends = F.explode(F.when(s == t, F.array(end(s, t))).otherwise(F.array(end(s, t), end(t, s)))).alias("e")
+    described = F.col("description") if "description" in relations.columns else F.lit(None).cast("string").alias("description")
+    both = relations.select(ends, "id", "relation_type", "strength", described).select("e.*", "id", "relation_type", "strength", "description")
+    both = both.join(files.select("file_id").distinct(), "file_id", "left_semi")
+    own = Window.partitionBy("file_id")
+    return both.withColumn("n", F.row_number().over(own.orderBy(F.desc("strength"), "id"))).withColumn("total", F.count("*").over(own))
+
+
 def strongest(files: DataFrame, relations: DataFrame, k: int | None = None) -> DataFrame:
     """``(file_id, n, id, other_id, relation_type, strength, description)``: the edges at either end of each of ``files(file_id)``, strongest first.
 
     Of equal strength the smaller id comes first. Edges to one other file stay apart, and count each.
     """
-    ends = files.select("file_id").distinct()
-    near = touching(relations, ends)
-    rest = ["id", "relation_type", "strength", F.col("description") if "description" in relations.columns else F.lit(None).cast("string").alias("description")]
-    out = near.select(F.col("source_file_id").alias("file_id"), F.col("target_file_id").alias("other_id"), *rest)
-    into = near.select(F.col("target_file_id").alias("file_id"), F.col("source_file_id").alias("other_id"), *rest).filter("file_id <> other_id")
-    both = out.unionByName(into).join(ends, "file_id", "left_semi")
-    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy("file_id").orderBy(F.desc("strength"), "id")))
+    ranked = _edges(files, relations)
     ranked = ranked if k is None else ranked.filter(F.col("n") <= k)
     return ranked.select("file_id", "n", "id", "other_id", "relation_type", "strength", "description")
 
@@ -168,15 +174,16 @@ def enrich(found: DataFrame, tables: dict[str, DataFrame], k: int = 5) -> DataFr
     chunks, files, relations = tables["file_chunks"], tables["files"], tables["file_relations"]
     near = chunks.join(F.broadcast(found.select("memory_id").distinct()), "memory_id", "left_semi")
     least = F.min_by(F.struct("file_id", F.col("content_hash").alias("chunk_hash")), F.struct("chunk_index", "file_id"))
-    rows = found.join(near.groupBy("memory_id").agg(least.alias("c")).select("memory_id", "c.*"), "memory_id", "left")
+    rows = found.join(near.groupBy("memory_id").agg(least.alias("c")).select("memory_id", "c.*"), "memory_id", "left").cache()  # as few rows as were found
     own = F.broadcast(rows.filter("file_id is not null").select("file_id").distinct())
     mine = files.join(own.withColumnRenamed("file_id", "id"), "id", "left_semi")
-    edges = strongest(own, relations, k)
+    every = _edges(own, relations)
+    count = every.filter("n = 1").select("file_id", F.col("total").alias("related_files_count"))
+    edges = every.filter(F.col("n") <= k).drop("total").cache()  # at most k for each row found
     ends = F.broadcast(edges.select(F.col("other_id").alias("id")).distinct())
     others = related(edges, files.join(ends, "id", "left_semi"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("other_id").alias("id"), "path", "summary", "relation", "description"))), lambda x: F.struct(x.id.alias("id"), x.path.alias("path"), x.summary.alias("summary"), x.relation.alias("relation"), x.description.alias("description")))
     others = others.groupBy("file_id").agg(listed.alias("related_files"))
-    count = relation_counts(touching(relations, own)).join(own, "file_id", "left_semi")
     chains = summary_chain(mine, chunks.join(own, "file_id", "left_semi"))
     block = mine.select(F.col("id").alias("file_id"), file_block(mine).alias("file"), F.col("metadata") if "metadata" in mine.columns else F.lit(None).cast("map<string,string>").alias("metadata"))
     for more in (listed_edges(edges), others, count, chains):

@@ -376,7 +376,7 @@ QUESTION = "Released under MIT License"
 
 def _found(c: Corpus) -> DataFrame:
     asked = c.spark.sql(f"SELECT 0L AS query_id, '{QUESTION}' AS query")
-    return retrieve.recall(c.memories(), asked, 10).drop("query_id")
+    return retrieve.recall(c.lines().select("memory_id", F.col("chunk").alias("content")), asked, 10).drop("query_id").cache()  # ten rows
 
 
 @query("recall_topk", "SELECT rank::INT AS rank, memory_id, score::DOUBLE AS score FROM found")
