@@ -9,7 +9,8 @@ less similar is linked.
 A band's texts are linked to the smallest of them. The links are verified, and after that every pair of texts that
 share a band but not yet a component. So pairs inside a large group of near copies are never listed, and components are
 those of all pairs found. Before whole sets are compared, parity sketches are: they differ in no more bits than the sets
-differ in shingles. Texts with equal words are one, told by a 64-bit hash.
+differ in shingles. Where more than HOT texts share a band, their sketches are compared by matrix products, BLOCK by
+BLOCK texts, and only the pairs that pass become rows. Texts with equal words are one, told by a 64-bit hash.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ WORDS = 5
 #: The least similarity, as a fraction.
 LEAST, OF = 4, 5
 BANDS, ROWS = 26, 5
+#: Texts of a band whose pairs are listed one by one; of more, the sketches are compared in blocks.
+HOT, BLOCK = 24, 512
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SALT, _TIMES = (np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False) | np.uint64(1))
 
@@ -97,6 +100,49 @@ def may_be_similar(a: bytes, n: int, b: bytes, m: int) -> bool:
     return 9 * int(np.bitwise_count(x ^ y).sum()) <= n + m
 
 
+def folded(sketches: list[bytes], words: int) -> np.ndarray:
+    """Sketches of one length as rows of 1 and -1, folded to ``words`` 64-bit words."""
+    x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
+    while x.shape[1] > words:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return 1 - 2 * np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1).astype(np.float32)
+
+
+def likely(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """``(a, b)``: the pairs of ``(key, root, n, sketch)`` rows of different roots for which ``may_be_similar`` holds."""
+    out = [np.empty((0, 2), np.int64)]
+    for size, x in left.groupby(left["sketch"].map(len)):
+        for other, y in right.groupby(right["sketch"].map(len)):
+            if max(size, other) > 2 * min(size, other):
+                continue  # so do their numbers of shingles, by more than similar sets do
+            words = min(size, other) // 8
+            apart = (64 * words - folded(list(x["sketch"]), words) @ folded(list(y["sketch"]), words).T) / 2
+            n, m = x["n"].to_numpy(np.int64)[:, None], y["n"].to_numpy(np.int64)[None]
+            fits = (9 * apart <= n + m) & (LEAST * np.maximum(n, m) <= OF * np.minimum(n, m)) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None])
+            i, j = np.nonzero(fits)
+            out.append(np.stack((x["key"].to_numpy()[i], y["key"].to_numpy()[j]), axis=1))
+    found = np.concatenate(out)
+    found = np.unique(np.sort(found[found[:, 0] != found[:, 1]], axis=1), axis=0)
+    return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
+
+
+def likely_pairs(placed: DataFrame, sizes: DataFrame, known: DataFrame) -> DataFrame:
+    """``(a, b)``: the likely pairs of ``placed(segment, key, root)`` in the segments of ``sizes(segment, size)``, block by block."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = placed.join(few(sizes), "segment").withColumn("of", blocks)
+    own = rows.select("key").distinct()
+    facts = known.join(few(own), "key", "left_semi").select("key", "n", "sketch")
+    rows = rows.join(facts, "key").withColumn("at", F.pmod(F.xxhash64("key"), F.col("of")).cast("int"))
+    base = ["segment", "key", "root", "n", "sketch"]
+    first = rows.select(*base, F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("of") - 1)).alias("j"), F.lit(True).alias("first"))
+    second = rows.select(*base, F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.lit(False).alias("first"))
+
+    def one(table: pd.DataFrame) -> pd.DataFrame:
+        return likely(table[table["first"]], table[~table["first"]])
+
+    return first.union(second).groupBy("segment", "i", "j").applyInPandas(one, "a long, b long").distinct()
+
+
 def similar(a: bytes, b: bytes) -> bool:
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
@@ -164,13 +210,15 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
     edges = _verified(stars, known, texts, scratch)
     label = components(edges, scratch).select(F.col("node").alias("key"), "label")
     placed = met.join(label, "key", "left").select("segment", "key", F.coalesce("label", "key").alias("root"))
-    split = placed.groupBy("segment").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high")
-    placed = scratch.save(placed.join(split.select("segment"), "segment", "left_semi"))
+    split = placed.groupBy("segment").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high")
+    split = scratch.save(split.select("segment", "size"))
+    hot = scratch.save(likely_pairs(placed, split.filter(F.col("size") > HOT), known))
+    placed = scratch.save(placed.join(split.filter(F.col("size") <= HOT).select("segment"), "segment", "left_semi"))
     roots = placed.select("segment", "root").distinct()
     cross = roots.withColumnRenamed("root", "r").join(roots.withColumnRenamed("root", "s"), "segment").filter("r < s")
     cross = cross.join(placed.select("segment", F.col("root").alias("r"), F.col("key").alias("p")), ["segment", "r"])
     cross = cross.join(placed.select("segment", F.col("root").alias("s"), F.col("key").alias("q")), ["segment", "s"])
-    pairs = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    pairs = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).union(hot).distinct()
     pairs = scratch.save(pairs.join(stars, ["a", "b"], "left_anti"))
     edges = scratch.save(edges.union(_verified(pairs, known, texts, scratch)))
     label = components(edges, scratch).select(F.col("node").alias("key"), "label")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -77,3 +78,19 @@ def test_stage_with_odd_ids(spark):
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates_stage(spark, df, "").collect()]
     assert sorted(got, key=str) == sorted([(1, x), (2, y), (None, "a b c"), (3, "u v w")], key=str)
     assert corpus_pipeline.near_duplicates_stage(spark, df.limit(0), "").count() == 0
+
+
+def test_blocks_list_what_pairs_would(spark, monkeypatch):
+    monkeypatch.setattr("memloom.llm.shingles.HOT", 1)
+    monkeypatch.setattr("memloom.llm.shingles.BLOCK", 3)
+    test_stage_against_all_pairs(spark)
+
+
+def test_likely_holds_where_pairs_may_be_similar():
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (20, 31, 33, 60, 70)]
+    sets = [np.unique(np.concatenate((b[int(k) :], rng.integers(0, 1 << 63, int(k), dtype=np.uint64)))) for b in base for k in (0, 1, 3, 6, 12)]
+    rows = pd.DataFrame({"key": range(len(sets)), "root": [i // 2 for i in range(len(sets))], "n": [len(x) for x in sets], "sketch": [shingles.sketch(x) for x in sets]})
+    got = {tuple(r) for r in shingles.likely(rows, rows).itertuples(index=False)}
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if i // 2 != j // 2 and shingles.may_be_similar(rows["sketch"][i], rows["n"][i], rows["sketch"][j], rows["n"][j])}
+    assert got == want and want
