@@ -176,7 +176,7 @@ def enrich(found: DataFrame, tables: dict[str, DataFrame], k: int = 5) -> DataFr
     least = F.min_by(F.struct("file_id", F.col("content_hash").alias("chunk_hash")), F.struct("chunk_index", "file_id"))
     rows = found.join(near.groupBy("memory_id").agg(least.alias("c")).select("memory_id", "c.*"), "memory_id", "left").cache()  # as few rows as were found
     own = F.broadcast(rows.filter("file_id is not null").select("file_id").distinct())
-    mine = files.join(own.withColumnRenamed("file_id", "id"), "id", "left_semi")
+    mine = files.join(own.withColumnRenamed("file_id", "id"), "id", "left_semi").cache()
     every = _edges(own, relations)
     count = every.filter("n = 1").select("file_id", F.col("total").alias("related_files_count"))
     edges = every.filter(F.col("n") <= k).drop("total").cache()  # at most k for each row found
