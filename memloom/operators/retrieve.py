@@ -293,7 +293,8 @@ def full_text_ranked(files: DataFrame, query: str) -> DataFrame:
     times = lambda d, g: F.regexp_count(d, F.lit(f"(?={re.escape(g)})"))
     facts = lambda d: F.struct(F.greatest(F.length(d) - 2, F.lit(0)).alias("len"), d.contains(wanted).alias("fits"), F.array(*[times(d, g) for g in grams]).alias("t"))
     document = text.file_document(F.col("path"), F.col("keywords"), F.col("tags"))
-    counted = files.select("id", F.transform(F.array(document), facts)[0].alias("f")).select("id", "f.*")
+    held = files.select("id", F.explode(F.array(document)).alias("d"))  # a generator, so that no later column puts the text together again
+    counted = held.select("id", facts(F.col("d")).alias("f")).select("id", "f.*")
     if not grams:
         return counted.filter("false").select("id", F.lit(0.0).alias("score"))
     total = counted.agg(F.count("*").alias("n"), F.avg("len").alias("mean"), *[F.count_if(F.col("t")[i] > 0).alias(f"d{i}") for i in range(len(grams))]).first()
