@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from memloom.llm import ann, bpe, html_extract, license_scan, mixing, mtree, quality, simhash, toxicity, url_filter
+from memloom.llm import align, ann, audit, bpe, html_extract, license_scan, mixing, mtree, quality, simhash, toxicity, url_filter, warc
+from memloom.llm.scratch import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = Scratch(spark, "warc").root
+    warc.write(table(spark, sf_dir, "pages"), f"{folder}/raw")
+    warc.deduplicate(spark, f"{folder}/raw", f"{folder}/archive", least=0)
+    return warc.resolve(warc.read(spark, f"{folder}/archive")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
@@ -67,6 +83,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_license_scan": op10_license_scan,
+    "op11_alignment": op11_alignment,
+    "op12_warc": op12_warc,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _CANON_LOWER = "translate(coalesce({x}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -97,4 +116,21 @@ ORACLE = {
     n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM (SELECT r, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM d) l
       JOIN notice ON sha256({_canonical_sql("line")}) = notice.digest WHERE regexp_matches(line, '(?i)licen[cs]e') GROUP BY 1)
     SELECT doc_id, d.digest, license, coalesce(notices, '') AS notices FROM d LEFT JOIN known ON d.digest = known.digest LEFT JOIN n USING (r)""",
+    "op12_warc": """WITH p AS (SELECT page_id, row_number() OVER () AS r, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+    d AS (SELECT *, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::INT >> (15 - 5 * (i % 4)::INT)) & 31), 1)), 'string_agg', '') AS digest FROM p),
+    g AS (SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, r) AS k, first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST, r) AS first FROM d)
+    SELECT page_id, bytes::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN first END AS refers_to FROM g""",
+    "op13_filter_audit": r"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    first AS (SELECT text, min(doc_id) AS first FROM t GROUP BY 1),
+    l AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY 1),
+    f AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text), regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] AS fails
+      FROM t JOIN first USING (text) LEFT JOIN l USING (doc_id)),
+    x AS (SELECT unnest(string_split('ABCDE', '')) AS x),
+    o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+    s AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS i, list_transform(string_split(filter_order[1:step - 1], ''), lambda c: ascii(c) - 64) AS earlier FROM o, (SELECT unnest(range(1, 6))::INT AS step)),
+    c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY 1, 2),
+    m AS (SELECT part, filter_order, step, i, n, good, toxic, fails[i] AS hit, len(list_filter(earlier, lambda j: j > 0 AND fails[j])) > 0 AS gone, len(list_filter(fails, lambda y: y)) = 1 AS alone FROM c, s),
+    r AS (SELECT part, filter_order, step, i, coalesce(sum(n) FILTER (NOT hit AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (hit AND NOT gone), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (hit AND gone), 0)::BIGINT AS redundant,
+      coalesce(sum(n) FILTER (hit AND alone), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (hit AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (hit AND NOT gone), 0)::BIGINT AS toxic_lost FROM m GROUP BY 1, 2, 3, 4)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, i)::BIGINT AS shapley FROM r""",
 }
