@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.operators.retrieve import small
+from memloom.operators import patterns
 
-CUTOFF, DROP, ANCHOR, BLOCK = 5, 0.10, 4, 500
+CUTOFF, DROP, ANCHOR = 5, 0.10, 4
 
 
 def recall_at(relevant: Column, retrieved: Column, k: int = CUTOFF) -> Column:
@@ -42,35 +42,24 @@ def gate(current: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def containing(memories: DataFrame, items: DataFrame) -> DataFrame:
-    """``(item_id, memory_id)``: which ``memories(memory_id, content)`` hold an item's whole text.
+    """``(item_id, memory_id)``: which ``memories(memory_id, content)`` hold an item's whole text; empty items match nothing.
 
-    Four neighbouring words from the item's middle, which must then be whole words of the memory too,
-    are looked up by hash; the text is compared where they meet. Items of fewer than six words have no
-    such inner words: see ``short_items``.
+    Items of up to ``patterns.CHARACTERS`` characters together are one automaton, and each memory is read once. Of more
+    items those of six words or more are found by a join: four neighbouring words from the item's middle, which must
+    be whole words of the memory too, are looked up by hash, and the text is compared where they meet; the rest go to automata.
     """
+    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size <= patterns.CHARACTERS:
+        return patterns.occurrences(memories, items)
     cut = lambda c: F.split(F.col(c), r"[ \t\n\x0B\f\r]+")
-    asked = items.select("item_id", cut("text").alias("__w")).filter(F.size("__w") >= ANCHOR + 2)
-    asked = asked.select("item_id", F.xxhash64(F.array_join(F.slice("__w", 2, ANCHOR), " ")).alias("h"))
-    held = memories.select("memory_id", cut("content").alias("__w"))
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("__w") - (ANCHOR - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("__w", i, ANCHOR), " ")))
-    near = held.select("memory_id", F.explode(F.array_distinct(runs)).alias("h")).join(small(asked.select("h", "item_id")), "h").select("memory_id", "item_id").distinct()
-    found = memories.select("memory_id", "content").join(small(near), "memory_id").join(small(items.select("item_id", "text")), "item_id")
-    found = found.filter(F.col("content").contains(F.col("text")))
-    return found.select("item_id", "memory_id").unionByName(short_items(memories, items))
-
-
-def short_items(memories: DataFrame, items: DataFrame) -> DataFrame:
-    """``containing`` for items under six words, a stated set: each is searched for in every memory, BLOCK items a pass over the memories."""
-    few = items.filter(F.size(F.split("text", r"[ \t\n\x0B\f\r]+")) < ANCHOR + 2).filter("text <> ''").select("item_id", "text")
-    out = memories.select(F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), "memory_id").limit(0)
-    blocks = max(1, -(-few.count() // BLOCK))
-    for b in range(blocks):
-        own = few.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        if own:
-            listed = F.array(*[F.struct(F.lit(r["item_id"]).alias("item_id"), F.lit(r["text"]).alias("t")) for r in own])
-            hits = memories.select("memory_id", F.explode(F.filter(listed, lambda x: F.col("content").contains(x.t))).alias("x"))
-            out = out.unionByName(hits.select("x.item_id", "memory_id"))
-    return out
+    long = F.size(cut("text")) >= ANCHOR + 2
+    asked = items.filter(long).select("item_id", F.xxhash64(F.array_join(F.slice(cut("text"), 2, ANCHOR), " ")).alias("h"))
+    held = memories.select("memory_id", cut("content").alias("w"))
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (ANCHOR - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("w", i, ANCHOR), " ")))
+    near = held.select("memory_id", F.explode(F.array_distinct(runs)).alias("h")).join(asked, "h").select("memory_id", "item_id").distinct()
+    found = memories.select("memory_id", "content").join(near, "memory_id").join(items.select("item_id", "text"), "item_id")
+    found = found.filter(F.col("content").contains(F.col("text"))).select("item_id", "memory_id")
+    return found.unionByName(patterns.occurrences(memories, items.filter(~long)))
 
 
 def golden(relevant: DataFrame, retrieved: DataFrame, queries: DataFrame) -> DataFrame:

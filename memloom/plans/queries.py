@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from memloom.functions import classify, contract, score, text
 from memloom.operators import chunk, evaluate, lifecycle, links, project, retrieve, strategies
+from memloom.operators.postings import TrigramIndex
+from memloom.operators.recall_index import RecallIndex
 from memloom.plans.corpus import Corpus
+from memloom.sources.shared import new_folder, written
 from memloom.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -376,7 +379,8 @@ QUESTION = "Released under MIT License"
 
 def _found(c: Corpus) -> DataFrame:
     asked = c.spark.sql(f"SELECT 0L AS query_id, '{QUESTION}' AS query")
-    return retrieve.recall(c.lines().select("memory_id", F.col("chunk").alias("content")), asked, 10).drop("query_id").cache()  # ten rows
+    rows = retrieve.recall(c.lines().select("memory_id", F.col("chunk").alias("content")), asked, 10).drop("query_id")
+    return written(rows, new_folder(c.spark, "found"))  # ten rows, read by each part of an answer
 
 
 @query("recall_topk", "SELECT rank::INT AS rank, memory_id, score::DOUBLE AS score FROM found")
@@ -384,6 +388,13 @@ def recall_topk(c: Corpus) -> DataFrame:
     return _found(c)
 
 
+@query("recall_indexed", "SELECT rank::INT AS rank, memory_id, score::DOUBLE AS score FROM found")
+def recall_indexed(c: Corpus) -> DataFrame:
+    """The same question to an index that ends early."""
+    index = RecallIndex(c.spark, new_folder(c.spark, "runs")).build(c.memories().select("memory_id", "content"))
+    return index.search(c.spark.sql(f"SELECT 0L AS query_id, '{QUESTION}' AS query"), 10).drop("query_id")
+
+
 @query(
     "recall_cosine",
     """WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1) SELECT vec_id AS memory_id, round(list_cosine_similarity(embedding::DOUBLE[], q.v), 4) AS score FROM embeddings, q ORDER BY score DESC, memory_id LIMIT 10""",
@@ -489,7 +500,11 @@ def expand_summary_only(c: Corpus) -> DataFrame:
 
 @query("fts_contains", f"SELECT f.id FROM files f LEFT JOIN (SELECT doc_id, string_agg(tag, ' ' ORDER BY r) AS tags FROM ({_TAGS}) GROUP BY 1) t USING (doc_id) WHERE contains(lower(path || ' ' || coalesce(t.tags, '') || ' lang-' || lang || ' ' || bank), 'the')".replace("FROM docs)", "FROM (SELECT doc_id, coalesce(text, '') AS content FROM documents))"))
 def fts_contains(c: Corpus) -> DataFrame:
-    return retrieve.full_text(c.files(), "The").select("id")
+    return _trigrams(c).search("The")
+
+
+def _trigrams(c: Corpus) -> TrigramIndex:
+    return TrigramIndex(c.spark, new_folder(c.spark, "trigrams")).build(c.files())
 
 
 _DOCUMENT = f"SELECT f.id, lower(concat_ws(' ', path, coalesce(t.tags, ''), 'lang-' || lang || ' ' || bank)) AS d FROM files f LEFT JOIN (SELECT doc_id, string_agg(tag, ' ' ORDER BY r) AS tags FROM ({_TAGS}) GROUP BY 1) t USING (doc_id)".replace("FROM docs)", "FROM (SELECT doc_id, coalesce(text, '') AS content FROM documents))")
@@ -502,7 +517,7 @@ _DOCUMENT = f"SELECT f.id, lower(concat_ws(' ', path, coalesce(t.tags, ''), 'lan
     SELECT id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * greatest(length(d) - 2, 0) / mean))), 6) AS score FROM tf JOIN df USING (gram) JOIN d USING (id), s WHERE contains(d, 'lang-de') GROUP BY id""",
 )
 def fts_ranked(c: Corpus) -> DataFrame:
-    return retrieve.full_text_ranked(c.files(), "lang-de")
+    return _trigrams(c).ranked("lang-de")
 
 
 # Projection
@@ -804,7 +819,9 @@ def _golden(c: Corpus) -> DataFrame:
     items = c.table("benchmark").select("item_id", "text")
     docs = c.documents().select(F.col("doc_id").alias("memory_id"), "content")
     asked = items.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return evaluate.golden(evaluate.containing(docs, items), retrieve.recall(docs, asked, 5, 3), asked.select("query_id").distinct())
+    folder = new_folder(c.spark, "golden")  # both sides are asked several times
+    relevant, got = written(evaluate.containing(docs, items), f"{folder}/relevant"), written(retrieve.recall(docs, asked, 5, 3), f"{folder}/got")
+    return evaluate.golden(relevant, got, asked.select("query_id").distinct())
 
 
 @query("golden_recall5", "SELECT query_id, round(CASE WHEN n_relevant > 0 THEN hits / n_relevant ELSE 0 END, 6)::DOUBLE AS recall FROM golden")

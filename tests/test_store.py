@@ -96,11 +96,13 @@ def test_report_lines(spark):
     assert ("mean", '{"mode":"run","queries":2,"recall":0.5,"precision":0.1,"mrr":0.5,"blocking":true}') in lines
 
 
-def test_short_items_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr("memloom.operators.evaluate.BLOCK", 2)
-    docs = spark.createDataFrame([(i, f"tiny item {i} here") for i in range(7)], "memory_id long, content string")
-    items = spark.createDataFrame([(i, f"item {i}") for i in range(7)], "item_id long, text string")
-    assert sorted(tuple(r) for r in evaluate.containing(docs, items).collect()) == [(i, i) for i in range(7)]
+def test_containing_more_than_an_automaton_holds(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"tiny item {i} here and some more words of a longer passage {i} that goes on") for i in range(7)], "memory_id long, content string")
+    items = spark.createDataFrame([(i, f"item {i}") for i in range(7)] + [(10 + i, f"words of a longer passage {i} that") for i in range(7)], "item_id long, text string")
+    want = sorted([(i, i) for i in range(7)] + [(10 + i, i) for i in range(7)])
+    for size in (10_000, 20):
+        monkeypatch.setattr("memloom.operators.patterns.CHARACTERS", size)
+        assert sorted(tuple(r) for r in evaluate.containing(docs, items).collect()) == want
 
 
 def test_forget_leaves_a_tombstone(spark):
