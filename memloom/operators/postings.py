@@ -3,8 +3,8 @@
 Two tables below one folder. ``postings/slot=…`` has one row for each place of a trigram in a file's text,
 ``(gram, id, at, batch)``: ``slot`` is a hash of the trigram, so a question reads the slots of its trigrams, and rows are
 sorted by trigram inside a file of a slot, so row groups of other trigrams are left out. Rows are dealt by ranges of
-(slot, gram, id), which splits a trigram that every file has. ``heads/`` has ``(id, batch, len, live)``: a file's newest
-batch alone counts. An update appends the touched files' postings and heads under a new batch and rewrites nothing;
+(slot, gram, id), which splits a trigram that every file has. ``heads/`` has ``(id, batch, len, live, document)``: a file's
+newest batch alone counts. An update appends the touched files' postings and heads under a new batch and rewrites nothing;
 ``compact`` drops what no longer counts.
 
 A file holds a text if each of its trigrams stands at the right distance from one start; places tell that, so no text is
@@ -39,13 +39,14 @@ class TrigramIndex:
         return F.pmod(F.xxhash64(gram), F.lit(self.slots)).cast("int")
 
     def _append(self, files: DataFrame, batch: int, mode: str) -> None:
-        held = files.select("id", F.explode(F.array(text.file_document(F.col("path"), F.col("keywords"), F.col("tags")))).alias("d"))
-        # a generator puts the text together once
-        held = held.select("id", F.explode(F.array(grams_of(F.col("d")))).alias("grams"))
-        held = held.groupBy("id").agg(F.max("grams").alias("grams"))
-        rows = held.select("id", F.posexplode("grams").alias("at", "gram")).select(self._slot(F.col("gram")).alias("slot"), "gram", "id", "at", F.lit(batch).alias("batch"))
+        document = text.file_document(F.col("path"), F.col("keywords"), F.col("tags"))
+        held = files.select("id", document.alias("document")).groupBy("id").agg(F.max("document").alias("document"))
+        size = F.greatest(F.length("document") - 2, F.lit(0))
+        held.select("id", F.lit(batch).alias("batch"), size.alias("len"), F.lit(True).alias("live"), "document").write.mode(mode).parquet(f"{self.folder}/heads")
+        # the texts are put together once; their postings come from what was written
+        new = self._read("heads").filter(F.col("batch") == batch).select("id", F.posexplode(grams_of(F.col("document"))).alias("at", "gram"))
+        rows = new.select(self._slot(F.col("gram")).alias("slot"), "gram", "id", "at", F.lit(batch).alias("batch"))
         rows.repartitionByRange("slot", "gram", "id").sortWithinPartitions("slot", "gram", "id").write.mode(mode).partitionBy("slot").parquet(f"{self.folder}/postings")
-        held.select("id", F.lit(batch).alias("batch"), F.size("grams").alias("len"), F.lit(True).alias("live")).write.mode(mode).parquet(f"{self.folder}/heads")
 
     def build(self, files: DataFrame) -> TrigramIndex:
         """Index all ``files``; of rows with one id the largest text counts, null keywords and tags are empty."""
@@ -56,7 +57,7 @@ class TrigramIndex:
         return self._read("heads").agg(F.max("batch")).first()[0] + 1
 
     def _read(self, table: str) -> DataFrame:
-        fields = {"heads": "id string, batch int, len int, live boolean", "postings": "gram string, id string, at int, batch int, slot int"}[table]
+        fields = {"heads": "id string, batch int, len int, live boolean, document string", "postings": "gram string, id string, at int, batch int, slot int"}[table]
         return self.spark.read.schema(fields).parquet(f"{self.folder}/{table}")
 
     def update(self, files: DataFrame) -> None:
@@ -65,7 +66,7 @@ class TrigramIndex:
 
     def remove(self, ids: DataFrame) -> None:
         """``ids(id)`` are found no more."""
-        ids.select("id").distinct().select("id", F.lit(self._next()).alias("batch"), F.lit(0).alias("len"), F.lit(False).alias("live")).write.mode("append").parquet(f"{self.folder}/heads")
+        ids.select("id").distinct().select("id", F.lit(self._next()).alias("batch"), F.lit(0).alias("len"), F.lit(False).alias("live"), F.lit(None).cast("string").alias("document")).write.mode("append").parquet(f"{self.folder}/heads")
 
     def heads(self) -> DataFrame:
         """``(id, batch, len)`` of the files that are there."""
@@ -85,7 +86,8 @@ class TrigramIndex:
         """The same index without dead rows, written below another folder."""
         rows = self.postings().select(self._slot(F.col("gram")).alias("slot"), "gram", "id", "at", F.lit(0).alias("batch"))
         rows.repartitionByRange("slot", "gram", "id").sortWithinPartitions("slot", "gram", "id").write.partitionBy("slot").parquet(f"{folder}/postings")
-        self.heads().select("id", F.lit(0).alias("batch"), "len", F.lit(True).alias("live")).write.parquet(f"{folder}/heads")
+        kept = self._read("heads").join(self.heads().select("id", "batch"), ["id", "batch"], "left_semi")
+        kept.select("id", F.lit(0).alias("batch"), "len", "live", "document").write.parquet(f"{folder}/heads")
         return TrigramIndex(self.spark, folder, self.slots)
 
     def _asked(self, query: str) -> tuple[list[str], dict[str, int], DataFrame]:
