@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.functions import text
 from memloom.operators import patterns
 
 CUTOFF, DROP, ANCHOR = 5, 0.10, 4
@@ -73,6 +74,25 @@ def golden(relevant: DataFrame, retrieved: DataFrame, queries: DataFrame) -> Dat
     return out.select("query_id", share(F.col("n")).alias("recall"), share(F.lit(CUTOFF)).alias("precision"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("mrr"))
 
 
+def by_contents(queries: DataFrame, expected: DataFrame, retrieved: DataFrame, k: int = CUTOFF) -> DataFrame:
+    """Scores by what results say, not by their ids: ``(query_id, content_type, relevant_count, hits, retrieved_count, recall, precision, mrr)``.
+
+    ``queries(query_id, content_type)``, ``expected(query_id, content)``, ``retrieved(query_id, rank, content)``. A result is a hit
+    if its normalised content holds a normalised expected content, so several results may hit the same one and
+    recall may pass 1; every expected content counts, repeats and blank ones included. Hits count to rank ``k``, the first hit at any rank.
+    """
+    wanted = expected.select("query_id", text.normalized(F.col("content")).alias("e"))
+    counts = wanted.groupBy("query_id").agg(F.count("*").alias("relevant_count"))
+    got = retrieved.select("query_id", "rank", text.normalized(F.col("content")).alias("c"))
+    met = got.join(wanted.filter("e <> ''").distinct(), "query_id").filter(F.col("c").contains(F.col("e"))).select("query_id", "rank").distinct()
+    met = met.groupBy("query_id").agg(F.count_if(F.col("rank") <= k).alias("hits"), F.min("rank").alias("first"))
+    out = queries.select("query_id", "content_type").join(counts, "query_id", "left").join(got.groupBy("query_id").agg(F.count("*").alias("retrieved_count")), "query_id", "left").join(met, "query_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    out = out.select("query_id", "content_type", zero("relevant_count"), zero("hits"), zero("retrieved_count"), "first")
+    recall = F.when(F.col("relevant_count") > 0, F.col("hits") / F.col("relevant_count")).otherwise(F.lit(0.0))
+    return out.select("query_id", "content_type", "relevant_count", "hits", "retrieved_count", recall.alias("recall"), (F.col("hits") / k).alias("precision"), F.coalesce(F.lit(1.0) / F.col("first"), F.lit(0.0)).alias("mrr"))
+
+
 def report(scores: DataFrame, mode: str, baseline: float | None = None) -> DataFrame:
     """``(kind, line)``: a JSON line for each query, and one with the means, for a text sink.
 

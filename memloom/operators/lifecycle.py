@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from memloom.functions import text
 from memloom.operators import project
@@ -125,15 +126,66 @@ def transitions(table: DataFrame, asked: DataFrame, key: str) -> tuple[DataFrame
     return out.select(key, F.col("__to").alias("status"), outcome.alias("outcome")), moved
 
 
-def register(banks: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``asked(bank, description)`` registered: ``(bank, outcome)``, registered or exists, and all banks; of repeated requests the smallest description counts."""
-    want = asked.groupBy("bank").agg(F.min("description").alias("description"))
-    out = want.join(banks.select("bank", F.lit(1).alias("__b")), "bank", "left")
-    new = out.filter("__b is null").select("bank", "description", F.lit("active").alias("status"))
-    return out.select("bank", F.when(F.col("__b").isNull(), "registered").otherwise("exists").alias("outcome")), banks.select("bank", "description", "status").unionByName(new)
+def register(banks: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(bank, description, status, outcome)``: all banks after the requests ``asked(bank, description)``.
 
+    A bank that is there gets the request's description (outcome exists), a new one is active (registered); a null
+    description keeps the old one. Banks that were not asked for have a null outcome; of repeated requests the largest description counts.
+    """
+    want = asked.groupBy("bank").agg(F.max("description").alias("__d"), F.lit(True).alias("__asked"))
+    both = banks.select("bank", "description", "status", F.lit(True).alias("__there")).join(want, "bank", "full_outer")
+    outcome = F.when(F.col("__asked").isNull(), F.lit(None)).when(F.col("__there").isNull(), "registered").otherwise("exists")
+    return both.select("bank", F.coalesce("__d", "description").alias("description"), F.coalesce("status", F.lit("active")).alias("status"), outcome.alias("outcome"))
+
+
+def update_files(files: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``updates(id, ...)`` of some fields of files: ``(id, outcome)`` and the files after.
+
+    FILE_NOT_FOUND, FILE_DELETED (a tombstone takes no update), updated, or none where nothing differs; null fields keep
+    what is there. Of several updates of one file the largest value of each field counts.
+    """
+    fields = [c for c in updates.columns if c != "id"]
+    want = updates.groupBy("id").agg(*[F.max(c).alias(c) for c in fields])
+    renamed = want.select("id", *[F.col(c).alias(f"__{c}") for c in fields])
+    both = renamed.join(files.select("id", "status", *fields, F.lit(True).alias("__there")), "id", "left")
+    differs = F.lit(False)
+    for c in fields:
+        differs = differs | (F.col(f"__{c}").isNotNull() & ~F.col(f"__{c}").eqNullSafe(F.col(c)))
+    outcome = F.when(F.col("__there").isNull(), "FILE_NOT_FOUND").when(F.col("status") == "deleted", "FILE_DELETED").when(differs, "updated").otherwise("none")
+    out = both.select("id", outcome.alias("outcome"))
+    return out, project.patch(files, want.join(out.filter("outcome = 'updated'"), "id", "left_semi"), ["id"])
+
+
+def delete_files(tables: dict[str, DataFrame], asked: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``asked(file_id)`` deleted: ``(file_id, outcome)``, FILE_NOT_FOUND, FILE_ALREADY_DELETED or deleted, and the tables after."""
+    want = asked.select("file_id").distinct()
+    both = want.join(tables["files"].select(F.col("id").alias("file_id"), "status"), "file_id", "left")
+    outcome = F.when(F.col("status").isNull(), "FILE_NOT_FOUND").when(F.col("status") == "deleted", "FILE_ALREADY_DELETED").otherwise("deleted")
+    out = both.select("file_id", outcome.alias("outcome"))
+    return out, project.delete_files(tables, out.filter("outcome = 'deleted'"))
 
 
+def bank_counts(banks: DataFrame, steps: DataFrame, width: int = project.PIECE) -> DataFrame:
+    """``(bank, memory_count, rejected)`` after ``steps(bank, seq, kind)``, remember or forget, in order of ``seq``.
+
+    Remembering adds one and is rejected where ``banks(bank, status, memory_count)`` is not active; forgetting takes one
+    and stops at zero. Steps of banks that are not there, and steps without a number, are left out. A run of steps is the function x → max(x + sum, low),
+    and two runs in a row are one again, so pieces of ``width`` numbers are summed up apart and then in order.
+    """
+    known = steps.filter("seq is not null").join(banks.select("bank", "status", F.col("memory_count").alias("c0")), "bank").withColumn("piece", F.floor(F.col("seq") / width))
+    rejected = (F.col("kind") == "remember") & ~F.coalesce(F.col("status") == "active", F.lit(False))
+    step = F.when(rejected, 0).when(F.col("kind") == "remember", 1).when(F.col("kind") == "forget", -1).otherwise(0)
+    known = known.select("bank", "piece", "seq", "c0", step.alias("d"), rejected.cast("long").alias("no"))
+    run = Window.partitionBy("bank", "piece").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # the lowest running sum says from where the count, once at zero, climbs again
+    pieces = known.withColumn("upto", F.sum("d").over(run)).groupBy("bank", "piece").agg(F.sum("d").alias("sum"), F.min("upto").alias("least"), F.sum("no").alias("no"))
+    upto = Window.partitionBy("bank").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("before", F.coalesce(F.sum("sum").over(upto), F.lit(0)))
+    total = pieces.groupBy("bank").agg(F.sum("sum").alias("sum"), F.min(F.col("before") + F.col("least")).alias("least"), F.sum("no").alias("rejected"))
+    out = banks.select("bank", F.col("memory_count").alias("c0")).join(total, "bank", "left")
+    count = F.greatest(F.col("c0") + F.col("sum"), F.col("sum") - F.col("least"))
+    return out.select("bank", F.coalesce(count, F.col("c0")).cast("long").alias("memory_count"), F.coalesce("rejected", F.lit(0)).alias("rejected"))
+
 
 def converged(relations: DataFrame) -> DataFrame:
     """``relations`` with one row for each pair and type under its canonical id: the row that has it, else the one of the smallest id."""

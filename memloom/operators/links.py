@@ -107,7 +107,7 @@ def references(files: DataFrame, home: str = "/root") -> DataFrame:
     A base name counts where it stands alone: it starts a run of name characters and ends
     before a character that is none of a word. A session's tree is walked four folders deep, up to 200 files.
     """
-    tree = bounded_walk(files.select(F.col("session_root").alias("root"), "path"), 5, 200).select(F.col("root").alias("session_root"), "path")
+    tree = bounded_walk(files.select(F.col("session_root").alias("root"), "path"), 4, 200, deep_first=True).select(F.col("root").alias("session_root"), "path")
     tokens = files.select("path", "session_root", F.explode(text.path_tokens(F.col("content"))).alias("token"))
     by_path = tokens.select("path", under(F.col("session_root"), text.expand_tilde(F.col("token"), home)).alias("target"))
     by_path = by_path.join(files.select(F.col("path").alias("target")), "target", "left_semi")

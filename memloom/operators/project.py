@@ -17,6 +17,10 @@ from memloom.functions import text
 KEYS = {"files": ["id"], "file_chunks": ["file_id", "memory_id"], "file_relations": ["source_file_id", "target_file_id", "relation_type"]}
 
 
+#: Numbers of ``seq`` that one piece of a file spans, and so its rows at most.
+PIECE = 1 << 20
+
+
 def deduplicated(rows: DataFrame) -> DataFrame:
     """One memory for each content of a bank: ``(bank, memory_id, chunk_hash, first_seq, repeats)``.
 
@@ -26,16 +30,35 @@ def deduplicated(rows: DataFrame) -> DataFrame:
     return keyed.groupBy("bank", "memory_id", "chunk_hash").agg(F.min("seq").alias("first_seq"), F.count("*").alias("repeats"))
 
 
-def epochs(rows: DataFrame, null_hash_resets: bool = True) -> DataFrame:
+def epochs(rows: DataFrame, null_hash_resets: bool = True, width: int = PIECE) -> DataFrame:
     """``rows`` with ``epoch``: it grows where a file's hash differs from the last one known before.
 
-    A null hash keeps the last known one; whether it also starts an epoch is ``null_hash_resets``.
+    A null hash keeps the last known one; whether it also starts an epoch is ``null_hash_resets``. ``seq`` is unique
+    within a file. A file's rows are cut into pieces of ``width`` numbers of ``seq``, so that no task holds a whole long
+    file: windows run inside pieces, each piece is summed up in one row (its nulls before the first hash, that hash,
+    the changes after it, its last hash), a scan over these rows says what each piece begins with, and its rows add that.
     """
-    order = Window.partitionBy("file_id").orderBy("seq")
-    known = F.last("file_hash", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    differs = ~F.col("file_hash").eqNullSafe(known) if null_hash_resets else F.col("file_hash") != known
-    reset = (known.isNotNull() & F.coalesce(differs, F.lit(False))).cast("int")
-    return rows.withColumn("__r", reset).withColumn("epoch", F.sum("__r").over(order)).drop("__r")
+    piece = F.floor(F.col("seq") / width).alias("__piece")
+    inside = Window.partitionBy("file_id", "__piece").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("file_id", "__piece").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.last("file_hash", ignorenulls=True).over(before)
+    local = rows.select("*", piece).withColumn("__k", known)
+    lead = F.col("__k").isNull() & F.col("file_hash").isNull()
+    differs = ~F.col("file_hash").eqNullSafe(F.col("__k")) if null_hash_resets else F.coalesce(F.col("file_hash") != F.col("__k"), F.lit(False))
+    local = local.withColumn("__r", (F.col("__k").isNotNull() & differs).cast("int")).withColumn("__l", (lead & F.lit(null_hash_resets)).cast("int"))
+    heads = local.groupBy("file_id", "__piece").agg(
+        F.sum("__l").alias("leads"), F.sum("__r").alias("changes"), F.min_by("file_hash", F.when(F.col("file_hash").isNotNull(), F.col("seq"))).alias("first"), F.max_by("file_hash", F.when(F.col("file_hash").isNotNull(), F.col("seq"))).alias("last")
+    )
+    order = Window.partitionBy("file_id").orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.withColumn("carry", F.last("last", ignorenulls=True).over(order))
+    turned = (F.col("carry").isNotNull() & F.coalesce(F.col("first") != F.col("carry"), F.lit(False))).cast("int")
+    heads = heads.withColumn("turned", turned).withColumn("all", F.col("changes") + F.col("turned") + F.when(F.col("carry").isNotNull(), F.col("leads")).otherwise(0))
+    heads = heads.select("file_id", "__piece", F.coalesce(F.sum("all").over(order), F.lit(0)).alias("__from"), F.col("carry").isNotNull().alias("__c"), F.col("turned").alias("__t"))
+    met = F.last("file_hash", ignorenulls=True).over(inside).isNotNull()
+    local = local.withColumn("__m", met.cast("int")).withColumn("__rs", F.sum("__r").over(inside)).withColumn("__ls", F.sum("__l").over(inside))
+    out = local.join(heads, ["file_id", "__piece"])
+    epoch = F.col("__from") + F.col("__rs") + F.when(F.col("__c"), F.col("__ls") + F.col("__t") * F.col("__m")).otherwise(0)
+    return out.select(*[F.col(f"`{c}`") for c in rows.columns], epoch.alias("epoch"))
 
 
 def last_epoch(rows: DataFrame, null_hash_resets: bool = True) -> DataFrame:
@@ -157,12 +180,6 @@ def without(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return table.join(gone.select(*keys), keys, "left_anti")
 
 
-def keep_members(chunks: DataFrame, keep: DataFrame) -> DataFrame:
-    """``chunks`` without those of files in ``keep(file_id, memory_id)`` that it does not list."""
-    touched = keep.select("file_id").distinct()
-    return chunks.join(touched, "file_id", "left_anti").unionByName(chunks.join(keep.select("file_id", "memory_id").distinct(), ["file_id", "memory_id"], "left_semi"))
-
-
 def touching(relations: DataFrame, files: DataFrame) -> DataFrame:
     """Relations with either end among ``files(file_id)``: two equi joins, each relation once."""
     ends = files.select("file_id").distinct()
@@ -195,12 +212,6 @@ def forget(tables: dict[str, DataFrame], memories: DataFrame) -> dict[str, DataF
     return out | {"files": files.select(tables["files"].columns)}
 
 
-def revive(files: DataFrame, ids: DataFrame, status: str = "indexed") -> DataFrame:
-    """``files`` with a status (indexed revives tombstones, archived puts away) for ``ids(file_id)``."""
-    marked = files.join(ids.select(F.col("file_id").alias("id"), F.lit(True).alias("__m")).distinct(), "id", "left")
-    return marked.withColumn("status", F.when(F.col("__m"), status).otherwise(F.col("status"))).select(files.columns)
-
-
 def sync_members(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """``keys`` and ``action`` (add, remove, keep) that turn the member set ``old`` into ``new``."""
     both = old.select(*keys).distinct().withColumn("__o", F.lit(1)).join(new.select(*keys).distinct().withColumn("__n", F.lit(1)), keys, "full_outer")

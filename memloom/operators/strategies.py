@@ -185,3 +185,23 @@ def session_chunks(files: DataFrame, split: Callable[[Column, Column], Column] =
     absent = F.create_map(*[F.lit(x) for k in SESSION_FIELDS for x in (f"session.{k}", "")])
     held = held.withColumn("metadata", F.coalesce("metadata", absent)).withColumn("edges", F.coalesce("edges", F.array().cast(EDGES)))
     return composed(held.withColumn("note_tags", F.array().cast("array<string>")), ["frontmatter", "metadata"], None)
+
+
+def chunk_content(files: DataFrame, split: Callable[[Column, Column], Column] = by_chunker) -> DataFrame:
+    """``files(root, bank, path, source_type, content)`` → the chunks of each by the strategy of its source type, a column ``source_type`` more.
+
+    Obsidian notes, vault notes and session files go to their strategies, with the files of their kind as catalogue; all others
+    are chunked whole, without metadata and edges. Blank files give no row.
+    """
+    rows = files.withColumn("source_type", classify.source_type(F.col("source_type")))
+    own = lambda kind: rows.filter(F.col("source_type") == kind).drop("source_type")
+    notes, vault, sessions = own("obsidian"), own("vault"), own("agent-sessions")
+    rest = rows.filter(~F.col("source_type").isin("obsidian", "vault", "agent-sessions"))
+    empty = F.create_map().cast("map<string,string>")
+    plain = rest.select("bank", "path", F.sha2("content", 256).alias("file_hash"), F.lit(None).cast("string").alias("front"), split(F.col("content"), F.col("path")).alias("parts"), empty.alias("metadata"), F.array().cast(EDGES).alias("edges"), F.array().cast("array<string>").alias("note_tags"))
+    parts = [("obsidian", obsidian_chunks(notes, notes, split)), ("vault", vault_chunks(vault, vault, split)), ("agent-sessions", session_chunks(sessions.select("bank", "path", "content"), split)), ("unknown", composed(plain, [], None))]
+    out = None
+    for kind, df in parts:
+        df = df.withColumn("source_type", F.lit(kind))
+        out = df if out is None else out.unionByName(df)
+    return out

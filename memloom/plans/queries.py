@@ -12,6 +12,7 @@ from memloom.operators import chunk, evaluate, lifecycle, links, project, retrie
 from memloom.operators.postings import TrigramIndex
 from memloom.operators.recall_index import RecallIndex
 from memloom.plans.corpus import Corpus
+from memloom.sources.files import bounded_walk
 from memloom.sources.shared import new_folder, written
 from memloom.streaming import events
 
@@ -182,12 +183,11 @@ def importance_score(c: Corpus) -> DataFrame:
     return c.lines().select("file_id", "chunk_index", F.round(score.importance(classify.file_role(F.col("path")), F.col("chunk"), F.lit("")), 6).alias("importance"))
 
 
-@query("header_factor", "SELECT file_id, chunk_index::INT AS chunk_index, round(0.05 * CASE WHEN doc_id % 7 > 1 THEN doc_id % 7 - 1 ELSE 0 END, 6)::DOUBLE AS factor FROM lines WHERE NOT starts_with(chunk, '#')")
+@query("header_factor", "SELECT file_id, chunk_index::INT AS chunk_index, round(0.05 * CASE WHEN doc_id % 7 > 1 THEN doc_id % 7 - 1 ELSE 0 END, 6)::DOUBLE AS factor FROM lines")
 def header_factor(c: Corpus) -> DataFrame:
     """Every line as a heading of its document's number modulo seven."""
     heading = F.concat(F.repeat(F.lit("#"), F.pmod("doc_id", F.lit(7)).cast("int")), F.lit(" "), "chunk")
-    rows = c.lines().filter(~F.col("chunk").startswith("#"))
-    return rows.select("file_id", "chunk_index", F.round(score.header_factor(heading), 6).alias("factor"))
+    return c.lines().select("file_id", "chunk_index", F.round(score.header_factor(heading), 6).alias("factor"))
 
 
 @query("mechanical_summary", f"SELECT f.id, 'File: ' || path || coalesce('. Keywords: ' || t.tags, '') || '. Tags: lang-' || lang || ', ' || bank AS summary FROM files f LEFT JOIN (SELECT doc_id, string_agg(tag, ', ' ORDER BY r) AS tags FROM ({_TAGS}) GROUP BY 1) t USING (doc_id)".replace("FROM docs)", "FROM (SELECT doc_id, coalesce(text, '') AS content FROM documents))"))
@@ -273,12 +273,13 @@ _HEAD = "CASE WHEN i = 1 THEN 'frontmatter|metadata|{kind}|' || bank || CASE WHE
 @query(
     "obsidian_chunks",
     f"""SELECT path, (i - 1)::INT AS chunk_index, len(parts)::INT AS total_chunks, sha256(parts[i]) AS chunk_hash, {_HEAD.format(kind='obsidian-note')}, e.edges, CASE WHEN is_index THEN 'index' ELSE 'note' END AS note_type, (doc_id * 2)::VARCHAR AS see_also,
-    '["' || (doc_id + 20) || '","' || (doc_id - 20) || '","missing ' || doc_id || '"]' AS links FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM note_parts) n
-    JOIN (SELECT doc_id, string_agg('backlink /' || bank || '/' || link || '.md', '|' ORDER BY '/' || bank || '/' || link || '.md') AS edges FROM note_links GROUP BY 1) e USING (doc_id) WHERE NOT contains(parts[len(parts) - 1], '[[')""",
+    to_json(list_filter(l, lambda x, k: list_position(l, x) = k))::VARCHAR AS links FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM note_parts) n
+    JOIN (SELECT doc_id, string_agg('backlink /' || bank || '/' || link || '.md', '|' ORDER BY '/' || bank || '/' || link || '.md') AS edges FROM note_links GROUP BY 1) e USING (doc_id)
+    JOIN (SELECT doc_id, list_filter(list_transform(regexp_extract_all(content, '\\[\\[([^\\]|#]*)[^\\]]*\\]\\]', 1), lambda x: trim(x)), lambda x: x <> '') AS l FROM notes) w USING (doc_id)""",
 )
 def obsidian_chunks(c: Corpus) -> DataFrame:
-    """Notes whose own text has no links, by lines."""
-    notes = c.notes().filter(F.size(F.split("content", r"\[\[")) == 5)
+    """All notes, by lines."""
+    notes = c.notes()
     at = lambda k: F.try_element_at("metadata", F.lit(k))
     out = _strategy(strategies.obsidian_chunks(notes, notes, strategies.lines))
     return out.select("*", at("note.type").alias("note_type"), at("note.properties.see_also").alias("see_also"), at("note.wikilinks").alias("links")).drop("metadata")
@@ -753,10 +754,53 @@ def bank_states(c: Corpus) -> DataFrame:
     return lifecycle.transitions(rows, c.spark.sql("SELECT * FROM VALUES ('src0', 'suspended'), ('none at all', 'suspended') AS t(bank, status)"), "bank")[1]
 
 
-@query("bank_register", "SELECT bank, CASE WHEN bank IN (SELECT bank FROM memories) THEN 'exists' ELSE 'registered' END AS outcome FROM (VALUES ('src0'), ('fresh')) b(bank)")
+@query(
+    "bank_register",
+    """SELECT coalesce(r.bank, b.bank) AS bank, coalesce(r.description, b.description) AS description, coalesce(b.status, 'active') AS status, CASE WHEN r.bank IS NULL THEN NULL WHEN b.bank IS NULL THEN 'registered' ELSE 'exists' END AS outcome
+    FROM (SELECT DISTINCT bank, 'about ' || bank AS description, 'active' AS status FROM memories) b FULL JOIN (SELECT bank, max(description) AS description FROM (VALUES ('src0', 'again'), ('src1', NULL), ('fresh', 'new'), ('fresh', 'newer')) v(bank, description) GROUP BY 1) r ON b.bank = r.bank""",
+)
 def bank_register(c: Corpus) -> DataFrame:
-    banks = c.memories().select("bank").distinct().select("bank", F.lit(None).cast("string").alias("description"), F.lit("active").alias("status"))
-    return lifecycle.register(banks, c.spark.sql("SELECT * FROM VALUES ('src0', 'again'), ('fresh', 'new') AS t(bank, description)"))[0]
+    """Known banks and a new one registered: descriptions are replaced."""
+    banks = c.memories().select("bank").distinct().select("bank", F.concat(F.lit("about "), "bank").alias("description"), F.lit("active").alias("status"))
+    return lifecycle.register(banks, c.spark.sql("SELECT * FROM VALUES ('src0', 'again'), ('src1', NULL), ('fresh', 'new'), ('fresh', 'newer') AS t(bank, description)"))
+
+
+@query(
+    "bank_counts",
+    """WITH RECURSIVE steps AS (SELECT source AS bank, doc_id AS seq, CASE WHEN doc_id % 5 < 2 THEN 1 ELSE -1 END AS d FROM documents WHERE source IS NOT NULL),
+    b AS (SELECT DISTINCT source AS bank, CASE WHEN source = 'src0' THEN 'suspended' ELSE 'active' END AS status, 3 AS c0 FROM documents WHERE source IS NOT NULL),
+    o AS (SELECT bank, CASE WHEN d = 1 AND status <> 'active' THEN 0 ELSE d END AS d, (d = 1 AND status <> 'active')::INT AS no, row_number() OVER (PARTITION BY bank ORDER BY seq) AS k FROM steps JOIN b USING (bank)),
+    w AS (SELECT bank, c0 AS c, 0 AS k FROM b UNION ALL SELECT w.bank, greatest(0, w.c + o.d), o.k FROM w JOIN o ON o.bank = w.bank AND o.k = w.k + 1)
+    SELECT bank, arg_max(c, k)::BIGINT AS memory_count, (SELECT sum(no) FROM o WHERE o.bank = w.bank)::BIGINT AS rejected FROM w GROUP BY bank""",
+)
+def bank_counts(c: Corpus) -> DataFrame:
+    """Two documents of five remembered, three forgotten, from a count of three; one bank is suspended."""
+    docs = c.table("documents").filter("source is not null")
+    banks = docs.select(F.col("source").alias("bank")).distinct().select("bank", F.when(F.col("bank") == "src0", "suspended").otherwise("active").alias("status"), F.lit(3).alias("memory_count"))
+    steps = docs.select(F.col("source").alias("bank"), F.col("doc_id").alias("seq"), F.when(F.pmod("doc_id", F.lit(5)) < 2, "remember").otherwise("forget").alias("kind"))
+    return lifecycle.bank_counts(banks, steps, 64)
+
+
+@query("delete_file", "SELECT id AS file_id, CASE WHEN doc_id % 4 = 0 THEN 'FILE_ALREADY_DELETED' ELSE 'deleted' END AS outcome FROM files WHERE doc_id % 2 = 0 UNION ALL SELECT 'file_none', 'FILE_NOT_FOUND'")
+def delete_file(c: Corpus) -> DataFrame:
+    """Every second file and an absent one; every fourth is a tombstone already."""
+    tables = c.tables()
+    n = F.col("doc_id")
+    tables["files"] = tables["files"].withColumn("status", F.when(F.pmod(n, F.lit(4)) == 0, "deleted").otherwise(F.col("status")))
+    asked = tables["files"].filter(F.pmod(n, F.lit(2)) == 0).select(F.col("id").alias("file_id"))
+    return lifecycle.delete_files(tables, asked.union(c.spark.sql("SELECT 'file_none' AS file_id")))[0]
+
+
+@query(
+    "update_file_outcomes",
+    """SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'FILE_DELETED' WHEN file_role = 'docs' THEN 'none' ELSE 'updated' END AS outcome, CASE WHEN doc_id % 4 <> 0 THEN 'docs' ELSE file_role END AS file_role FROM files WHERE doc_id % 3 = 0 UNION ALL SELECT 'file_none', 'FILE_NOT_FOUND', NULL""",
+)
+def update_file_outcomes(c: Corpus) -> DataFrame:
+    """Every third file and an absent one called documentation; every fourth is a tombstone."""
+    files = c.files().withColumn("status", F.when(F.pmod("doc_id", F.lit(4)) == 0, "deleted").otherwise(F.col("status"))).select("id", "doc_id", "status", "file_role")
+    asked = files.filter(F.pmod("doc_id", F.lit(3)) == 0).select("id", F.lit("docs").alias("file_role"))
+    out, after = lifecycle.update_files(files, asked.union(c.spark.sql("SELECT 'file_none' AS id, 'docs' AS file_role")))
+    return out.join(after.select("id", "file_role"), "id", "left")
 
 
 @query("bank_list", "SELECT coalesce(b.bank, m.bank) AS bank, description, coalesce(n, 0) AS n_memories FROM (VALUES ('src0', 'first'), ('spare', 'unused')) b(bank, description) FULL JOIN (SELECT bank, count(*) AS n FROM memories GROUP BY 1) m ON b.bank = m.bank")
@@ -807,6 +851,20 @@ def xref_edges(c: Corpus) -> DataFrame:
     return links.references(links.session_roots(c.sessions()))
 
 
+@query(
+    "session_walk",
+    """SELECT root, path FROM (SELECT root, path, row_number() OVER (PARTITION BY root ORDER BY string_split(substr(path, length(root) + 2), '/')) AS n FROM (SELECT DISTINCT '/s' || (doc_id // 400) AS root,
+      '/s' || (doc_id // 400) || (CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '/m' WHEN 2 THEN '/m/a' WHEN 3 THEN '/k.d/x/y' ELSE '/z/1/2/3' END) || '/f' || doc_id || '.md' AS path, doc_id % 5 AS k FROM documents WHERE doc_id IS NOT NULL) WHERE k <> 4) WHERE n <= 200""",
+)
+def session_walk(c: Corpus) -> DataFrame:
+    """Sessions of up to 400 files in folders of one to five levels: what a walk of four levels and 200 files meets."""
+    n = F.col("doc_id")
+    folder = F.element_at(F.array(*[F.lit(x) for x in ("", "/m", "/m/a", "/k.d/x/y", "/z/1/2/3")]), (F.pmod(n, F.lit(5)) + 1).cast("int"))
+    root = F.concat(F.lit("/s"), F.floor(n / 400).cast("string"))
+    files = c.table("documents").filter("doc_id is not null").select(root.alias("root"), F.concat(root, folder, F.lit("/f"), n.cast("string"), F.lit(".md")).alias("path")).distinct()
+    return bounded_walk(files, 4, 200, deep_first=True).select("root", "path")
+
+
 @query("html_link_edges", """SELECT DISTINCT page_id, x AS href FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*href=["'']([^"''>]*)["'']', 1)) AS x FROM pages)""")
 def html_link_edges(c: Corpus) -> DataFrame:
     return links.html_links(c.table("pages").select("page_id", "html"))
@@ -851,6 +909,35 @@ def golden_report(c: Corpus) -> DataFrame:
     return evaluate.averaged(_golden(c))
 
 
+@query(
+    "golden_runner",
+    r"""WITH n AS (SELECT item_id, trim(regexp_replace(lower(e), '[\s\x0B]+', ' ', 'g')) AS e FROM (SELECT item_id, text AS e FROM benchmark UNION ALL SELECT item_id, array_to_string(string_split(text, ' ')[1:5], ' ') FROM benchmark)),
+    h AS (SELECT item_id, count(*) AS hits, min(rank) AS first FROM (SELECT DISTINCT g.item_id, g.rank FROM got g JOIN docs d USING (doc_id) JOIN n ON n.item_id = g.item_id AND n.e <> '' AND contains(trim(regexp_replace(lower(d.content), '[\s\x0B]+', ' ', 'g')), n.e)) GROUP BY 1)
+    SELECT b.item_id AS query_id, 'kind ' || (b.item_id % 4) AS content_type, 2::BIGINT AS relevant_count, coalesce(h.hits, 0)::BIGINT AS hits, coalesce(g.n, 0)::BIGINT AS retrieved_count, round(coalesce(h.hits, 0) / 2, 6)::DOUBLE AS recall, round(coalesce(h.hits, 0) / 5, 6)::DOUBLE AS precision, round(coalesce(1.0 / h.first, 0), 6)::DOUBLE AS mrr
+    FROM benchmark b LEFT JOIN h USING (item_id) LEFT JOIN (SELECT item_id, count(*) AS n FROM got GROUP BY 1) g USING (item_id)""",
+)
+def golden_runner(c: Corpus) -> DataFrame:
+    """Each item and its first five words as expected contents, held against the five best documents."""
+    items = c.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = c.documents().select(F.col("doc_id").alias("memory_id"), "content")
+    got = written(retrieve.recall(docs, items.select("query_id", F.col("text").alias("query")), 5, 3), new_folder(c.spark, "golden"))
+    expected = items.select("query_id", F.col("text").alias("content")).union(items.select("query_id", F.substring_index("text", " ", 5)))
+    queries = items.select("query_id", F.concat(F.lit("kind "), F.pmod("query_id", F.lit(4)).cast("string")).alias("content_type"))
+    out = evaluate.by_contents(queries, expected, got.join(docs, "memory_id").select("query_id", "rank", "content"))
+    return out.select("query_id", "content_type", "relevant_count", "hits", "retrieved_count", *[F.round(x, 6).alias(x) for x in ("recall", "precision", "mrr")])
+
+
+@query(
+    "golden_report_lines",
+    """SELECT kind, line FROM (SELECT 'query' AS kind, '{"mode":"check","query_id":' || query_id || ',"recall":' || r || ',"precision":' || p || ',"mrr":' || m || '}' AS line FROM (SELECT query_id, round(CASE WHEN n_relevant > 0 THEN hits / n_relevant ELSE 0 END, 6)::DOUBLE AS r, round(CASE WHEN n_got > 0 THEN hits / 5 ELSE 0 END, 6)::DOUBLE AS p, round(coalesce(1.0 / first, 0), 6)::DOUBLE AS m FROM golden))
+    UNION ALL SELECT 'mean', '{"mode":"check","queries":' || q || ',"recall":' || r || ',"precision":' || p || ',"mrr":' || m || ',"blocking":' || (CASE WHEN m < 0.5 - 0.1 THEN 'true' ELSE 'false' END) || '}' FROM (SELECT count(*) AS q, round(avg(round(CASE WHEN n_relevant > 0 THEN hits / n_relevant ELSE 0 END, 6)), 6)::DOUBLE AS r, round(avg(round(CASE WHEN n_got > 0 THEN hits / 5 ELSE 0 END, 6)), 6)::DOUBLE AS p, round(avg(round(coalesce(1.0 / first, 0), 6)), 6)::DOUBLE AS m FROM golden)""",
+)
+def golden_report_lines(c: Corpus) -> DataFrame:
+    """The report itself, with a baseline of one half."""
+    scores = _golden(c).select("query_id", *[F.round(x, 6).alias(x) for x in ("recall", "precision", "mrr")])
+    return evaluate.report(scores, "check", 0.5)
+
+
 # Events
 
 

@@ -43,8 +43,14 @@ def depth(root: Column, path: Column) -> Column:
     return F.size(F.split(below, "/"))
 
 
-def bounded_walk(catalogue: DataFrame, depth_limit: int = 4, file_limit: int = 200) -> DataFrame:
-    """``catalogue(root, path)`` down to ``depth_limit`` folders and, shallow first, at most ``file_limit`` files of each root."""
+def bounded_walk(catalogue: DataFrame, depth_limit: int = 4, file_limit: int = 200, deep_first: bool = False) -> DataFrame:
+    """``catalogue(root, path)`` down to ``depth_limit`` folders and at most ``file_limit`` files of each root.
+
+    Shallow files come first, or, with ``deep_first``, entries by name with each folder's own entries in its place, as a
+    walk meets them that goes into every folder it comes to. That order is the order of the paths' parts, one by one.
+    Files beyond the limit go before the shuffle, so that a root of any size passes no more than that from each task.
+    """
     inside = catalogue.filter(F.col("path").startswith(F.concat(F.col("root"), F.lit("/")))).withColumn("depth", depth(F.col("root"), F.col("path")))
-    order = Window.partitionBy("root").orderBy("depth", "path")
+    parts = F.split(F.col("path").substr(F.length("root") + 2, F.length("path")), "/")
+    order = Window.partitionBy("root").orderBy(*([parts] if deep_first else ["depth", "path"]))
     return inside.filter(F.col("depth") <= depth_limit).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= file_limit).drop("n")
