@@ -35,7 +35,7 @@ def test_epochs_in_pieces(spark, null_resets, width):
 
 def test_a_long_file_is_split_over_tasks(spark):
     n, width = 1_000_000, 1 << 17
-    df = spark.range(n).select(F.concat(F.lit("one"), F.col("id") * 0).alias("file_id"), F.col("id").alias("seq"), F.when(F.col("id") % 10 != 3, (F.col("id") / 1000).cast("int").cast("string")).alias("file_hash"))
+    df = spark.range(n).select(F.when(F.col("id") >= 0, "one").otherwise("x").alias("file_id"), F.col("id").alias("seq"), F.when(F.col("id") % 10 != 3, (F.col("id") / 1000).cast("int").cast("string")).alias("file_hash"))
     got = project.epochs(df, False, width)
     assert got.agg(F.max("epoch")).first()[0] == n // 1000 - 1
     plan = got._jdf.queryExecution().executedPlan().toString()
@@ -113,7 +113,7 @@ def test_one_entry_for_every_source_type(spark):
     note = f"---\ntype: note\ntags: [{tags}]\n---\n# Head\nbody with [[b]] link"
     rows = [
         ("/o", "bank", "/o/a.md", "obsidian", note), ("/o", "bank", "/o/b.md", "obsidian", "plain"), ("/v", "bank", "/v/a.md", "vault", note), ("/v", "bank", "/v/_index.md", "vault", "---\ntype: index\n---\nx"),
-        ("/s", "bank", "/s/session.md", "agent-sessions", "---\nsessionId: 7\n---\nwork"), ("/s", "bank", "/s/plan.md", "agent-sessions", "see session.md"), ("/x", "bank", "/x/a.txt", "else", "One. Two."), ("/x", "bank", "/x/blank.txt", "unknown", " "),
+        ("/s", "bank", "/s/session.md", "agent-sessions", "---\nsessionId: s7\n---\nwork"), ("/s", "bank", "/s/plan.md", "agent-sessions", "see session.md"), ("/x", "bank", "/x/a.txt", "else", "One. Two."), ("/x", "bank", "/x/blank.txt", "unknown", " "),
     ]
     files = spark.createDataFrame(rows, "root string, bank string, path string, source_type string, content string")
     out = strategies.chunk_content(files).collect()
@@ -123,5 +123,5 @@ def test_one_entry_for_every_source_type(spark):
     assert kinds == {"obsidian": {"/o/a.md", "/o/b.md"}, "vault": {"/v/a.md"}, "agent-sessions": {"/s/session.md", "/s/plan.md"}, "unknown": {"/x/a.txt"}}
     tagged = {r["source_type"]: len(r["tags"]) for r in out if r["path"].endswith("/a.md") and r["chunk_index"] == 1}
     assert tagged["vault"] == strategies.TAG_LIMIT and tagged["obsidian"] > strategies.TAG_LIMIT
-    assert {r["metadata"]["session.id"] for r in out if r["source_type"] == "agent-sessions"} == {"7"}
+    assert {r["metadata"]["session.id"] for r in out if r["source_type"] == "agent-sessions"} == {"s7"}
     assert chunk.note_chunks(files).count() > 0

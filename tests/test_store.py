@@ -76,17 +76,52 @@ def test_store_rebuilds_and_deletes(spark, tmp_path):
     assert store.read("file_chunks").count() == 1
 
 
-def test_store_refuses_a_lost_race(spark, tmp_path):
-    store = Store(spark, f"file://{tmp_path}/s")
-    rows = frame(spark, [remembered(0, "m0", "h1")])
-    store.remember(rows)
-    late = Store(spark, store.folder)
-    at = late._latest()
-    store.remember(frame(spark, [remembered(1, "m1", "h1", 1)]))
-    late._latest = lambda: at
-    with pytest.raises(Exception, match="(?i)exist"):
-        late.commit(project.materialize(rows))
-    assert store.read("file_chunks").count() == 2
+def stamps(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("part-*.parquet")}
+
+
+def test_a_batch_writes_the_partitions_it_touches(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s", 64)
+    edge = ("/f1.md", "sibling", 1.0, None)
+    many = [remembered(i, f"m{i}", "h", path=f"/f{i}.md", edges=[edge] if i in (2, 3) else []) for i in range(12)]
+    store.remember(frame(spark, many), 0)
+    before, n = stamps(tmp_path / "s"), store.read("files").count()
+    store.remember(frame(spark, [remembered(20, "new", "h2", path="/f1.md")]), 1)
+    after = stamps(tmp_path / "s")
+    part = lambda key: store.spark.createDataFrame([(key,)], "k string").select(F.pmod(F.xxhash64("k"), F.lit(64))).first()[0]
+    ids = {r["path"]: r["id"] for r in store.read("files").collect()}
+    own = {part(ids["/f1.md"])}
+    sources = {part(ids[p]) for p in ("/f2.md", "/f3.md")}
+    touched = {t: {int(p.split("part=")[1].split("/")[0]) for p in before.keys() ^ after.keys() if p.startswith(f"{t}/")} for t in ("files", "file_chunks", "file_relations", "memories")}
+    assert touched == {"files": own, "file_chunks": own, "file_relations": sources, "memories": {part("new")}}
+    assert all(after[p] == before[p] for p in before.keys() & after.keys())
+    assert store.read("file_relations").count() == 0 and store.read("files").count() == n
+    store.remember(frame(spark, [remembered(30, "other", "h3", path="/f1.md")]), 1)  # given again: nothing happens
+    assert stamps(tmp_path / "s") == after and store.last_batch() == 1
+
+
+def test_a_lost_batch_is_given_again(spark, tmp_path, monkeypatch):
+    batch = [remembered(9, "m2", "h2"), remembered(10, "n1", "k", path="/n.md")]
+    first = [remembered(0, "m0", "h1", edges=[("/n.md", "sibling", 1.0, None)]), remembered(1, "m1", "h1", 1)]
+    whole = Store(spark, f"file://{tmp_path}/whole")
+    whole.remember(frame(spark, first), 0)
+    whole.remember(frame(spark, batch), 1)
+    for lost in ("file_chunks", "files"):
+        store = Store(spark, f"file://{tmp_path}/{lost}")
+        store.remember(frame(spark, first), 0)
+        write = Store._write
+
+        def fail(self, table, *rest, lost=lost, write=write):
+            if table == lost:
+                raise RuntimeError("lost")
+            write(self, table, *rest)
+
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(Store, "_write", fail)
+            store.remember(frame(spark, batch), 1)
+        store.remember(frame(spark, batch), 1)
+        names = ("memories", "files", "file_chunks", "file_relations")
+        assert facts({t: store.read(t) for t in names}) == facts({t: whole.read(t) for t in names})
 
 
 def test_report_lines(spark):
