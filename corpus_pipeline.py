@@ -35,8 +35,12 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes documents up to their source's target, each as often as the mix repeats it."""
-    return mixing.take(docs, quality.score_of(docs, _labels(spark, sf_dir)))
+    """Takes documents up to their source's target, each as often as the mix repeats it; those of better quality sooner.
+
+    The scores come from a classifier fitted on all labelled documents: among those that the stages before have kept hardly a poor one is left to learn from.
+    """
+    known = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return mixing.take(docs, quality.score_column(quality.fit(known, _labels(spark, sf_dir)), spark, F.col("text")))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 A page becomes a sequence of tokens: words score positive, tags negative. All weights are learned from the labelled pages
 of ``html_pages``. A word weighs the chance that a word of its container is content, containers being told by
-their tag and the words of their class, id and role; a tag weighs its log-odds against content at first. Then, as long
-as the best region of a labelled page is not its content, the weights of the tags between the two are
-moved, words staying positive and tags negative. One linear scan finds the contiguous region with the largest sum; inside
+their tag and the words of their class, id and role; a tag weighs its log-odds against content at first, and tags
+with no word between them weigh as much as the heaviest of them. Then, as long as the best region of a labelled page is
+not its content, the weights of the tags between the two are moved, words staying positive and tags negative. One linear scan finds the contiguous region with the largest sum; inside
 it, the text of containers that are more likely no content is left out and the rest is joined block by block.
 """
 
@@ -40,25 +40,59 @@ _ATTR = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|(
 _NAME = re.compile(r"[a-z]+")
 
 
+class Container:
+    """What a container adds to those around it: ``own``, the names that tell it, in groups of which all count or none."""
+
+    __slots__ = ("own", "up", "article")
+
+    def __init__(self, own: tuple[tuple[str, ...], ...], up: Container | None, article: bool):
+        self.own, self.up, self.article = own, up, article
+
+    def hints(self) -> set[str]:
+        """The names of this container and of all around it."""
+        out: set[str] = set()
+        at: Container | None = self
+        while at is not None:
+            out.update(n for group in at.own for n in group)
+            at = at.up
+        return out
+
+
+ROOT = Container((), None, False)
+
+
 class Token(NamedTuple):
-    """A piece of text (``tag`` empty) or a tag; ``hints`` are what its container and those around it are told by."""
+    """A piece of text (``tag`` empty) or a tag, and the container it stands in."""
 
     tag: str
-    hints: frozenset
+    within: Container
     text: str
 
 
-def hints_of(tag: str, attrs: str, inside: frozenset) -> frozenset:
-    """What tells a container: its tag, with ``@article`` inside an article or main element, and the words of its class, id and role."""
-    found = set()
-    if tag not in PLAIN:
-        found.add(tag + ("@article" if "article" in inside or "main" in inside else ""))
+def contained(tag: str, attrs: str, up: Container) -> Container:
+    """The container a tag opens: ``up`` itself, if its name and attributes say nothing.
+
+    A container is told by its tag and by the words of its class, id and role; inside an article or main element both are told apart,
+    by ``@article``. Of a name of several words the first and the last count there together, elsewhere each by itself.
+    """
+    at = "@article" if up.article else ""
+    own = [] if tag in PLAIN else [(tag + at,)]
     if attrs and tag not in ("html", "body", "article", "main"):
         for m in _ATTR.finditer(attrs):
             for name in (m[1] or m[2] or m[3] or "").lower().split():
                 words = _NAME.findall(name)
-                found.update("." + w for w in words[:1] + words[-1:])
-    return inside | found if found else inside
+                ends = ["." + w + at for w in dict.fromkeys(words[:1] + words[-1:])]
+                own += [tuple(ends)] if at and ends else [(e,) for e in ends]
+    article = up.article or tag in ("article", "main")
+    return Container(tuple(own), up, article) if own or article != up.article else up
+
+
+def closing(lower: str, tag: str, start: int) -> int:
+    """Where the next end tag of exactly this name begins; -1 without one."""
+    at = lower.find("</" + tag, start)
+    while at >= 0 and (lower[at + 2 + len(tag) : at + 3 + len(tag)].isalnum() or lower[at + 2 + len(tag) : at + 3 + len(tag)] in ("-", ":")) and at + 2 + len(tag) < len(lower):
+        at = lower.find("</" + tag, at + 2)
+    return at
 
 
 def tokens(page: str) -> list[Token]:
@@ -67,7 +101,7 @@ def tokens(page: str) -> list[Token]:
     Time grows with the page's length: what was searched once to the end without success is not searched again.
     """
     out: list[Token] = []
-    stack: list[tuple[str, frozenset]] = [("", frozenset())]
+    stack: list[tuple[str, Container]] = [("", ROOT)]
     open_at: dict[str, list[int]] = defaultdict(list)
     missing: set[str] = set()
     quoted, at, size = True, 0, len(page)
@@ -91,7 +125,7 @@ def tokens(page: str) -> list[Token]:
             tag, attrs, at = m[1].lower(), m[2], m.end()
             if tag in RAW:
                 out.append(Token(tag, stack[-1][1], ""))
-                close = -1 if tag in missing else lower.find("</" + tag, at)
+                close = -1 if tag in missing else closing(lower, tag, at)
                 if close >= 0:
                     at = page.find(">", close) + 1 or size
                 else:
@@ -99,13 +133,13 @@ def tokens(page: str) -> list[Token]:
                     if tag in ("script", "style"):
                         at = size
                 continue
-            hints = hints_of(tag, attrs, stack[-1][1])
+            hints = contained(tag, attrs, stack[-1][1])
             out.append(Token(tag, hints, ""))
             if tag == "p" and stack[-1][0] == "p":
                 stack.pop()
                 open_at["p"].pop()
-                hints = hints_of(tag, attrs, stack[-1][1])
-            if tag not in VOID and (tag in BLOCK or hints != stack[-1][1]):
+                hints = contained(tag, attrs, stack[-1][1])
+            if tag not in VOID and (tag in BLOCK or hints is not stack[-1][1]):
                 open_at[tag].append(len(stack))
                 stack.append((tag, hints))
             continue
@@ -135,21 +169,55 @@ class Weights(NamedTuple):
 UNSEEN_TAG, MOST_AT_FIRST, LEAST = -0.1, -0.5, 0.01
 
 
-def chance_of(hints: frozenset, chance: dict[str, float]) -> float:
-    """The smallest chance among the hints; without any, a word counts fully."""
-    return min((chance.get(h, 1.0) for h in hints), default=1.0)
-
+def own_chance(box: Container, chance: dict[str, float]) -> float:
+    """The smallest chance among a container's own names.
 
-def scores(found: list[Token], weights: Weights) -> list[float]:
-    held: dict[frozenset, float] = {}
-    out = []
+    A name inside an article that no labelled page has counts as it does elsewhere. Where names count
+    together, one that no page has at all takes the others' word away: a ``share-price`` is no ``share``.
+    """
+    least = 1.0
+    for group in box.own:
+        known = [chance.get(n, chance.get(n.removesuffix("@article"))) for n in group]
+        if None not in known:
+            least = min(least, *known)
+    return least
+
+
+class Chances(dict):
+    """Container → the smallest chance of its own names and of those around it; each is looked at once."""
+
+    def __init__(self, chance: dict[str, float]):
+        self.chance = chance
+
+    def __missing__(self, box: Container) -> float:
+        todo = [box]
+        while todo[-1].up is not None and todo[-1].up not in self:
+            todo.append(todo[-1].up)
+        for b in reversed(todo):
+            own = own_chance(b, self.chance)
+            self[b] = own if b.up is None else min(own, self[b.up])
+        return self[box]
+
+
+def scores(found: list[Token], weights: Weights, held: Chances | None = None) -> list[float]:
+    """A word's chance for each word of a text; for tags in a row the heaviest one's weight, on the first of them."""
+    held = Chances(weights.chance) if held is None else held
+    out: list[float] = []
+    run = -1
     for t in found:
         if t.text:
-            if t.hints not in held:
-                held[t.hints] = max(LEAST, chance_of(t.hints, weights.chance))
-            out.append(len(t.text.split()) * held[t.hints])
+            words = len(t.text.split())
+            out.append(words * max(LEAST, held[t.within]))
+            if words:
+                run = -1
         else:
-            out.append(weights.tags.get(t.tag, UNSEEN_TAG))
+            weight = weights.tags.get(t.tag, UNSEEN_TAG)
+            if run < 0:
+                run = len(out)
+                out.append(weight)
+            else:
+                out[run] = min(out[run], weight)
+                out.append(0.0)
     return out
 
 
@@ -181,20 +249,21 @@ def fit(pages: list[str], rounds: int = 100) -> Weights:
                     found.append(t._replace(text=piece))
                     flags.append(within)
                     if piece:
-                        for h in t.hints:
+                        for h in t.within.hints():
                             (inside if within and not cut else outside)[h] += len(piece.split())
                     else:
                         (tag_in if within else tag_out)[t.tag] += 1
         known.append((found, flags))
     chance = {h: (inside[h] + 0.05) / (inside[h] + outside[h] + 0.1) for h in inside.keys() | outside.keys()}
     tags = {t: min(-0.1, math.log((tag_in[t] + 0.5) / (tag_out[t] + 0.5)) - 0.2) for t in tag_in.keys() | tag_out.keys()}
+    held = Chances(chance)
     weights = Weights(chance, {t: max(MOST_AT_FIRST, w) for t, w in tags.items()})
     for _ in range(rounds):
         moved = False
         for found, flags in known:
-            a, b = best_region(scores(found, weights))
+            a, b = best_region(scores(found, weights, held))
             taken = [a <= i < b for i in range(len(found))]
-            if all(w == f for w, f, t in zip(taken, flags, found, strict=True) if t.text.strip() and chance_of(t.hints, chance) >= 0.5):
+            if all(w == f for w, f, t in zip(taken, flags, found, strict=True) if t.text.strip() and held[t.within] >= 0.5):
                 continue
             moved = True
             for t in {t.tag for t, w, f in zip(found, taken, flags, strict=True) if not t.text and f and not w}:
@@ -212,15 +281,13 @@ WEIGHTS = fit(labelled_pages())
 def extract(page: str | None, weights: Weights = WEIGHTS) -> str:
     """The text of the best region, one block a line."""
     found = tokens(page or "")
-    a, b = best_region(scores(found, weights))
+    chances = Chances(weights.chance)
+    a, b = best_region(scores(found, weights, chances))
     out: list[str] = []
     held: list[str] = []
-    content: dict[frozenset, bool] = {}
     for t in found[a:b]:
         if t.text:
-            if t.hints not in content:
-                content[t.hints] = chance_of(t.hints, weights.chance) >= 0.5
-            if content[t.hints]:
+            if chances[t.within] >= 0.5:
                 held.append(html.unescape(t.text))
         elif t.tag.lstrip("/") in BLOCK:
             out.append(" ".join("".join(held).split()))
