@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from memloom.functions import text
 from memloom.operators.lifecycle import file_block
-from memloom.operators.project import touching
+from memloom.sources.shared import few
 
 BM25_K1, BM25_B = 1.2, 0.75
 
@@ -71,12 +71,13 @@ def first_chunk(chunks: DataFrame) -> DataFrame:
 
 
 def located(found: DataFrame, chunks: DataFrame, files: DataFrame) -> DataFrame:
-    """``found(memory_id, ...)``, a few rows, with its first chunk and that chunk's file; nulls where it has none. Held by Spark's cache."""
-    near = chunks.join(F.broadcast(found.select("memory_id").distinct()), "memory_id", "left_semi")
-    held = found.join(first_chunk(near), "memory_id", "left").cache()
+    """``found(memory_id, ...)`` with its first chunk and that chunk's file; nulls where it has none."""
+    found = few(found)
+    near = chunks.join(found.select("memory_id").distinct(), "memory_id", "left_semi")
+    held = few(found.join(first_chunk(near), "memory_id", "left"))
     named = files.select(F.col("id").alias("file_id"), "path", "source_type", "file_role", "tags", "summary")
-    named = named.join(F.broadcast(held.select("file_id").distinct()), "file_id", "left_semi")
-    return held.join(named, "file_id", "left").cache()
+    named = named.join(held.select("file_id").distinct(), "file_id", "left_semi")
+    return held.join(named, "file_id", "left")
 
 
 def search_files(found: DataFrame, chunks: DataFrame, files: DataFrame, source_type: str | None = None, file_role: str | None = None, relations: DataFrame | None = None, k: int = 5) -> DataFrame:
@@ -86,7 +87,7 @@ def search_files(found: DataFrame, chunks: DataFrame, files: DataFrame, source_t
     whose file does not fit a filter, stay as rows of their own, before the groups. With ``relations`` each row also has
     its file's ``k`` strongest edges, as ``relations``: array of (id, relation_type, strength, description), empty without a file.
     """
-    rows = located(found, chunks, files)
+    rows = few(located(found, chunks, files)) if relations is not None else located(found, chunks, files)
     fits = F.col("path").isNotNull()
     if source_type is not None:
         fits = fits & (F.col("source_type") == source_type)
@@ -172,15 +173,16 @@ def enrich(found: DataFrame, tables: dict[str, DataFrame], k: int = 5) -> DataFr
     memory's own.
     """
     chunks, files, relations = tables["file_chunks"], tables["files"], tables["file_relations"]
-    near = chunks.join(F.broadcast(found.select("memory_id").distinct()), "memory_id", "left_semi")
+    found = few(found)
+    near = chunks.join(found.select("memory_id").distinct(), "memory_id", "left_semi")
     least = F.min_by(F.struct("file_id", F.col("content_hash").alias("chunk_hash")), F.struct("chunk_index", "file_id"))
-    rows = found.join(near.groupBy("memory_id").agg(least.alias("c")).select("memory_id", "c.*"), "memory_id", "left").cache()  # as few rows as were found
-    own = F.broadcast(rows.filter("file_id is not null").select("file_id").distinct())
-    mine = files.join(own.withColumnRenamed("file_id", "id"), "id", "left_semi").cache()
-    every = _edges(own, relations)
+    rows = few(found.join(near.groupBy("memory_id").agg(least.alias("c")).select("memory_id", "c.*"), "memory_id", "left"))
+    own = rows.filter("file_id is not null").select("file_id").distinct()
+    mine = few(files.join(own.withColumnRenamed("file_id", "id"), "id", "left_semi"))
+    every = few(_edges(own, relations))
     count = every.filter("n = 1").select("file_id", F.col("total").alias("related_files_count"))
-    edges = every.filter(F.col("n") <= k).drop("total").cache()  # at most k for each row found
-    ends = F.broadcast(edges.select(F.col("other_id").alias("id")).distinct())
+    edges = every.filter(F.col("n") <= k).drop("total")  # at most k for each row found
+    ends = edges.select(F.col("other_id").alias("id")).distinct()
     others = related(edges, files.join(ends, "id", "left_semi"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("other_id").alias("id"), "path", "summary", "relation", "description"))), lambda x: F.struct(x.id.alias("id"), x.path.alias("path"), x.summary.alias("summary"), x.relation.alias("relation"), x.description.alias("description")))
     others = others.groupBy("file_id").agg(listed.alias("related_files"))

@@ -28,3 +28,9 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     """``df`` written as Parquet and read back: computed once, and safe from lost executors."""
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def few(df: DataFrame, limit: int = 10_000) -> DataFrame:
+    """``df`` computed once: rows held by the plan itself if they are at most ``limit``, so that joins with them are broadcast; more are a written table."""
+    rows = df.limit(limit + 1).collect()
+    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= limit else written(df, new_folder(df.sparkSession, "rows"))
