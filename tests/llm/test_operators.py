@@ -496,7 +496,9 @@ def test_pipeline_against_plain_stages(spark, library):
     label = groups(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])])
     rows = [r for i, r in enumerate(rows) if label[i] == i]
     left = left.filter(F.col("doc_id").isin([r[0] for r in rows]))
-    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left, quality.score_of(left, labels)).collect()}
+    score = quality.score_column(quality.fit(docs, labels), spark, F.col("text"))
+    assert left.select(F.round(score * mixing.LEVELS)).distinct().count() > 1  # weights differ
+    copies = {r["doc_id"]: r["copies"] for r in mixing.mix(left, score).collect()}
     want = Counter()
     for d, t, s in rows:
         ids = library.encode(t or "")
