@@ -12,7 +12,7 @@ from memloom.operators import chunk, evaluate, lifecycle, links, project, retrie
 from memloom.operators.postings import TrigramIndex
 from memloom.operators.recall_index import RecallIndex
 from memloom.plans.corpus import Corpus
-from memloom.sources.files import bounded_walk
+from memloom.sources.files import bounded_walk, listing_changes
 from memloom.sources.shared import new_folder, written
 from memloom.streaming import events
 
@@ -257,6 +257,68 @@ def note_chunks(c: Corpus) -> DataFrame:
     return out.select("path", "chunk_index", "total_chunks", "chunk_hash", "file_role", F.round("importance", 6).alias("importance"), F.array_join("tags", "|").alias("tags"))
 
 
+def _cut_sql(value: str, most: int, depth: int = 0) -> str:
+    """SQL for the pieces of ``value``, cut at blank lines, line ends, spaces, then anywhere; ``depth`` names the variables."""
+    joint, v = ("\n\n", "\n", " ", "")[depth], f"v{depth}"
+    if depth == 3:
+        return f"(CASE WHEN length({value}) <= {most} THEN [{value}] ELSE list_transform(range(0, length({value}), {most}), lambda i: substr({value}, i + 1, {most})) END)"
+    glue = " || ".join("chr(10)" if ch == "\n" else f"'{ch}'" for ch in joint)
+    parts = f"list_filter(flatten(list_transform(string_split({value}, {glue}), lambda {v}: {_cut_sql(v, most, depth + 1)})), lambda q: regexp_matches(q, '[^\\s\\x0B]'))"
+    return f"(CASE WHEN length({value}) <= {most} THEN [{value}] ELSE {_packed(parts, joint, most)} END)"
+
+
+def _packed(pieces: str, joint: str, most: int, least: int = 0, target: int | None = None) -> str:
+    """SQL that joins neighbours of the list ``pieces`` while they stay within the bounds."""
+    room = f"(CASE WHEN least(length(a[-1]), length(x[1])) < {least} THEN {most} ELSE {target or most} END)"
+    glue = " || ".join("chr(10)" if ch == "\n" else f"'{ch}'" for ch in joint)
+    fold = f"list_reduce(list_transform(p, lambda y: [y]), lambda a, x: CASE WHEN length(a[-1]) + {len(joint)} + length(x[1]) <= {room} THEN list_concat(a[1:len(a) - 1], [a[-1] || {glue} || x[1]]) ELSE list_concat(a, x) END)"
+    return f"list_transform([{pieces}], lambda p: CASE WHEN len(p) = 0 THEN []::VARCHAR[] ELSE {fold} END)[1]"
+
+
+def _overlap_sql(chunks: str, most: int, overlap: int) -> str:
+    """SQL that starts each chunk with the end of the one before, where both fit."""
+    tail = f"(CASE WHEN length(c[i - 1]) <= {overlap} THEN c[i - 1] WHEN contains(right(c[i - 1], {overlap}), ' ') THEN substr(right(c[i - 1], {overlap}), strpos(right(c[i - 1], {overlap}), ' ') + 1) ELSE '' END)"
+    own = f"CASE WHEN i > 1 AND regexp_matches({tail}, '[^\\s\\x0B]') AND length({tail}) + 1 + length(c[i]) <= {most} THEN {tail} || ' ' || c[i] ELSE c[i] END"
+    return f"list_transform([{chunks}], lambda c: list_transform(range(1, len(c) + 1), lambda i: {own}))[1]"
+
+
+def _shown(chunks: str) -> str:
+    """SQL that leaves blank chunks out."""
+    return f"list_filter({chunks}, lambda q: regexp_matches(q, '[^\\s\\x0B]'))"
+
+
+def _markdown_sql(value: str) -> str:
+    """SQL for the chunks of a Markdown text of at most 200 characters each: sections, overlapping inside."""
+    sections = f"list_filter(string_split(regexp_replace({value}, '(?m)^(#{{1,6}} )', chr(1) || '\\1', 'g'), chr(1)), lambda z: regexp_matches(z, '[^\\s\\x0B]'))"
+    return _shown(f"flatten(list_transform({sections}, lambda s: {_overlap_sql(_cut_sql('trim(s, chr(10))', 200), 200, 50)}))")
+
+
+_LINES = r"list_filter(string_split({}, chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f]'))"
+_CLEAN = r"regexp_replace(regexp_replace({}, '!?\[\[[^\]|]*\|\s*([^\]\s](?:[^\]]*[^\]\s])?)\s*\]\]', '\1', 'g'), '!?\[\[\s*([^\]|#]*?)\s*(?:#[^\]|]*)?(?:\|[^\]]*)?\]\]', '\1', 'g')"
+VIEWS["note_pieces"] = VIEWS["note_parts"].replace(_LINES.format("body"), _markdown_sql("body"))
+VIEWS["clean_pieces"] = VIEWS["note_parts"].replace(_LINES.format("body"), _markdown_sql(_CLEAN.format("body")))
+
+
+def _chunker_sql() -> str:
+    """Markdown by sections, code by lines, what is no JSON as text, other texts by sentences, within the bounds of their roles."""
+    by = {
+        "md": _markdown_sql("content"),
+        "ts": _overlap_sql(_cut_sql("content", 400), 400, 100),
+        "json": _cut_sql("content", 300),
+        "txt": _overlap_sql(_packed(f"flatten(list_transform(string_split(regexp_replace(regexp_replace(content, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'), '([.!?])[\\s\\x0B]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: {_cut_sql('s', 200)}))", " ", 200, 100, 150), 200, 50),
+    }
+    each = " UNION ALL ".join(f"SELECT path, {sql} AS l FROM docs WHERE regexp_matches(content, '[^\\s\\x0B]') AND path LIKE '%.{ext}'" for ext, sql in by.items())
+    return f"""SELECT path, (i - 1)::INT AS chunk_index, len(l)::INT AS total_chunks, sha256(l[i]) AS chunk_hash, CASE WHEN regexp_matches(l[i], '^#{{1,6}} [^\\n]*') THEN regexp_extract(l[i], '^(#{{1,6}} [^\\n]*)', 1) ELSE path END AS section_header
+      FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, {_shown("l")} AS l FROM ({each})))"""
+
+
+@query("chunker_chunks", _chunker_sql())
+def chunker_chunks(c: Corpus) -> DataFrame:
+    """Every document as an ordinary file, by the chunker of its path, in the bounds of its role."""
+    out = chunk.note_chunks(c.documents().select("bank", "path", F.lit("unknown").alias("source_type"), "content"))
+    return out.select("path", "chunk_index", "total_chunks", "chunk_hash", "section_header")
+
+
 def _session_files(c: Corpus) -> DataFrame:
     conv = F.regexp_extract("path", r"^/sessions/([^/]+)/", 1)
     front = F.when(F.col("path").endswith("/session.md"), F.concat(F.lit("---\nsessionId: s"), conv, F.lit("\n---\n"))).otherwise("")
@@ -273,29 +335,29 @@ _HEAD = "CASE WHEN i = 1 THEN 'frontmatter|metadata|{kind}|' || bank || CASE WHE
 @query(
     "obsidian_chunks",
     f"""SELECT path, (i - 1)::INT AS chunk_index, len(parts)::INT AS total_chunks, sha256(parts[i]) AS chunk_hash, {_HEAD.format(kind='obsidian-note')}, e.edges, CASE WHEN is_index THEN 'index' ELSE 'note' END AS note_type, (doc_id * 2)::VARCHAR AS see_also,
-    to_json(list_filter(l, lambda x, k: list_position(l, x) = k))::VARCHAR AS links FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM note_parts) n
+    to_json(list_filter(l, lambda x, k: list_position(l, x) = k))::VARCHAR AS links FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM note_pieces) n
     JOIN (SELECT doc_id, string_agg('backlink /' || bank || '/' || link || '.md', '|' ORDER BY '/' || bank || '/' || link || '.md') AS edges FROM note_links GROUP BY 1) e USING (doc_id)
     JOIN (SELECT doc_id, list_filter(list_transform(regexp_extract_all(content, '\\[\\[([^\\]|#]*)[^\\]]*\\]\\]', 1), lambda x: trim(x)), lambda x: x <> '') AS l FROM notes) w USING (doc_id)""",
 )
 def obsidian_chunks(c: Corpus) -> DataFrame:
-    """All notes, by lines."""
+    """All notes, by their chunker."""
     notes = c.notes()
     at = lambda k: F.try_element_at("metadata", F.lit(k))
-    out = _strategy(strategies.obsidian_chunks(notes, notes, strategies.lines))
+    out = _strategy(strategies.obsidian_chunks(notes, notes))
     return out.select("*", at("note.type").alias("note_type"), at("note.properties.see_also").alias("see_also"), at("note.wikilinks").alias("links")).drop("metadata")
 
 
 @query(
     "vault_chunks",
-    f"""SELECT path, (i - 1)::INT AS chunk_index, (len(parts))::INT AS total_chunks, sha256(CASE WHEN i = 1 THEN replace(parts[1], 'see_also: ' || (doc_id * 2), 'see_also: [' || chr(39) || (doc_id * 2) || chr(39) || ']') WHEN i = len(parts) THEN 'See next and ' || (doc_id - 20) || ' missing ' || doc_id || ' ' || (doc_id + 20) ELSE parts[i] END) AS chunk_hash,
-    {_HEAD.format(kind='vault-node')}, coalesce(e.edges, '') AS edges, lang AS note_status, '["' || (doc_id * 2) || '"]' AS see_also FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM note_parts WHERE NOT is_index) n
+    f"""SELECT path, (i - 1)::INT AS chunk_index, (len(parts))::INT AS total_chunks, sha256(CASE WHEN i = 1 THEN replace(parts[1], 'see_also: ' || (doc_id * 2), 'see_also: [' || chr(39) || (doc_id * 2) || chr(39) || ']') ELSE parts[i] END) AS chunk_hash,
+    {_HEAD.format(kind='vault-node')}, coalesce(e.edges, '') AS edges, lang AS note_status, '["' || (doc_id * 2) || '"]' AS see_also FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM clean_pieces WHERE NOT is_index) n
     LEFT JOIN (SELECT path, string_agg(DISTINCT t, '|' ORDER BY t) AS edges FROM (SELECT a.path, 'recommendation ' || b.path AS t FROM notes a JOIN notes b ON b.bank = a.bank AND b.doc_id = a.doc_id * 2 AND a.doc_id <> b.doc_id
       UNION ALL SELECT l.path, 'backlink ' || n.path FROM note_links l JOIN notes n ON n.path = '/' || l.bank || '/' || l.link || '.md' WHERE l.path <> n.path) GROUP BY 1) e USING (path)""",
 )
 def vault_chunks(c: Corpus) -> DataFrame:
     notes = c.notes().withColumn("content", F.regexp_replace("content", r"(?m)^see_also: (-?\d+)$", "see_also: ['$1']"))
     at = lambda k: F.try_element_at("metadata", F.lit(k))
-    out = _strategy(strategies.vault_chunks(notes, notes, strategies.lines))
+    out = _strategy(strategies.vault_chunks(notes, notes))
     return out.withColumn("edges", F.coalesce("edges", F.lit(""))).select("*", at("note.status").alias("note_status"), at("note.see_also").alias("see_also")).drop("metadata")
 
 
@@ -304,11 +366,11 @@ def vault_chunks(c: Corpus) -> DataFrame:
     r"""SELECT s.path, (i - 1)::INT AS chunk_index, len(parts)::INT AS total_chunks, sha256(parts[i]) AS chunk_hash, CASE WHEN i = 1 AND s.path LIKE '%/session.md' THEN 'frontmatter|metadata' END AS head_tags, coalesce(edges, '') AS edges, CASE WHEN r.path IS NOT NULL THEN 's' || conv_id ELSE '' END AS session_id FROM (
       SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, list_concat(CASE WHEN path LIKE '%/session.md' THEN ['---' || chr(10) || 'sessionId: s' || conv_id || chr(10) || '---'] ELSE [] END, list_filter(string_split(content, chr(10)), lambda x: regexp_matches(x, '[^ \t\r\f]'))) AS parts FROM sess)) s
     LEFT JOIN (SELECT conv_id, path FROM sess WHERE path LIKE '%/session.md') r USING (conv_id)
-    LEFT JOIN (SELECT path, string_agg(t, '|' ORDER BY t) AS edges FROM (SELECT DISTINCT source_path AS path, relation_type || ' ' || target_path AS t FROM ({companions} UNION ALL {references})) GROUP BY 1) e ON e.path = s.path""".replace("{companions}", "SELECT a.path AS source_path, b.path AS target_path, CASE WHEN b.path LIKE '%/session.md' THEN 'parent_child' ELSE 'sibling' END AS relation_type FROM sess a JOIN sess b USING (conv_id) WHERE a.path <> b.path AND b.path NOT LIKE '%/turns/%' AND EXISTS (SELECT 1 FROM sess s WHERE s.path = a.root || '/session.md')").replace("{references}", r"SELECT a.path, b.path, 'cross_reference' FROM sess a JOIN sess b USING (conv_id) WHERE a.path <> b.path AND EXISTS (SELECT 1 FROM sess s WHERE s.path = a.root || '/session.md') AND (list_contains(regexp_extract_all(a.content, '[\w./~-]+\.[A-Za-z][A-Za-z0-9]*\b'), substr(b.path, length(b.root) + 2)) OR regexp_matches(a.content, '(^|[^\w./-])' || replace(regexp_extract(b.path, '[^/]+$'), '.', '\.') || '($|\W)'))"),
+    LEFT JOIN (SELECT path, string_agg(t, '|' ORDER BY t) AS edges FROM (SELECT DISTINCT source_path AS path, relation_type || ' ' || target_path AS t FROM ({companions} UNION ALL {references})) GROUP BY 1) e ON e.path = s.path""".replace(_LINES.format("content"), _markdown_sql("content")).replace("{companions}", "SELECT a.path AS source_path, b.path AS target_path, CASE WHEN b.path LIKE '%/session.md' THEN 'parent_child' ELSE 'sibling' END AS relation_type FROM sess a JOIN sess b USING (conv_id) WHERE a.path <> b.path AND b.path NOT LIKE '%/turns/%' AND EXISTS (SELECT 1 FROM sess s WHERE s.path = a.root || '/session.md')").replace("{references}", r"SELECT a.path, b.path, 'cross_reference' FROM sess a JOIN sess b USING (conv_id) WHERE a.path <> b.path AND EXISTS (SELECT 1 FROM sess s WHERE s.path = a.root || '/session.md') AND (list_contains(regexp_extract_all(a.content, '[\w./~-]+\.[A-Za-z][A-Za-z0-9]*\b'), substr(b.path, length(b.root) + 2)) OR regexp_matches(a.content, '(^|[^\w./-])' || replace(regexp_extract(b.path, '[^/]+$'), '.', '\.') || '($|\W)'))"),
 )
 def session_chunks(c: Corpus) -> DataFrame:
-    """Session files by lines; ``session.md`` starts with the session's id."""
-    out = _strategy(strategies.session_chunks(_session_files(c), strategies.lines)).withColumn("head_tags", F.when(F.col("path").endswith("/session.md"), F.col("head_tags")))
+    """Session files by their chunker; ``session.md`` starts with the session's id."""
+    out = _strategy(strategies.session_chunks(_session_files(c))).withColumn("head_tags", F.when(F.col("path").endswith("/session.md"), F.col("head_tags")))
     return out.withColumn("session_id", F.try_element_at("metadata", F.lit("session.id"))).drop("metadata")
 
 
@@ -958,3 +1020,29 @@ def event_debounce(c: Corpus) -> DataFrame:
 )
 def event_inflight_dedup(c: Corpus) -> DataFrame:
     return events.in_flight_once(c.events(), "1 hour")
+
+
+_OPS = "CASE WHEN event_id % 11 = 0 THEN 'delete' WHEN event_id % 3 = 0 THEN 'add' ELSE 'change' END"
+
+
+@query(
+    "event_actions",
+    f"""WITH x AS (SELECT user_id::VARCHAR AS path, {_OPS} AS op, ts, 'm' || (event_id % 7) AS m, event_id % 2 AS half FROM events WHERE user_id IS NOT NULL),
+    l AS (SELECT path, arg_max(op, row(ts, op)) AS op FROM x WHERE half = 1 GROUP BY 1),
+    a AS (SELECT DISTINCT x.path, m FROM x JOIN l USING (path) WHERE half = 0), b AS (SELECT DISTINCT x.path, m FROM x JOIN l USING (path) WHERE half = 1 AND l.op <> 'delete')
+    SELECT coalesce(a.path, b.path) AS path, coalesce(a.m, b.m) AS memory_id, CASE WHEN a.path IS NULL THEN 'remember' WHEN b.path IS NULL THEN 'forget' ELSE 'keep' END AS action FROM a FULL JOIN b ON a.path = b.path AND a.m = b.m""",
+)
+def event_actions(c: Corpus) -> DataFrame:
+    """Every second event changes what the others left: memories to remember, keep and forget."""
+    n = F.col("event_id")
+    rows = c.table("events").filter("user_id is not null").select(F.col("user_id").cast("string").alias("path"), F.when(n % 11 == 0, "delete").when(n % 3 == 0, "add").otherwise("change").alias("op"), "ts", F.concat(F.lit("m"), (n % 7).cast("string")).alias("memory_id"), (n % 2).alias("half"))
+    return events.plan(rows.filter("half = 1").select("path", "op", "ts"), rows.filter("half = 0").select("path", "memory_id"), rows.filter("half = 1").select("path", "memory_id"))
+
+
+@query("folder_changes", "SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'add' WHEN b.path IS NULL THEN 'delete' ELSE 'change' END AS op FROM (SELECT path, sha256(content) AS h FROM docs WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT path, CASE WHEN doc_id % 4 = 0 THEN sha256(path) ELSE sha256(content) END AS h FROM docs WHERE doc_id % 5 <> 0) b ON a.path = b.path WHERE a.path IS NULL OR b.path IS NULL OR a.h <> b.h")
+def folder_changes(c: Corpus) -> DataFrame:
+    """Two listings of the documents' files, some only in one, some with another hash."""
+    docs, n = c.documents(), F.col("doc_id")
+    before = docs.filter(F.pmod(n, F.lit(3)) != 0).select("path", F.sha2("content", 256).alias("file_hash"))
+    after = docs.filter(F.pmod(n, F.lit(5)) != 0).select("path", F.when(F.pmod(n, F.lit(4)) == 0, F.sha2("path", 256)).otherwise(F.sha2("content", 256)).alias("file_hash"))
+    return listing_changes(before, after)
