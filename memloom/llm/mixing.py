@@ -10,7 +10,8 @@ The score comes from the row's own text, so weights need no join, at any size.
 No source is sorted in one task. Keys fall into BINS of equal probability for the smallest weight,
 so that of no weight more than ``LEVELS / BINS`` of the documents share a bin; sizes are summed by (source, bin)
 before the shuffle and prefix-summed over bins; only the one bin a budget ends in is ordered row by row, rows
-equal in id and text counted as one entry.
+equal in id and text counted as one entry. What the budget has left before its border document goes to the one entry beyond
+whose words come nearest to it, so that a long document on the border does not decide how near a target is met.
 """
 
 from __future__ import annotations
@@ -101,7 +102,22 @@ def decided(rows: DataFrame) -> DataFrame:
     entry = rows.filter("bin = cut").groupBy("source", "key", "doc_id", "tie", "size", "source_size", "target", "epochs", "budget", "before").agg(F.count("*").alias("n"))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rest = F.col("budget") - F.col("before") - (F.sum(F.col("size") * F.col("n")).over(order) - F.col("size") * F.col("n"))
-    return entry.withColumn("chosen", F.when(F.col("size") > 0, F.least(F.col("n"), F.greatest(F.lit(0), F.floor(rest / F.col("size") + 0.5)))).otherwise(0).cast("long"))
+    return entry.withColumn("chosen", F.when(F.col("size") > 0, F.least(F.col("n"), F.greatest(F.lit(0), F.floor(rest / F.col("size"))))).otherwise(0).cast("long"))
+
+
+def nearest(joined: DataFrame, entries: DataFrame, plan: list[tuple], spark) -> dict:
+    """Source → ``(key, doc_id, tie)`` of the entry beyond the border whose words come nearest to what the budget has left, if that is better than to leave it."""
+    within = entries.groupBy("source").agg(F.sum(F.col("size") * F.col("chosen")).alias("words"), F.min(F.when(F.col("chosen") < F.col("n"), F.struct("key", "doc_id", "tie"))).alias("border"))
+    ends = {r["source"]: (r["words"], r["border"]) for r in within.collect()}  # one row for each source
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    left = [(p[0], float(p[4] - p[6] - ends[p[0]][0]), ends[p[0]][1]) for p in plan if p[0] in ends and p[6] is not None]
+    left = spark.createDataFrame([(s, r, None if b is None else tuple(b)) for s, r, b in left], f"__p string, left double, border struct<key:double,doc_id:{kind},tie:string>")
+    rows = with_plan(joined.filter("bin >= cut and size > 0").select("source", "bin", "cut", "key", "doc_id", "tie", "size"), left, len(plan))
+    beyond = (F.col("bin") > F.col("cut")) | (F.struct("key", "doc_id", "tie") >= F.col("border"))
+    rows = rows.filter(beyond & (F.abs(F.col("left") - F.col("size")) < F.col("left"))).groupBy("source", "key", "doc_id", "tie", "size", "left").agg(F.count("*").alias("n"))
+    off = F.abs(F.col("left") - F.col("size") * F.col("n"))
+    best = rows.filter(off < F.col("left")).groupBy("source").agg(F.min_by(F.struct("key", "doc_id", "tie"), F.struct(off, "key", "doc_id", "tie")).alias("e"))
+    return {r["source"]: tuple(r["e"]) for r in best.collect()}
 
 
 def apart(entries: DataFrame) -> DataFrame:
@@ -120,35 +136,45 @@ def mix(docs: DataFrame, score: Column) -> DataFrame:
     ``docs`` has doc_id, text, source; ``score`` is a column over it between 0 and 1, the quality. ``tie`` is the
     MD5 of the text. Null text has size 0 and takes 0; the null source is one of its own, last in order. A source
     whose words are all 0 has the target 0. Of rows that repeat in every column one may be taken without the other.
-    An empty table gives an empty result, and texts of any length are counted whole. The document a budget ends in is
-    taken if that comes nearer to the target. What reaches the driver is one row for each source.
+    An empty table gives an empty result, and texts of any length are counted whole. Documents are
+    taken in the order of their keys as long as they fit, and one more, the nearest to what is left. What reaches the driver is one row for each source.
     """
-    scratch = Scratch(docs.sparkSession, "mix")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "mix")
     rows, plan = planned(docs, score, scratch)
-    joined = with_plan(rows, docs.sparkSession.createDataFrame(plan, PLAN), len(plan))
+    joined = with_plan(rows, spark.createDataFrame(plan, PLAN), len(plan))
+    entries = scratch.save(decided(joined))
+    extra = nearest(joined, entries, plan, spark)
     out = joined.filter("bin <> cut").withColumn("chosen", (F.col("bin") < F.col("cut")).cast("int"))
-    names = ["doc_id", "size", "source", "source_size", "target", "epochs", "chosen", "tie"]
-    out = out.select(*names).union(apart(decided(joined)).select(*names))
-    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("chosen")).otherwise(0)
+    names = ["doc_id", "size", "source", "source_size", "target", "epochs", "chosen", "tie", "key"]
+    out = out.select(*names).union(apart(entries).select(*names))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    more = spark.createDataFrame([(p[0], extra.get(p[0])) for p in plan], f"__p string, __extra struct<key:double,doc_id:{kind},tie:string>")
+    out = with_plan(out, more, len(plan))
+    chosen = F.when(F.struct("key", "doc_id", "tie").eqNullSafe(F.col("__extra")), 1).otherwise(F.col("chosen"))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + chosen).otherwise(0)
     return out.select("doc_id", "size", "source", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), "tie")
 
 
 def take(docs: DataFrame, score: Column) -> DataFrame:
     """The rows of ``docs`` the mix takes, each as often as it is taken; columns as in ``docs``, ``score`` as in ``mix``.
 
-    A source's choice within its last bin ends at one entry, so a row tells its copies from its own key and its
-    source's plan: texts are never shuffled. Rows equal in id and text are taken alike, as the more of them are.
+    A source's choice within its last bin ends at one entry, and one entry more is named, so a row tells its copies from its own
+    key and its source's plan: texts are never shuffled. Rows equal in id and text are taken alike, as the more of them are.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "take")
     rows, plan = planned(docs, score, scratch)
-    split = decided(with_plan(rows, spark.createDataFrame(plan, PLAN), len(plan)))
+    joined = with_plan(rows, spark.createDataFrame(plan, PLAN), len(plan))
+    split = scratch.save(decided(joined))
+    extra = nearest(joined, split, plan, spark)
     last = split.filter("2 * chosen >= n and chosen > 0").groupBy("source").agg(F.max(F.struct("key", "doc_id", "tie")).alias("last"))
     last = {r["source"]: tuple(r["last"]) for r in last.collect()}  # at most one row for each source
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    ends = spark.createDataFrame([(p[0], p[3], p[5], last.get(p[0])) for p in plan], f"__p string, __epochs int, __cut int, __last struct<key:double,doc_id:{id_type},tie:string>")
+    entry = f"struct<key:double,doc_id:{id_type},tie:string>"
+    ends = spark.createDataFrame([(p[0], p[3], p[5], last.get(p[0]), extra.get(p[0])) for p in plan], f"__p string, __epochs int, __cut int, __last {entry}, __extra {entry}")
     placed = with_plan(keyed(docs.withColumn("__tie", digest()).withColumn("__score", score), F.col("__score"), "__tie"), ends, len(plan))
-    upto = F.struct(F.col("__key").alias("key"), F.col("doc_id"), F.col("__tie").alias("tie")) <= F.col("__last")
-    chosen = F.when(F.col("__bin") < F.col("__cut"), 1).when((F.col("__bin") == F.col("__cut")) & upto, 1).otherwise(0)
+    own = F.struct(F.col("__key").alias("key"), F.col("doc_id"), F.col("__tie").alias("tie"))
+    chosen = F.when(F.col("__bin") < F.col("__cut"), 1).when((F.col("__bin") == F.col("__cut")) & (own <= F.col("__last")), 1).when(own.eqNullSafe(F.col("__extra")), 1).otherwise(0)
     copies = F.when(F.col("text").rlike(WORD), F.col("__epochs") + chosen).otherwise(0)
     return placed.withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
