@@ -13,6 +13,7 @@ read again. Candidates come from the rarest trigrams first.
 
 from __future__ import annotations
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,8 +78,9 @@ class TrigramIndex:
         """Live ``(gram, id, at)``, of ``grams`` alone if they are given."""
         rows = self._read("postings")
         if grams is not None:
-            # the slots as plain numbers, so that other folders are not even listed for reading
-            slots = [r[0] for r in self.spark.createDataFrame([(g,) for g in grams], "g string").select(self._slot(F.col("g"))).distinct().collect()]
+            # the slots as plain numbers, so that other folders are not read; the hash is Spark's, which counts as signed
+            hashed = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+            slots = sorted({(h - (h >> 63 << 64)) % self.slots for h in hashed})
             rows = rows.filter(F.col("slot").isin(slots) & F.col("gram").isin(grams))
         return rows.join(self.heads().select("id", "batch"), ["id", "batch"], "left_semi").select("gram", "id", "at")
 
