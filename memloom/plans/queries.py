@@ -374,6 +374,26 @@ def session_chunks(c: Corpus) -> DataFrame:
     return out.withColumn("session_id", F.try_element_at("metadata", F.lit("session.id"))).drop("metadata")
 
 
+_SESSION_PARTS = "list_concat(CASE WHEN path LIKE '%/session.md' THEN ['---' || chr(10) || 'sessionId: s' || conv_id || chr(10) || '---'] ELSE [] END, " + _markdown_sql("content") + ")"
+_EACH = "SELECT path, (i - 1)::INT AS chunk_index, len(parts)::INT AS total_chunks, sha256(parts[i]) AS chunk_hash, '{}' AS source_type FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM ({}))"
+
+
+@query(
+    "chunk_content",
+    " UNION ALL ".join([
+        _EACH.format("obsidian", "SELECT path, parts FROM note_pieces WHERE doc_id % 2 = 0"), _EACH.format("vault", "SELECT path, parts FROM clean_pieces WHERE doc_id % 2 = 1 AND NOT is_index"),
+        _EACH.format("agent-sessions", f"SELECT path, {_SESSION_PARTS} AS parts FROM sess"), f"SELECT path, chunk_index, total_chunks, chunk_hash, 'unknown' FROM ({_chunker_sql()})",
+    ]),
+)
+def chunk_content(c: Corpus) -> DataFrame:
+    """Notes, a vault, sessions and other files through the one entry that routes them."""
+    n = F.pmod("doc_id", F.lit(2))
+    notes = c.notes().select("root", "bank", "path", F.when(n == 0, "obsidian").otherwise("vault").alias("source_type"), "content")
+    sessions = _session_files(c).select(F.lit("/sessions").alias("root"), "bank", "path", F.lit("agent-sessions").alias("source_type"), "content")
+    others = c.documents().select(F.lit("/").alias("root"), "bank", "path", F.lit("else").alias("source_type"), "content")
+    return strategies.chunk_content(notes.unionByName(sessions).unionByName(others)).select("path", "chunk_index", "total_chunks", "chunk_hash", "source_type")
+
+
 @query(
     "contract_wire",
     r"""SELECT s.path AS file_path, (i - 1)::INT AS chunk_index, len(parts)::INT AS total_chunks, sha256(parts[i]) AS chunk_hash, CASE WHEN r.path IS NOT NULL THEN 'session-s' || conv_id END AS unit, 5 AS n_extra FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (

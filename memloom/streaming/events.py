@@ -7,7 +7,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from memloom.streaming import state
 
 GAP, LATE = "3 seconds", "10 minutes"
 
@@ -38,20 +39,12 @@ def in_flight_once(events: DataFrame, span: str = "3 seconds") -> DataFrame:
     """``(path, op, ts)``: an event opens a flight of ``span``; the path's further events are dropped until it ends, then the next one opens.
 
     On tables events are taken in order of time, of equal moments the smallest name first; on streams in the order in which
-    they arrive, by batches in order of time. So both agree where events arrive in order. Tables go through
-    a sort within partitions by path, and hold one path's flight at a time.
+    they arrive, by batches in order of time. So both agree where events arrive in order. Events without a path or a time are
+    left out. Tables go through a sort within partitions by path, and hold one path's flight at a time; streams keep a path's
+    flight until it ends (``state.flights``).
     """
-    rows = events.select("path", "op", "ts")
     if events.isStreaming:
-
-        def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-            until = {key[0]: pd.Timestamp(state.get[0], unit="us")} if state.exists else {}
-            table = pd.concat(list(batches)).sort_values(["ts", "op"])
-            out = table[opened(table["path"], table["ts"], until, pd.Timedelta(span))]
-            state.update((until[key[0]].value // 1000,))
-            yield out
-
-        return rows.groupBy("path").applyInPandasWithState(follow, "path string, op string, ts timestamp", "until long", "append", GroupStateTimeout.NoTimeout)
+        return state.flights(events, span)
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         until: dict = {}
@@ -61,7 +54,7 @@ def in_flight_once(events: DataFrame, span: str = "3 seconds") -> DataFrame:
             until = {last: until[last]} if last in until else {}
             yield table[keep]
 
-    known = rows.filter("path is not null and ts is not null")
+    known = events.select("path", "op", "ts").filter("path is not null and ts is not null")
     return known.repartition("path").sortWithinPartitions("path", "ts", "op").mapInPandas(first, "path string, op string, ts timestamp")
 
 
