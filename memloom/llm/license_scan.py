@@ -55,10 +55,11 @@ _APACHE_HEADER = (
 )
 #: Known licences, whole texts. Variants of one licence share its id.
 LICENSES = [
-    ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("MIT-0", _MIT.replace(", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")),
+    ("MIT", _MIT), ("MIT", "MIT License\n\n" + _MIT), ("MIT", "The MIT License (MIT)\n\n" + _MIT), ("MIT", "The MIT License\n\n" + _MIT), ("MIT", "MIT License (MIT)\n\n" + _MIT), ("MIT-0", _MIT.replace(", subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", ".")),
     ("ISC", _ISC + "\n\n" + _ISC_WARRANTY), ("ISC", "ISC License\n\n" + _ISC + "\n\n" + _ISC_WARRANTY), ("0BSD", _ISC.replace(", provided that the above copyright notice and this permission notice appear in all copies", "") + "\n\n" + _ISC_WARRANTY),
     ("BSD-2-Clause", _BSD_HEAD + _BSD_1 + _BSD_2 + _BSD_WARRANTY), ("BSD-2-Clause", f"{_BSD_HEAD}1. {_BSD_1}2. {_BSD_2}{_BSD_WARRANTY}"),
     ("BSD-3-Clause", _BSD_HEAD + _BSD_1 + _BSD_2 + _BSD_3 + _BSD_WARRANTY), ("BSD-3-Clause", f"{_BSD_HEAD}1. {_BSD_1}2. {_BSD_2}3. {_BSD_3}{_BSD_WARRANTY}"),
+    ("BSD-2-Clause", f"BSD 2-Clause License\n\n{_BSD_HEAD}1. {_BSD_1}2. {_BSD_2}{_BSD_WARRANTY}"), ("BSD-3-Clause", f"BSD 3-Clause License\n\n{_BSD_HEAD}1. {_BSD_1}2. {_BSD_2}3. {_BSD_3}{_BSD_WARRANTY}"),
     ("Apache-2.0", _APACHE_HEADER),
 ]
 #: One-line notices.
@@ -86,16 +87,17 @@ DIGESTS = [
     ("Artistic-1.0-Perl", "e963bc30f4d3c45f45030c34409ee37315564625649c1394e32bb5ddd99e01b2"),
 ]
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-PUNCTUATION = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
-#: A copyright notice at the start of a line, up to the line's end, or to a known opening in texts folded to one line.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright |\(c\)|©|all rights reserved)[^\n]*?(\n|$|permission is hereby granted|permission to use, copy|redistribution and use in)"
+#: ASCII other than letters and digits, the Unicode block of general punctuation (quotes, dashes, spaces), and the no-break and ideographic space.
+PUNCTUATION = r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f\x{00a0}\x{2000}-\x{206f}\x{3000}]+"
+#: A copyright notice at the start of a line, behind marks of a comment or not, up to the line's end, or to a known opening in texts folded to one line.
+COPYRIGHT_LINE = r"(^|\n)[ \t*#;/!%-]*(copyright |portions copyright |\(c\)|©|all rights reserved)[^\n]*?(\n|$|permission is hereby granted|permission to use, copy|redistribution and use in)"
 #: Words after "copyright" that make it part of a sentence.
 BODY_WORDS = ["notice", "holder", "owner", "license", "law", "statement", "and", "or"]
 BODY = "copyright[ \\t\\n]+(" + "|".join(BODY_WORDS) + ")"
 
 
 def canonical(text: Column) -> Column:
-    """Lower case (A-Z), no copyright lines, one spelling, ASCII punctuation and white space as single spaces."""
+    """Lower case (A-Z), no copyright lines, one spelling, punctuation and white space as single spaces."""
     out = F.replace(F.translate(text, UPPER, UPPER.lower()), F.lit("\n"), F.lit("\n\n"))
     out = F.regexp_replace(out, BODY, "copyright_$1")
     out = F.regexp_replace(out, COPYRIGHT_LINE, " $3")

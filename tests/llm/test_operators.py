@@ -342,6 +342,29 @@ def test_every_known_licence_is_found_rewritten(spark):
     assert [got[i] for i in range(len(rows))] == [name for name, _ in license_scan.LICENSES]
 
 
+def test_licences_as_files_hold_them(spark):
+    """In comments, with other titles, quotes, spaces and copyright lines; a changed word is another text."""
+    mit = license_scan.LICENSES[0][1]
+    head = "Copyright (c) 2020 A. Person\n\n"
+    comment = lambda mark, text: "\n".join(f"{mark} {line}" for line in text.split("\n"))
+    texts = [
+        comment(" *", head + mit), comment("#", head + mit), comment("//", "MIT License\n\n" + head + mit), comment("--", head + mit), "Portions Copyright 1999 B\n" + head + mit, "The MIT License\n\n" + head + mit,
+        head + mit.replace(" ", "\u00a0", 40), (head + mit).replace('"Software"', "\u201cSoftware\u201d").replace("and/or", "and\u2009/\u2009or"), "MIT Licence\n" + head + mit.replace("sublicense", "sub-licence"),
+    ]
+    rows = list(enumerate([*texts, head + mit.replace("free of charge", "for a charge"), comment("*", mit) + " and more"]))
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert [got[i] for i in range(len(rows))] == ["MIT"] * len(texts) + [None, None]
+    import duckdb
+
+    from memloom.llm.queries import ORACLE
+
+    con = duckdb.connect()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841  read by the SQL
+    con.register("documents", documents)
+    names = [d[0] for d in con.execute(ORACLE["op10_license_scan"]).description]
+    assert {r[names.index("doc_id")]: r[names.index("license")] for r in con.execute(ORACLE["op10_license_scan"]).fetchall()} == got
+
+
 @pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
 def test_long_licences(spark):
     files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
