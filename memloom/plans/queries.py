@@ -14,6 +14,7 @@ from memloom.operators.recall_index import RecallIndex
 from memloom.plans.corpus import Corpus
 from memloom.sources.files import bounded_walk, listing_changes
 from memloom.sources.shared import new_folder, written
+from memloom.sources.store import Store
 from memloom.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -611,24 +612,48 @@ def remember_batch(c: Corpus) -> DataFrame:
     return project.deduplicated(c.remembered())
 
 
-@query(
-    "materialize_files",
-    """SELECT id, path, coalesce(source_type, 'unknown') AS source_type, file_role, file_hash, language, total_chunks, 'indexed' AS status, tags, doc FROM (SELECT file_id AS id, any_value(path) AS path, arg_max(CASE WHEN source_type <> 'unknown' THEN source_type END, seq) AS source_type, arg_max(file_role, seq) AS file_role,
+_FILES = """SELECT id, path, coalesce(source_type, 'unknown') AS source_type, file_role, file_hash, language, total_chunks, 'indexed' AS status, tags, doc FROM (SELECT file_id AS id, any_value(path) AS path, arg_max(CASE WHEN source_type <> 'unknown' THEN source_type END, seq) AS source_type, arg_max(file_role, seq) AS file_role,
     arg_max(file_hash, seq) AS file_hash, arg_max(lang, seq) AS language, arg_max(doc_id, seq)::VARCHAR AS doc FROM rows_ GROUP BY 1) LEFT JOIN (SELECT file_id AS id, count(DISTINCT memory_id)::INT AS total_chunks FROM latest GROUP BY 1) USING (id)
     LEFT JOIN (SELECT file_id AS id, string_agg(tag, '|' ORDER BY at_) AS tags FROM (SELECT file_id, tag, min(at_) AS at_ FROM (SELECT file_id, 'lang-' || lang AS tag, seq * 2 AS at_ FROM rows_ UNION ALL SELECT file_id, bank, seq * 2 + 1 FROM rows_) GROUP BY 1, 2) GROUP BY 1) USING (id)
-    UNION ALL SELECT DISTINCT target_id, target_path, 'unknown', NULL, NULL, NULL, 0, 'pending', '', NULL FROM rows_ WHERE target_id NOT IN (SELECT file_id FROM rows_)""",
-)
+    UNION ALL SELECT DISTINCT target_id, target_path, 'unknown', NULL, NULL, NULL, 0, 'pending', '', NULL FROM rows_ WHERE target_id NOT IN (SELECT file_id FROM rows_)"""
+
+
+@query("materialize_files", _FILES)
 def materialize_files(c: Corpus) -> DataFrame:
     out = project.materialize(c.remembered())["files"]
     return out.select("id", "path", "source_type", "file_role", "file_hash", "language", "total_chunks", "status", F.array_join("tags", "|").alias("tags"), F.try_element_at("metadata", F.lit("doc")).alias("doc"))
 
 
-@query("materialize_chunks", "SELECT 'fc_' || file_id || '_' || memory_id AS id, file_id, memory_id, arg_max(chunk_index, seq)::INT AS chunk_index, (arg_max(chunk_index, seq) + 1)::INT AS start_line, arg_max(chunk_hash, seq) AS content_hash, 'doc ' || arg_max(doc_id, seq) AS unit FROM latest GROUP BY 2, 3")
+_CHUNKS = "SELECT 'fc_' || file_id || '_' || memory_id AS id, file_id, memory_id, arg_max(chunk_index, seq)::INT AS chunk_index, (arg_max(chunk_index, seq) + 1)::INT AS start_line, arg_max(chunk_hash, seq) AS content_hash, 'doc ' || arg_max(doc_id, seq) AS unit FROM latest GROUP BY 2, 3"
+
+
+@query("materialize_chunks", _CHUNKS)
 def materialize_chunks(c: Corpus) -> DataFrame:
     out = project.materialize(c.remembered())["file_chunks"]
     return out.select("id", "file_id", "memory_id", "chunk_index", "start_line", "content_hash", F.col("parent_unit_summary").alias("unit"))
 
 
+def _stored(c: Corpus) -> Store:
+    """A store after two batches, the second one given twice: files of even numbers, then of odd ones."""
+    store = Store(c.spark, new_folder(c.spark, "store"), 2)
+    rows = c.remembered().withColumn("importance", F.lit(0.5))
+    half = F.pmod(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long"), F.lit(2))
+    for n, part in ((0, half == 0), (1, half == 1), (1, half == 1)):
+        store.remember(rows.filter(part), n)
+    return store
+
+
+@query("store_chunks", _CHUNKS)
+def store_chunks(c: Corpus) -> DataFrame:
+    return _stored(c).read("file_chunks").select("id", "file_id", "memory_id", "chunk_index", "start_line", "content_hash", F.col("parent_unit_summary").alias("unit"))
+
+
+@query("store_files", _FILES)
+def store_files(c: Corpus) -> DataFrame:
+    rows = _stored(c).read("files")
+    return rows.select("id", "path", "source_type", "file_role", "file_hash", "language", "total_chunks", "status", F.array_join("tags", "|").alias("tags"), F.try_element_at("metadata", F.lit("doc")).alias("doc"))
+
+
 _SINCE = "SELECT file_id, min(seq) AS since FROM latest WHERE e > 0 GROUP BY 1"
 
 
