@@ -61,7 +61,7 @@ def test_a_question_reads_its_own_slots(spark, tmp_path):
     assert len(slots) > 1  # other slots exist
     for g in ("aba", "Ä😀b", "md ", "  x"):
         slot = spark.range(1).select(index._slot(F.lit(g))).first()[0]
-        assert f"(slot#{slot}" not in plan and index.postings([g])._jdf.queryExecution().optimizedPlan().toString().count(f"= {slot})") >= 1
+        assert index.postings([g])._jdf.queryExecution().optimizedPlan().toString().count(f"= {slot})") >= 1
 
 
 @pytest.mark.parametrize("size", [patterns.CHARACTERS, 400])
