@@ -161,6 +161,8 @@ def take(docs: DataFrame, score: Column) -> DataFrame:
 
     A source's choice within its last bin ends at one entry, and one entry more is named, so a row tells its copies from its own
     key and its source's plan: texts are never shuffled. Rows equal in id and text are taken alike, as the more of them are.
+    Null texts and texts without words are never taken; null ids and the null source take part like any other. Texts of any
+    length are counted whole, columns may have any names, and an empty table gives an empty one.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "take")
@@ -173,8 +175,9 @@ def take(docs: DataFrame, score: Column) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     entry = f"struct<key:double,doc_id:{id_type},tie:string>"
     ends = spark.createDataFrame([(p[0], p[3], p[5], last.get(p[0]), extra.get(p[0])) for p in plan], f"__p string, __epochs int, __cut int, __last {entry}, __extra {entry}")
-    placed = with_plan(keyed(docs.withColumn("__tie", digest()).withColumn("__score", score), F.col("__score"), "__tie"), ends, len(plan))
-    own = F.struct(F.col("__key").alias("key"), F.col("doc_id"), F.col("__tie").alias("tie"))
+    whole = docs.select(F.struct("*").alias("doc"), "doc_id", "source", digest().alias("tie"), score.alias("score"), F.col("text").rlike(WORD).alias("words"))
+    placed = with_plan(keyed(whole, F.col("score"), "tie"), ends, len(plan))
+    own = F.struct(F.col("__key").alias("key"), "doc_id", "tie")
     chosen = F.when(F.col("__bin") < F.col("__cut"), 1).when((F.col("__bin") == F.col("__cut")) & (own <= F.col("__last")), 1).when(own.eqNullSafe(F.col("__extra")), 1).otherwise(0)
-    copies = F.when(F.col("text").rlike(WORD), F.col("__epochs") + chosen).otherwise(0)
-    return placed.withColumn("__n", copies).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = F.when(F.col("words"), F.col("__epochs") + chosen).otherwise(0)
+    return placed.select("doc", copies.alias("n")).filter("n > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc.*")

@@ -146,5 +146,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` of good quality; columns as in ``docs``."""
-    return docs.withColumn("__score", score_of(docs, labels)).filter(F.col("__score") >= CUT).drop("__score")
+    """The rows of ``docs`` of good quality; columns as in ``docs``, whatever their names.
+
+    Null and empty texts get the vote of the neighbours of a text without terms, long ones are read whole, repeated rows
+    stay or go together, and null ids and sources decide nothing. Without labels every row stays; an empty table gives an empty one.
+    """
+    return docs.filter(score_of(docs, labels) >= CUT)

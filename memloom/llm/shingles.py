@@ -126,16 +126,26 @@ def likely(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": found[:, 0], "b": found[:, 1]})
 
 
-def likely_pairs(placed: DataFrame, sizes: DataFrame, known: DataFrame) -> DataFrame:
+def once(found: DataFrame) -> DataFrame:
+    """One row per key of ``found(key, times, ...)``, whose rows of one key are equal; only keys of several rows are shuffled."""
+    return found.filter("times = 1").union(found.filter("times > 1").dropDuplicates(["key"]))
+
+
+def sketched(keys: DataFrame, known: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(key, n, sketch)`` of the texts of ``keys(key)``: ``known(key, row, times)`` names a row of each, ``rows`` holds its sketch."""
+    asked = scratch.save(known.join(few(keys), "key", "left_semi").select("key", "row", "times"))
+    return once(rows.select("key", "row", "n", "sketch").join(few(asked), ["key", "row"])).select("key", "n", "sketch")
+
+
+def likely_pairs(placed: DataFrame, sizes: DataFrame, known: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``(a, b)``: the likely pairs of ``placed(segment, key, root)`` in the segments of ``sizes(segment, size)``, block by block."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = placed.join(few(sizes), "segment").withColumn("of", blocks)
-    own = rows.select("key").distinct()
-    facts = known.join(few(own), "key", "left_semi").select("key", "n", "sketch")
-    rows = rows.join(facts, "key").withColumn("at", F.pmod(F.xxhash64("key"), F.col("of")).cast("int"))
+    met = placed.join(few(sizes), "segment").withColumn("of", blocks)
+    facts = sketched(met.select("key").distinct(), known, rows, scratch)
+    met = met.join(facts, "key").withColumn("at", F.pmod(F.xxhash64("key"), F.col("of")).cast("int"))
     base = ["segment", "key", "root", "n", "sketch"]
-    first = rows.select(*base, F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("of") - 1)).alias("j"), F.lit(True).alias("first"))
-    second = rows.select(*base, F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.lit(False).alias("first"))
+    first = met.select(*base, F.col("at").alias("i"), F.explode(F.sequence(F.col("at"), F.col("of") - 1)).alias("j"), F.lit(True).alias("first"))
+    second = met.select(*base, F.explode(F.sequence(F.lit(0), F.col("at"))).alias("i"), F.col("at").alias("j"), F.lit(False).alias("first"))
 
     def one(table: pd.DataFrame) -> pd.DataFrame:
         return likely(table[table["first"]], table[~table["first"]])
@@ -149,8 +159,11 @@ def similar(a: bytes, b: bytes) -> bool:
     return OF * both >= LEAST * (len(x) + len(y) - both)
 
 
-def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The ``pairs(a, b)`` that have the least similarity; ``known(key, row, times, n, sketch)`` and ``texts(row, text)`` hold each text once at least."""
+def _verified(pairs: DataFrame, known: DataFrame, rows: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The ``pairs(a, b)`` that have the least similarity; ``known`` and ``rows`` as for ``sketched``, ``texts(row, text)`` holds each text once at least.
+
+    Sets move once for each link, and those of the links' smaller ends once more.
+    """
 
     @F.pandas_udf("boolean")
     def near(x: pd.Series, n: pd.Series, y: pd.Series, m: pd.Series) -> pd.Series:
@@ -165,15 +178,16 @@ def _verified(pairs: DataFrame, known: DataFrame, texts: DataFrame, scratch: Scr
         return pd.Series([shingles(words(t)).tobytes() for t in texts], dtype=object)
 
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    known = scratch.save(known.join(few(ends), "key", "left_semi"))
-    found = pairs.join(known.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), "a").filter("n > 0")
-    found = found.join(known.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
+    signed = scratch.save(sketched(ends, known, rows, scratch))
+    found = pairs.join(signed.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("sketch").alias("x")), "a").filter("n > 0")
+    found = found.join(signed.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y")), "b")
     found = scratch.save(found.filter(f"{LEAST} * greatest(n, m) <= {OF} * least(n, m)").filter(near("x", "n", "y", "m")).select("a", "b"))
     asked = scratch.save(known.select("key", "row", "times").join(found.select(F.col("a").alias("key")).union(found.select("b")).distinct(), "key"))
     sets = texts.join(few(asked), "row").select("row", "key", "times", pack("text").alias("held"))
-    sets = scratch.save(sets.filter("times = 1").union(sets.filter("times > 1").dropDuplicates(["row"])).select("key", "held"))
-    held = found.join(sets.select(F.col("key").alias("a"), F.col("held").alias("x")), "a")
-    held = held.join(sets.select(F.col("key").alias("b"), F.col("held").alias("y")), "b")
+    sets = scratch.save(once(sets).select("key", "held"))
+    heads = sets.join(few(found.select(F.col("a").alias("key")).distinct()), "key", "left_semi")
+    held = found.join(sets.select(F.col("key").alias("b"), F.col("held").alias("y")), "b")
+    held = held.join(heads.select(F.col("key").alias("a"), F.col("held").alias("x")), "a")
     return scratch.save(held.filter(udf("x", "y")).select("a", "b"))
 
 
@@ -195,7 +209,7 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
 
     rows = scratch.save(docs.select(F.col(id_col).alias("id"), row.alias("row"), signs(F.col(text_col)).alias("c")).select("id", "row", "c.*"))
     texts = docs.select(row.alias("row"), F.col(text_col).alias("text"))
-    known = scratch.save(rows.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("sketch").alias("sketch")))
+    known = scratch.save(rows.groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("fp").alias("fp")))
 
     prints = scratch.save(known.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key")))
     near = simhash_links(prints.select("fp"), scratch)
@@ -207,12 +221,12 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
     shared = scratch.save(cuts.groupBy("segment").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter("a <> z").select("segment", "a"))
     met = scratch.save(cuts.join(few(shared), "segment").select("segment", "key", "a").distinct())
     stars = scratch.save(met.filter("a <> key").select("a", F.col("key").alias("b")).union(alike).distinct())
-    edges = _verified(stars, known, texts, scratch)
+    edges = _verified(stars, known, rows, texts, scratch)
     label = components(edges, scratch).select(F.col("node").alias("key"), "label")
     placed = met.join(label, "key", "left").select("segment", "key", F.coalesce("label", "key").alias("root"))
     split = placed.groupBy("segment").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).filter("low <> high")
     split = scratch.save(split.select("segment", "size"))
-    hot = scratch.save(likely_pairs(placed, split.filter(F.col("size") > HOT), known))
+    hot = scratch.save(likely_pairs(placed, split.filter(F.col("size") > HOT), known, rows, scratch))
     placed = scratch.save(placed.join(split.filter(F.col("size") <= HOT).select("segment"), "segment", "left_semi"))
     roots = placed.select("segment", "root").distinct()
     cross = roots.withColumnRenamed("root", "r").join(roots.withColumnRenamed("root", "s"), "segment").filter("r < s")
@@ -220,7 +234,7 @@ def rooted(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> Dat
     cross = cross.join(placed.select("segment", F.col("root").alias("s"), F.col("key").alias("q")), ["segment", "s"])
     pairs = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).union(hot).distinct()
     pairs = scratch.save(pairs.join(stars, ["a", "b"], "left_anti"))
-    edges = scratch.save(edges.union(_verified(pairs, known, texts, scratch)))
+    edges = scratch.save(edges.union(_verified(pairs, known, rows, texts, scratch)))
     label = components(edges, scratch).select(F.col("node").alias("key"), "label")
     return rows.join(label, "key", "left").select("id", "row", F.coalesce("label", "key").alias("root"))
 

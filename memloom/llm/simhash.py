@@ -147,11 +147,16 @@ def one_of_each(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame
     firsts = rows.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     many = rows.join(firsts.filter("n > 1").select("root", "first"), "root")
     many = scratch.save(many.groupBy("row").agg(F.max((F.col("row") == F.col("first.row")).cast("int")).alias("stays"), F.count("*").alias("times")))
-    gone = many.filter("stays = 0").select(F.col("row").alias("__row"))
-    repeated = many.filter("stays = 1 and times > 1").select(F.col("row").alias("__row"))
-    marked = docs.withColumn("__row", whole_row(docs))
-    single = marked.join(few(gone.union(repeated)), "__row", "left_anti").drop("__row")
-    return single.union(marked.join(few(repeated), "__row", "left_semi").dropDuplicates(["__row"]).drop("__row"))
+    name = "row"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = many.filter("stays = 0").select(F.col("row").alias(name))
+    repeated = many.filter("stays = 1 and times > 1").select(F.col("row").alias(name))
+    marked = docs.withColumn(name, whole_row(docs))
+    single = marked.join(few(gone.union(repeated)), name, "left_anti")
+    again = marked.join(few(repeated), name, "left_semi").dropDuplicates([name])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return single.select(*own).union(again.select(*own))
 
 
 def few(keys: DataFrame) -> DataFrame:

@@ -266,6 +266,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not toxic; columns as in ``docs``."""
-    net = fit(docs, labels)
-    return docs.withColumn("__score", score_column(net, docs.sparkSession, F.col("text"))).filter(F.col("__score") < CUT).drop("__score")
+    """The rows of ``docs`` that are not toxic; columns as in ``docs``, whatever their names.
+
+    Null and empty texts score what no word scores, long ones are read whole, repeated rows stay or go together, and
+    null ids and sources decide nothing. Without labels every row stays; an empty table gives an empty one.
+    """
+    return docs.filter(score_column(fit(docs, labels), docs.sparkSession, F.col("text")) < CUT)

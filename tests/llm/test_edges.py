@@ -56,6 +56,22 @@ def test_stages_keep_the_columns(spark, odd, labels):
     assert sorted(r["doc_id"] or 0 for r in simhash.keep_one(odd).collect()) == [1, 4, 5, 6]
 
 
+def test_stages_keep_columns_of_any_name(spark, labels):
+    from memloom.llm import shingles
+
+    names = ["__score", "__row", "row", "Row_", "__n", "__copy", "__key", "__bin", "__tie", "__cut", "__p", "__last", "tie", "doc", "words", "n", "col", "key", "n.b"]
+    docs = documents(spark, [(i, t, "a") for i, t in ((1, GOOD), (1, GOOD), (2, GOOD), (3, BAD), (4, RUDE), (None, None))])
+    wide = docs.select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    score, none_known = F.when(F.col("text") == GOOD, 0.9).otherwise(0.2), labels.limit(0)
+    stages = (lambda d: toxicity.reject(d, none_known), lambda d: quality.keep(d, none_known), simhash.keep_one, shingles.keep_one, lambda d: mixing.take(d, score))
+    for stage in stages:
+        got = stage(wide)
+        assert got.columns == wide.columns
+        rows = got.collect()
+        assert rows and all(r[n] == f"own {n}" for r in rows for n in names)
+        assert sorted(map(str, (r["doc_id"] for r in rows))) == sorted(map(str, (r["doc_id"] for r in stage(docs).collect())))
+
+
 def test_keep_one(spark):
     df = documents(spark, [(3, GOOD, "a"), (1, GOOD, "a"), (1, GOOD, "a"), (2, None, "a"), (9, "", "a"), (None, BAD, "a"), (None, BAD, "a")])
     assert sorted(((r["doc_id"] or 0) for r in simhash.keep_one(df).collect())) == [0, 1, 2]
