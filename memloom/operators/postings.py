@@ -26,8 +26,8 @@ ROUNDS = 3
 
 def grams_of(document: Column) -> Column:
     """The trigrams of a text in order, by code points."""
-    c = F.regexp_extract_all(document, F.lit("(?s)."), F.lit(0))
-    return F.transform(F.slice(c, 1, F.greatest(F.size(c) - 2, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1), F.get(c, i + 2)))
+    starts = F.when(F.length(document) >= 3, F.sequence(F.lit(1), F.length(document) - 2))
+    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda i: F.substring(document, i, 3))
 
 
 class TrigramIndex:

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.functions import text
+from memloom.operators import postings
 
 
 @pytest.mark.parametrize("limit", [1, 5])
@@ -23,3 +24,10 @@ def test_keywords_of_the_head_are_those_of_the_whole_text(spark, limit):
 def test_the_rest_of_a_long_text_is_left_alone(spark):
     plan = spark.range(1).select(text.keyword_tags(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
     assert "substring(coalesce(cast(id" in plan and f", 1, {text.KEYWORD_HEAD})" in plan
+
+
+def test_trigrams_are_cut_without_a_regular_expression(spark):
+    rows = spark.createDataFrame([("abcd",), ("ab",), ("",), (None,), ("a\néb😀c",)], "d string")
+    out = rows.select(postings.grams_of(F.col("d")).alias("g"))
+    assert [r["g"] for r in out.collect()] == [["abc", "bcd"], [], [], [], ["a\né", "\néb", "éb😀", "b😀c"]]
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
