@@ -31,13 +31,14 @@ class RecallIndex:
 
     def build(self, memories: DataFrame, per_block: int = 128) -> RecallIndex:
         """Index all memories; one that repeats counts once, null contents have no runs."""
-        rows = memories.select("memory_id", "content")
+        # written once: they are counted, sampled for the ranges, and indexed
+        rows = written(memories.select("memory_id", "content"), new_folder(self.spark, "memories"))
         blocks = max(1, -(-rows.select("memory_id").distinct().count() // per_block))
         runs = shingled(rows, "memory_id", "content", self.n).withColumn("block", F.pmod(F.xxhash64("memory_id"), F.lit(blocks)))
-        # repeats of a memory meet in one task: ids are dealt by block and id
-        placed = runs.repartitionByRange("block", "memory_id", "gram").dropDuplicates(["block", "memory_id", "gram"])
-        placed = placed.withColumn("part", self._part(F.col("block")))
-        placed.repartition("part", F.pmod("block", F.lit(16))).sortWithinPartitions("part", "block").write.partitionBy("part").parquet(f"{self.folder}/postings")
+        # one shuffle: ranges of (part, block) hold the repeats of a memory together, and a task writes few parts
+        keys = ["part", "block", "memory_id", "gram"]
+        placed = runs.withColumn("part", self._part(F.col("block"))).repartitionByRange(*keys).dropDuplicates(keys)
+        placed.sortWithinPartitions("part", "block").write.partitionBy("part").parquet(f"{self.folder}/postings")
         self.postings().select("gram", "block").distinct().write.parquet(f"{self.folder}/tops")
         return self
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text
 from memloom.operators import postings
+from memloom.operators.recall_index import RecallIndex
 
 
 @pytest.mark.parametrize("limit", [1, 5])
@@ -31,3 +32,19 @@ def test_trigrams_are_cut_without_a_regular_expression(spark):
     out = rows.select(postings.grams_of(F.col("d")).alias("g"))
     assert [r["g"] for r in out.collect()] == [["abc", "bcd"], [], [], [], ["a\né", "\néb", "éb😀", "b😀c"]]
     assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_memories_are_computed_once_for_the_recall_index(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        seen.add(1)
+        return value
+
+    udf = F.udf(counted, "string").asNondeterministic()
+    memories = spark.createDataFrame([(f"m{i}", f"word{i} shared") for i in range(40)] + [("m1", "word1 other")], "memory_id string, content string")
+    index = RecallIndex(spark, f"{tmp_path}/i").build(memories.select("memory_id", udf("content").alias("content")), 8)
+    assert seen.value == 41
+    assert index.postings().count() == 81  # shared of all 40, a word of each, and other; repeats once
+    found = index.search(spark.sql("SELECT 0L AS query_id, 'word1 other' AS query"), 1).collect()
+    assert [(r["memory_id"], r["score"]) for r in found] == [("m1", 1.0)]
