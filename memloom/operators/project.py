@@ -61,6 +61,13 @@ def epochs(rows: DataFrame, null_hash_resets: bool = True, width: int = PIECE) -
     return out.select(*[F.col(f"`{c}`") for c in rows.columns], epoch.alias("epoch"))
 
 
+def resets(rows: DataFrame) -> DataFrame:
+    """``(file_id, since)`` of the files that changed: the ``seq`` their newest epoch begins with. Epochs never fall as ``seq`` grows."""
+    known = epochs(rows.select("file_id", "seq", "file_hash"))
+    since = known.groupBy("file_id").agg(F.max("epoch").alias("e"), F.max_by("seq", F.struct(F.col("epoch"), -F.col("seq"))).alias("since"))
+    return since.filter("e > 0").select("file_id", "since")
+
+
 def last_epoch(rows: DataFrame, null_hash_resets: bool = True) -> DataFrame:
     """The rows since each file last changed, with ``last_epoch`` the file's newest."""
     known = epochs(rows, null_hash_resets)
@@ -81,7 +88,8 @@ def chunks_of(rows: DataFrame) -> DataFrame:
 
     Where an index stays the same, a null keeps the value that an older row of that index had.
     """
-    current = last_epoch(rows)
+    # whole rows take no part in the epochs: they are told by where a file's last one begins
+    current = rows.join(resets(rows), "file_id", "left").filter("seq >= coalesce(since, seq)")
     order = F.col("seq")
     at = Window.partitionBy("file_id", "memory_id")
     same = current.withColumn("__i", F.max_by("chunk_index", order).over(at)).filter("chunk_index = __i").drop("__i")
@@ -99,15 +107,13 @@ def chunks_of(rows: DataFrame) -> DataFrame:
 def relations_of(rows: DataFrame) -> DataFrame:
     """``file_relations``: the newest edge of each pair and type, declared since both its files last changed; none to itself."""
     order = F.col("seq")
-    known = epochs(rows)
-    since = known.groupBy("file_id").agg(F.max("epoch").alias("e"), F.max_by("seq", F.struct(F.col("epoch"), -F.col("seq"))).alias("since"))
-    resets = since.filter("e > 0").select("file_id", "since")
-    edges = known.select("bank", "file_id", "seq", F.explode("edges").alias("edge"))
+    changed = resets(rows)
+    edges = rows.select("bank", "file_id", "seq", F.explode("edges").alias("edge"))
     edges = edges.select(F.col("file_id").alias("source_file_id"), text.file_id(F.col("bank"), F.col("edge.target_path")).alias("target_file_id"), "edge.relation_type", "edge.strength", "edge.description", "seq")
     edges = edges.filter("source_file_id <> target_file_id")
     # the row that starts an epoch declares its edges after the older ones have gone
-    own = resets.select(F.col("file_id").alias("source_file_id"), F.col("since").alias("own_since"))
-    other = resets.select(F.col("file_id").alias("target_file_id"), F.col("since").alias("other_since"))
+    own = changed.select(F.col("file_id").alias("source_file_id"), F.col("since").alias("own_since"))
+    other = changed.select(F.col("file_id").alias("target_file_id"), F.col("since").alias("other_since"))
     live = edges.join(own, "source_file_id", "left").join(other, "target_file_id", "left")
     live = live.filter("seq >= coalesce(own_since, seq) and seq >= coalesce(other_since, seq)")
     out = live.groupBy("source_file_id", "target_file_id", "relation_type").agg(*newest(order, "strength", "description"))

@@ -85,8 +85,11 @@ class Store:
         if batch is not None and batch <= self.last_batch():
             return
         work = new_folder(self.spark, "batch")
-        new = project.materialize(rows) | {"memories": rows.groupBy("bank", "memory_id").agg(F.first("content").alias("content"), F.max("importance").alias("importance"))}
-        new = {t: written(df, f"{work}/new-{t}") for t, df in new.items()}
+        # every table is made from the batch's rows, written once without their texts; files count the chunks that were written
+        keyed = written(rows.drop("content").withColumn("file_id", text.file_id(F.col("bank"), F.col("path"))), f"{work}/rows")
+        new = {"memories": rows.groupBy("bank", "memory_id").agg(F.first("content").alias("content"), F.max("importance").alias("importance")), "file_relations": project.relations_of(keyed)}
+        new = {t: written(df, f"{work}/new-{t}") for t, df in (new | {"file_chunks": project.chunks_of(keyed)}).items()}
+        new["files"] = written(project.files_of(keyed, new["file_chunks"]), f"{work}/new-files")
         told = new["files"].filter("status <> 'pending'")
         at = new["files"].select("id", "bank", self._part("id"))
         touched = written(at.select("bank", "part").distinct(), f"{work}/parts")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from memloom.functions import text
-from memloom.operators import postings
+from memloom.operators import postings, project
 from memloom.operators.recall_index import RecallIndex
 
 
@@ -48,3 +48,16 @@ def test_memories_are_computed_once_for_the_recall_index(spark, tmp_path):
     assert index.postings().count() == 81  # shared of all 40, a word of each, and other; repeats once
     found = index.search(spark.sql("SELECT 0L AS query_id, 'word1 other' AS query"), 1).collect()
     assert [(r["memory_id"], r["score"]) for r in found] == [("m1", 1.0)]
+
+
+def test_whole_rows_take_no_part_in_epochs(spark):
+    rows = [("b", "/a", i, f"m{i % 3}", i, i, i, None, f"c{i % 3}", h, "vault", "docs", "en", None, {"k": "v"}, ["t"], ("u", f"s{i}"), [("/z", "sibling", 0.5, "n")]) for i, h in enumerate(["x", "x", None, "y", "y", None, "y", "y"])]
+    schema = "bank string, path string, seq long, memory_id string, chunk_index int, start_line int, end_line int, section_header string, chunk_hash string, file_hash string, source_type string, file_role string, language string, summary string, extra map<string,string>, tags array<string>, parent_unit struct<ref:string,summary:string>, edges array<struct<target_path:string,relation_type:string,strength:double,description:string>>"
+    keyed = spark.createDataFrame(rows, schema).withColumn("file_id", text.file_id(F.col("bank"), F.col("path")))
+    since = project.last_epoch(keyed).agg(F.min("seq")).first()[0]
+    assert [r["since"] for r in project.resets(keyed).collect()] == [since]
+    assert {r["memory_id"]: r["chunk_index"] for r in project.chunks_of(keyed).collect()} == {r["memory_id"]: r["i"] for r in keyed.filter(F.col("seq") >= since).groupBy("memory_id").agg(F.max("chunk_index").alias("i")).collect()}
+    plan = project.relations_of(keyed)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    assert windows and not any("edges" in line for line in windows)
+    assert not any("edges" in line and "__piece" in line for line in plan.splitlines())
