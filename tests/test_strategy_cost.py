@@ -46,3 +46,14 @@ def test_plain_frontmatter_needs_no_slow_scanner(monkeypatch):
     if yaml.__with_libyaml__:
         monkeypatch.setattr(yaml, "SafeLoader", None)
         assert strategies.loaded(blocks[0])["see_also"] == ["2"]
+
+
+def test_routed_files_are_split_once(spark):
+    files = notes(spark)
+    every = None
+    for kind in ("obsidian", "vault", "agent-sessions", "else"):
+        part = files.selectExpr("root", "bank", f"replace(path, '.md', '-{kind}.md') AS path", f"'{kind}' AS source_type", "content")
+        every = part if every is None else every.unionByName(part)
+    out = strategies.chunk_content(every)
+    # one udf in each strategy's parts, and the fields that notes, the vault's see_also and a session's own file give
+    assert python_steps(out) == 8
