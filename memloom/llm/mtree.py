@@ -24,6 +24,8 @@ from memloom.llm.vectors import Best, by_length, capped, index, matrix, prepare,
 
 SAMPLE, MOST_PARTS = 4096, 512
 PAGE, FANOUT = 64, 32
+#: Queries that go through a tree together.
+TOGETHER = 1024
 SLACK = 1e-9
 SCHEMA = "query_id long, rank int, vec_id long, score long"
 
@@ -81,41 +83,64 @@ class Tree:
 
     def best(self, query: np.ndarray, to_pivot: float, k: int, floor: float) -> tuple[np.ndarray, np.ndarray, int]:
         """Places and scores of the ``k`` best among scores of at least ``floor`` (ties included), and how many were computed."""
-        whole, point, dim = query.astype(np.int64), np.append(query, 0.0), len(query)
-        base = float(query @ query) + self.top
-        scores, at, order, computed = np.empty(0, np.int64), np.empty(0, np.int64), 0, 0
-        off = float(rounding(base, dim))
-
-        def limit_now() -> float:
-            low = max(floor, float(scores.min()) if len(scores) >= k else -np.inf)
-            return float(reach(base, low, dim))
-
-        limit = limit_now()
-        heap = [(0.0, order, self.root, to_pivot)]
+        _, at, scores, computed = self.all_best(query[None], np.array([to_pivot]), k, np.array([floor], np.float64))
+        keep = np.lexsort((self.rows[at], self.ids[at], -scores))[:k]
+        return at[keep], scores[keep], computed
+
+    def all_best(self, queries: np.ndarray, to_pivot: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        """Query, place and score of what may be among each query's ``k`` best of at least its ``floor`` (ties included, the best never left out), and how many scores the bounds let in."""
+        n, dim = queries.shape
+        base = (queries**2).sum(axis=1) + self.top
+        points, off = np.concatenate((queries, np.zeros((n, 1))), axis=1), rounding(base, dim)
+        exact = float(base.max()) < 2.0**52  # so every partial sum is a whole number that a double holds
+        whole = queries if exact else queries.astype(np.int64)
+        kth = np.full((n, k), np.iinfo(np.int64).min)  # the best scores so far, in no order
+        low, found, computed, order = kth.min(axis=1), [], 0, 0
+
+        def limits(q: np.ndarray) -> np.ndarray:
+            known = np.where(low[q] > np.iinfo(np.int64).min, low[q].astype(np.float64), -np.inf)
+            return reach(base[q], np.maximum(floor[q], known), dim) * (1 + SLACK)
+
+        heap = [(0.0, order, self.root, np.arange(n), to_pivot, np.zeros(n))]
         while heap:
-            bound, _, node, near = heapq.heappop(heap)
-            slack = SLACK * (1 + near) + off
-            if bound > limit * (1 + SLACK) + slack:
-                break
-            apart = np.abs(near - node.to_parent) - slack
+            _, _, node, q, near, bound = heapq.heappop(heap)
+            slack = SLACK * (1 + near) + off[q]
+            open_ = bound <= limits(q) + slack
+            if not open_.any():
+                continue
+            q, near, slack = q[open_], near[open_], slack[open_]
+            limit = limits(q)[:, None]
+            apart = np.abs(near[:, None] - node.to_parent) - slack[:, None]
             if node.children is None:
-                open_ = np.flatnonzero(apart <= limit * (1 + SLACK))
-                if len(open_):
-                    found = self.whole[node.rows[open_]] @ whole
-                    computed += len(open_)
-                    scores, at = np.concatenate((scores, found)), np.concatenate((at, node.rows[open_]))
-                    if len(scores) > k:
-                        keep = np.lexsort((self.rows[at], self.ids[at], -scores))[:k]
-                        scores, at = scores[keep], at[keep]
-                    limit = limit_now()
+                let_in = apart <= limit
+                computed += int(let_in.sum())
+                page = self.whole[node.rows]
+                scores = (whole[q] @ (page.astype(np.float64) if exact else page).T).astype(np.int64)
+                let_in &= (scores >= low[q][:, None]) & (scores >= floor[q][:, None])
+                i, j = np.nonzero(let_in)
+                if len(i):
+                    found.append((q[i], node.rows[j], scores[i, j]))
+                    some = np.unique(i)
+                    both = np.concatenate((kth[q[some]], np.where(let_in[some], scores[some], np.iinfo(np.int64).min)), axis=1)
+                    kth[q[some]] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+                    low[q[some]] = kth[q[some]].min(axis=1)
                 continue
-            open_ = np.flatnonzero(apart - node.radii <= limit * (1 + SLACK))
-            for i, d in zip(open_, distances(node.points[open_], point), strict=True):
-                low = d - node.radii[i]
-                if low <= limit * (1 + SLACK) + slack:
+            entries = apart - node.radii <= limit
+            for c in np.flatnonzero(entries.any(axis=0)):
+                mine = np.flatnonzero(entries[:, c])
+                d = distances(points[q[mine]], node.points[c])
+                least = d - node.radii[c]
+                mine, d, least = (x[least <= limit[mine, 0] + slack[mine]] for x in (mine, d, least))
+                if len(mine):
                     order += 1
-                    heapq.heappush(heap, (max(low, 0.0), order, node.children[i], float(d)))
-        return at, scores, computed
+                    least = np.maximum(least, 0.0)
+                    heapq.heappush(heap, (float(least.min()), order, node.children[c], q[mine], d, least))
+        if not found:
+            none = np.empty(0, np.int64)
+            return none, none, none, computed
+        q, at, scores = (np.concatenate(x) for x in zip(*found, strict=True))
+        keep = scores >= low[q]
+        return q[keep], at[keep], scores[keep], computed
 
 
 def visit(part: int, block: bytes, queries: dict, best: Best) -> None:
@@ -125,10 +150,11 @@ def visit(part: int, block: bytes, queries: dict, best: Best) -> None:
     apart = distances(np.concatenate((v, np.zeros((len(v), 1))), axis=1), tree.pivot)
     base = (v**2).sum(axis=1) + tree.top
     open_ = np.flatnonzero(apart - tree.radius <= reach(base, best.floor, dim) * (1 + SLACK) + SLACK * (1 + apart) + rounding(base, dim))
-    for q in open_:
-        at, scores, _ = tree.best(v[q], float(apart[q]), best.k, best.floor[q])
+    for first in range(0, len(open_), TOGETHER):
+        q = open_[first : first + TOGETHER]
+        mine, at, scores, _ = tree.all_best(v[q], apart[q], best.k, best.floor[q])
         if len(at):
-            best.add(np.full(len(at), q), tree.ids[at], tree.rows[at], scores, part)
+            best.add(q[mine], tree.ids[at], tree.rows[at], scores, part)
     best.rank()
 
 
