@@ -9,14 +9,14 @@ since merges inside one pair do not depend on what stands beside it.
 No piece holds a space mark after another character, so a text splits before each run of
 space marks into units that never merge with each other; characters outside every piece of
 two or more characters split units further. Units repeat, so each worker keeps the last
-ones it met, at most 2 * KEEP of them. Texts are encoded whole.
+ones it met, at most 2 * KEEP of them, while a task lasts. Texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
@@ -227,6 +227,18 @@ def digest(text: str | None, model: Model, units: Units) -> tuple[int, str, str]
     return n, ids_sha.hexdigest(), text_sha.hexdigest()
 
 
+def digests(batches: Iterable[pd.Series], path: str) -> Iterator[pd.DataFrame]:
+    """``digest`` of each text. Units and pairs go at the end, as a worker outlives its task and the memory is then another step's."""
+    model, units = loaded(path)
+    try:
+        for texts in batches:
+            yield pd.DataFrame([digest(t, model, units) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    finally:
+        units.clear()
+        units.old = {}
+        model.pairs.clear()
+
+
 def spaced(text: str) -> list[str]:
     """Units without their first space mark, where several marks meet."""
     return [u[1:] for u in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + text.replace(" ", SPACE))]
@@ -240,9 +252,8 @@ def encode_digest_column(text: Column, path: str) -> Column:
     bounded()
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
-    def udf(texts: pd.Series) -> pd.DataFrame:
-        model, units = loaded(path)
-        return pd.DataFrame([digest(t, model, units) for t in texts], columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+    def udf(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from digests(batches, path)
 
     return udf(text)
 

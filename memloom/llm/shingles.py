@@ -33,6 +33,8 @@ LEAST, OF = 4, 5
 BANDS, ROWS = 26, 5
 #: Texts of a band whose pairs are listed one by one; of more, the sketches are compared in blocks.
 HOT, BLOCK = 24, 512
+#: Words of the sketches of two blocks that are compared at a time.
+SLICE = 32
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _SALT, _TIMES = (np.random.default_rng(5).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64, endpoint=False) | np.uint64(1))
 
@@ -101,11 +103,23 @@ def may_be_similar(a: bytes, n: int, b: bytes, m: int) -> bool:
 
 
 def folded(sketches: list[bytes], words: int) -> np.ndarray:
-    """Sketches of one length as rows of 1 and -1, folded to ``words`` 64-bit words."""
+    """Sketches of one length as rows of ``words`` 64-bit words."""
     x = np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
     while x.shape[1] > words:
         x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
-    return 1 - 2 * np.unpackbits(np.ascontiguousarray(x).view(np.uint8), axis=1).astype(np.float32)
+    return x
+
+
+def bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits each row of ``x`` differs from each of ``y``; SLICE words at a time become numbers, however long the rows are."""
+
+    def signs(z: np.ndarray) -> np.ndarray:
+        return 1 - 2 * np.unpackbits(np.ascontiguousarray(z).view(np.uint8), axis=1).astype(np.float32)
+
+    alike = np.zeros((len(x), len(y)), np.float32)  # whole numbers below 2**24
+    for at in range(0, x.shape[1], SLICE):
+        alike += signs(x[:, at : at + SLICE]) @ signs(y[:, at : at + SLICE]).T
+    return (64 * x.shape[1] - alike) / 2
 
 
 def likely(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -116,7 +130,7 @@ def likely(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if max(size, other) > 2 * min(size, other):
                 continue  # so do their numbers of shingles, by more than similar sets do
             words = min(size, other) // 8
-            apart = (64 * words - folded(list(x["sketch"]), words) @ folded(list(y["sketch"]), words).T) / 2
+            apart = bits_apart(folded(list(x["sketch"]), words), folded(list(y["sketch"]), words))
             n, m = x["n"].to_numpy(np.int64)[:, None], y["n"].to_numpy(np.int64)[None]
             fits = (9 * apart <= n + m) & (LEAST * np.maximum(n, m) <= OF * np.minimum(n, m)) & (x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None])
             i, j = np.nonzero(fits)
